@@ -4,7 +4,7 @@ Targets come from water-filling over the aggregated sources. Every document of a
 number of copies, target / source size; its fraction is rounded by pairing: two fractional documents exchange words, in
 a direction drawn so that neither's expectation changes, until one is integral. An exchange keeps the pair's expected
 words, so a source's taken words differ from its target by less than one document. Pairing runs first within cells of
-about cell_rows documents (hashed by doc_id, so a hot source is spread and reruns agree), then the one residual of each
+about cell_rows (1000) documents (hashed by doc_id, so a hot source is spread and reruns agree), then the one residual of each
 cell is paired with others in rounds of fan_in cells: a reduction tree over one row per cell.
 
 Defined cases: null text has size 0; documents of size 0 take 0 words; null source is a source of its own, last in
@@ -85,7 +85,7 @@ def _settle_cell(level: int, seed: int, last: bool):
     return one
 
 
-def mix(docs: DataFrame, cell_rows: int = 20000, fan_in: int = 16, seed: int = 7, weights: tuple = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, cell_rows: int = 1000, fan_in: int = 16, seed: int = 7, weights: tuple = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken."""
     sizes = common.written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = common.written(source_targets(sizes, weights, budget, most), "targets")

@@ -2,9 +2,15 @@
 
 from .exact_dedup import ORACLE_OP2, op2_exact_dedup
 from .mixing import op8_mixing
+from .quality import op6_quality
+from .tokens import op7_token_counts
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op6_quality": op6_quality,
+    "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
 }
 
