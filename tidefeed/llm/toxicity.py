@@ -118,7 +118,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 8192, ordinary_size: int = 32768, level: int = 6, least_z: float = 5.0) -> dict:
     """Dictionaries, log-odds per saved byte and the curve. Two thirds train the dictionaries, the rest calibrates (all of them if few)."""
     docs = [[words_of(t) for t in side] for side in (toxic, ordinary)]
-    many = min(len(toxic), len(ordinary)) >= 150
+    many = min(len(toxic), len(ordinary)) >= 600
     train = [[d for i, d in enumerate(side) if i % 3 or not many] for side in docs]
     check = [[d for i, d in enumerate(side) if not i % 3 or not many] for side in docs]
     seen = [Counter(w for d in side for w in _windows(d)) for side in train]
