@@ -1,17 +1,21 @@
 """Queries and SQL of this subpackage."""
 
+from .decontaminate import op9_decontamination
 from .exact_dedup import ORACLE_OP2, op2_exact_dedup
 from .mixing import op8_mixing
 from .quality import op6_quality
+from .simhash import op4_simhash
 from .tokens import op7_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_simhash": op4_simhash,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE = {"op2_exact_dedup": ORACLE_OP2}
