@@ -4,6 +4,7 @@ from .decontaminate import op9_decontamination
 from .exact_dedup import ORACLE_OP2, op2_exact_dedup
 from .mixing import op8_mixing
 from .quality import op6_quality
+from .secrets import op5_secret_scan
 from .simhash import op4_simhash
 from .tokens import op7_token_counts
 from .toxicity import op3_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
