@@ -6,6 +6,7 @@ from .mixing import op8_mixing
 from .quality import op6_quality
 from .secrets import op5_secret_scan
 from .simhash import op4_simhash
+from .suffix_dedup import op10_suffix_dedup
 from .tokens import op7_token_counts
 from .toxicity import op3_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE = {"op2_exact_dedup": ORACLE_OP2}
