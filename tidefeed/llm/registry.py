@@ -3,6 +3,7 @@
 from .decontaminate import op9_decontamination
 from .exact_dedup import ORACLE_OP2, op2_exact_dedup
 from .mixing import op8_mixing
+from .pitman_yor import op1_pitman_yor
 from .quality import op6_quality
 from .secrets import op5_secret_scan
 from .simhash import op4_simhash
@@ -11,6 +12,7 @@ from .tokens import op7_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
