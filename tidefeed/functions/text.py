@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Query keys that only track a visitor.
 TRACKING_KEYS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "from", "source", "fbclid", "gclid", "ocid", "_ga")
@@ -137,12 +138,12 @@ def title_case(c: Column) -> Column:
     return F.array_join(up, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", x or "") for b, x in zip(base, link)])
 

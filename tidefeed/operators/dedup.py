@@ -93,7 +93,7 @@ def ingest_strict(raw: DataFrame) -> DataFrame:
             out.append((r.seq, status, r.reason if isinstance(r.reason, str) else None))
         return pd.DataFrame(out, columns=["seq", "status", "reason"])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(walk, "seq long, status string, reason string")
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(walk, "seq long, status string, reason string")
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

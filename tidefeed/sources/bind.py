@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_interactions(table(spark, sf_dir, "events"))
+
+
+def as_interactions(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     for old, new in EVENT_TYPES.items():
         kind = F.when(F.col("event_type") == old, new).otherwise(kind)
     article = F.expr("try_cast(get_json_object(props, '$.k') AS bigint)")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", article.alias("article_id"), kind.alias("event_type"), F.col("ts").cast("timestamp").alias("created_at"))
+    return events.select(F.col("event_id").alias("id"), "user_id", article.alias("article_id"), kind.alias("event_type"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
