@@ -23,6 +23,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,18 @@ def _windows(words: list[bytes]) -> set[bytes]:
     return found
 
 
+def _originals(docs: list[list[bytes]], shingle: int = 5, keys: int = 4) -> list[list[bytes]]:
+    """docs without those that share a minimum of hashed five-word shingles with an earlier one: copies would count their words many times."""
+    seen, kept = set(), []
+    for d in docs:
+        parts = [b" ".join(d[i : i + shingle]) for i in range(max(1, len(d) - shingle + 1))] if d else []
+        mine = {(k, min(xxhash.xxh64_intdigest(p, k) for p in parts)) for k in range(keys)} if parts else {(0, 0)}
+        if not mine & seen:
+            kept.append(d)
+        seen |= mine
+    return kept
+
+
 def _dictionary(samples: list[bytes], size: int, k: int, group: int) -> bytes:
     packed = [b"".join(samples[i : i + group]) for i in range(0, len(samples), group)]
     try:
@@ -115,10 +128,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return b
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 8192, ordinary_size: int = 32768, level: int = 6, least_z: float = 5.0) -> dict:
+def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 8192, ordinary_size: int = 32768, level: int = 6, least_z: float = 5.0, least_lift: float = 4.0) -> dict:
     """Dictionaries, log-odds per saved byte and the curve. Two thirds train the dictionaries, the rest calibrates (all of them if few)."""
-    docs = [[words_of(t) for t in side] for side in (toxic, ordinary)]
-    many = min(len(toxic), len(ordinary)) >= 600
+    docs = [_originals([words_of(t) for t in side]) for side in (toxic, ordinary)]
+    many = min(map(len, docs)) >= 600
     train = [[d for i, d in enumerate(side) if i % 3 or not many] for side in docs]
     check = [[d for i, d in enumerate(side) if not i % 3 or not many] for side in docs]
     seen = [Counter(w for d in side for w in _windows(d)) for side in train]
@@ -128,7 +141,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 8192, ordinary_
         a, b = seen[0][w], seen[1][w]
         p = (a + b) / (n1 + n0)
         z = (a / n1 - b / n0) / sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        if z >= least_z and a >= 2:
+        if z >= least_z and a >= 2 and a * (n0 + 2) >= least_lift * (b + 0.5) * n1:
             samples[0].extend([w] * min(a, 400))
         elif z < 1 and b >= 3:
             samples[1].extend([w] * min(b, 20))
