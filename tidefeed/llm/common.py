@@ -45,8 +45,9 @@ def _remove() -> None:
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bounds what one Arrow batch of whole texts holds in a Python worker."""
+    """Bounds what one Arrow batch of whole texts holds in a Python worker, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 24))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
