@@ -75,6 +75,13 @@ def test_recommendation_properties(spark):
     assert {(r.user_id, r.rank, r.article_id) for r in back} == {(r.user_id, r.rank, r.article_id) for r in recs if r.rank <= 2}
 
 
+def test_heavy_readers_in_parts(spark):
+    ix = events(spark, [(u, (u + j * j) % 17, "click") for u in range(3) for j in range(15)])
+    m = recommend.matrix(ix, "2024-01-31 00:00:00")
+    whole, parts = ({(r.item_a, r.item_b): round(r.sim, 9) for r in recommend.similarity(m, block=b).collect()} for b in (2000, 3))
+    assert whole == parts and whole
+
+
 def test_similarity_at_the_minimum_is_out_and_zero_weights_are_safe(spark):
     ix = events(spark, [(1, 1, "click"), (1, 2, "click")])
     m = recommend.matrix(ix, "2024-01-31 00:00:00")

@@ -14,10 +14,16 @@ def matrix(ix: DataFrame, asof: str, p: Params = Params()) -> DataFrame:
     return ix.where("user_id is not null and article_id is not null").groupBy("user_id", "article_id").agg(F.sum(w).alias("w"))
 
 
-def similarity(m: DataFrame, p: Params = Params()) -> DataFrame:
-    """item_a, item_b, sim, both directions, sim above the minimum. Items without a common reader have no similarity, so the pairs come from a join on the reader, one direction only."""
+def similarity(m: DataFrame, p: Params = Params(), block: int = 2000) -> DataFrame:
+    """item_a, item_b, sim, both directions, sim above the minimum. Items without a common reader have no similarity, so the pairs come from a join on the reader, one direction only.
+
+    A reader of more than `block` items has their pairs made in several parts: one side is dealt by item, the other repeated for each part.
+    """
     norms = m.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    half = m.alias("a").join(m.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.article_id") < F.col("b.article_id")))
+    sized = m.join(m.groupBy("user_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "user_id")
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int"))
+    repeated = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    half = dealt.alias("a").join(repeated.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.article_id") < F.col("b.article_id")))
     dots = half.groupBy(F.col("a.article_id").alias("item_a"), F.col("b.article_id").alias("item_b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("dot"))
     na, nb = norms.select(F.col("article_id").alias("item_a"), F.col("norm").alias("na")), norms.select(F.col("article_id").alias("item_b"), F.col("norm").alias("nb"))
     sims = dots.join(na, "item_a").join(nb, "item_b").select("item_a", "item_b", F.try_divide("dot", F.col("na") * F.col("nb")).alias("sim")).where(F.col("sim") > p.min_sim)
