@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 import zlib
 
@@ -34,6 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of what has been written since and isn't referred to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove() -> None:
     for spark, path in _written:
         try:
