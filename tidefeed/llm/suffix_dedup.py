@@ -107,23 +107,60 @@ def _minimiser_rows(shards: int, flush: int = 1 << 21):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """A shard's hashes that occur more than once, by row id."""
+_ROWS = "bucket int, docs binary, rids binary, sizes binary, data binary"
+
+
+def _packed_rows(doc: np.ndarray, rid: np.ndarray, blobs: list[bytes], buckets: int) -> pa.Table:
+    """Rows (doc, rid, blob) packed to one row a bucket of rids, so that shards times texts never becomes a number of rows."""
+    bucket = rid.astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+    put, rows = zstandard.ZstdCompressor(level=1).compress, []
+    for i, j in zip(edge[:-1], edge[1:]):
+        at = order[i:j]
+        own = [blobs[k] for k in at.tolist()]
+        rows.append((int(bucket[at[0]]), put(doc[at].astype(np.int64).tobytes()), put(rid[at].astype(np.int64).tobytes()), put(np.array([len(b) for b in own], np.int64).tobytes()), put(b"".join(own))))
+    cols = list(zip(*rows)) if rows else [()] * 5
+    return pa.table({"bucket": pa.array(cols[0], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("docs", "rids", "sizes", "data"), cols[1:])}})
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """A bucket's packed rows to one row (doc, rid, data) a text, with all its blobs end to end."""
     get = zstandard.ZstdDecompressor().decompress
-    hs, ids = [], []
-    for i, x, h in zip(table.column("ids").to_pylist(), table.column("index").to_pylist(), table.column("h").to_pylist()):
-        hs.append(np.frombuffer(h, np.uint64))
-        ids.append(np.cumsum(np.frombuffer(get(i), np.int64))[np.frombuffer(get(x), np.uint32)])
-    h, rid = np.concatenate(hs), np.concatenate(ids)
-    order = np.argsort(h, kind="stable")
-    h, rid = h[order], rid[order]
-    same = h[1:] == h[:-1]
-    more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    h, rid = h[more], rid[more]
-    order = np.lexsort((h, rid))
-    h, rid = h[order], rid[order]
-    edge = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
-    return pa.table({"rid": pa.array(rid[edge[:-1]], pa.int64()), "hs": pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())})
+    doc, rid, sizes, data = ([get(b) for b in table.column(c).to_pylist()] for c in ("docs", "rids", "sizes", "data"))
+    doc, rid, sizes = (np.concatenate([np.frombuffer(b, np.int64) for b in x]) for x in (doc, rid, sizes))
+    data = b"".join(data)
+    begin = np.cumsum(sizes) - sizes
+    order = np.lexsort((rid, doc))
+    doc, rid = doc[order], rid[order]
+    edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]), [True]]))
+    b, e = begin[order].tolist(), (begin + sizes)[order].tolist()
+    joined = [b"".join(data[b[k] : e[k]] for k in range(i, j)) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]
+    return pa.table({"doc": pa.array(doc[edge[:-1]], pa.int64()), "rid": pa.array(rid[edge[:-1]], pa.int64()), "data": pa.array(joined, pa.binary())})
+
+
+def _repeated(buckets: int):
+    """A shard's hashes that occur more than once, by row id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        get = zstandard.ZstdDecompressor().decompress
+        hs, ids = [], []
+        for i, x, h in zip(table.column("ids").to_pylist(), table.column("index").to_pylist(), table.column("h").to_pylist()):
+            hs.append(np.frombuffer(h, np.uint64))
+            ids.append(np.cumsum(np.frombuffer(get(i), np.int64))[np.frombuffer(get(x), np.uint32)])
+        h, rid = np.concatenate(hs), np.concatenate(ids)
+        order = np.argsort(h, kind="stable")
+        h, rid = h[order], rid[order]
+        same = h[1:] == h[:-1]
+        more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        h, rid = h[more], rid[more]
+        order = np.lexsort((h, rid))
+        h, rid = h[order], rid[order]
+        edge = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+        who = rid[edge[:-1]]
+        return _packed_rows(np.zeros(len(who), np.int64), who, [np.unique(h[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:])], buckets)
+
+    return run
 
 
 def radix_groups(data: bytes, start: np.ndarray, key: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -177,19 +214,19 @@ def _by_document(doc: np.ndarray, rid: np.ndarray, s: np.ndarray, of: np.ndarray
     return [(int(doc[of[i]]), int(rid[of[i]]), _runs(s[i:j]).tobytes()) for i, j in zip(edge[:-1], edge[1:])]
 
 
-def _suffixes(shards: int, flush: int = 1 << 24):
+def _suffixes(shards: int, flush: int = 1 << 23):
     """Texts with their repeated minimisers, to marks (kind 0: settled here) and suffixes (kind 1: first of their kind in this task's part)."""
 
     def run(batches):
         finder, seen, pending, size = Minimisers(), set(), [], 0
-        put = zstandard.ZstdCompressor(level=1).compress
+        put = zstandard.ZstdCompressor(level=3).compress
 
         def emit():
             pending.sort(key=lambda r: (r[0], r[1]))
             doc, rid = np.array([r[0] for r in pending]), np.array([r[1] for r in pending])
             data, ends = b"".join(r[2] for r in pending), np.cumsum([len(r[2]) for r in pending])
             begins = ends - np.array([len(r[2]) for r in pending])
-            wanted = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for r in pending for h in r[3]]))
+            wanted = np.unique(np.concatenate([np.frombuffer(r[3], np.uint64) for r in pending]))
             pending.clear()
             ss, aa, hh = [], [], []
             for s, at, h, p in finder.of(np.frombuffer(data, np.uint8), ends):
@@ -197,8 +234,8 @@ def _suffixes(shards: int, flush: int = 1 << 24):
                 here = np.unique(at) - p
                 good[here[wanted[np.minimum(np.searchsorted(wanted, h[here]), len(wanted) - 1)] == h[here]]] = True
                 ok = good[at - p]
-                ss.append(s[ok])
-                aa.append(at[ok])
+                ss.append(s[ok].astype(np.int32))
+                aa.append(at[ok].astype(np.int32))
                 hh.append(h[at[ok] - p])
             s, at, h = (np.concatenate(x) for x in (ss, aa, hh))
             if not len(s):
@@ -223,8 +260,8 @@ def _suffixes(shards: int, flush: int = 1 << 24):
                     text = b"".join(data[b : b + w + LENGTH - 1] for b, w in zip(s[k].tolist(), n[seg].tolist()))
                     who, index = np.unique(of[k], return_inverse=True)
                     head = np.array([len(seg), len(who)], np.int64).tobytes()
-                    parts = (doc[who], rid[who], index.astype(np.int64), s[k] - begins[of[k]], n[seg], at[k] - s[k], h[k].view(np.int64))
-                    rows.append((1, int(shard[seg[0]]), 0, 0, put(head + b"".join(np.ascontiguousarray(v, np.int64).tobytes() for v in parts) + text)))
+                    parts = ((doc[who], "i8"), (rid[who], "i8"), (h[k].view(np.int64), "i8"), (index, "u4"), (s[k] - begins[of[k]], "u4"), (n[seg], "u1"), (at[k] - s[k], "u1"))
+                    rows.append((1, int(shard[seg[0]]), 0, 0, put(head + b"".join(v.astype(t).tobytes() for v, t in parts) + text)))
             return pa.RecordBatch.from_pylist([dict(zip(_MARKS.names, r)) for r in rows], schema=_MARKS)
 
         for batch in batches:
@@ -244,50 +281,55 @@ def _suffixes(shards: int, flush: int = 1 << 24):
     return run
 
 
-def _sorted_shard(table: pa.Table) -> pa.Table:
-    """A shard's suffixes in radix order, to marks by document; marks that are settled already pass."""
-    get = zstandard.ZstdDecompressor().decompress
-    kind = table.column("kind").to_numpy()
-    settled = table.filter(pa.array(kind == 0))
-    doc, rid, s0, n, off, h, texts = [], [], [], [], [], [], []
-    for blob in table.column("payload").filter(pa.array(kind == 1)).to_pylist():
-        blob = get(blob)
-        k, w = np.frombuffer(blob, np.int64, 2)
-        sizes = np.array([w, w, k, k, k, k, k])
-        ints = np.frombuffer(blob, np.int64, int(sizes.sum()), 16)
-        d, r, index, *rest = np.split(ints, np.cumsum(sizes)[:-1])
-        for to, v in zip((doc, rid, s0, n, off, h), (d[index], r[index], *rest)):
-            to.append(v)
-        text, at = blob[16 + 8 * int(sizes.sum()) :], np.concatenate([[0], np.cumsum(rest[1] + LENGTH - 1)]).tolist()
-        texts += [text[i:j] for i, j in zip(at[:-1], at[1:])]
-    out = list(zip(settled.column("doc").to_pylist(), settled.column("rid").to_pylist(), settled.column("payload").to_pylist()))
-    if texts:
-        doc, rid, s0, n, off, h = (np.concatenate(x) for x in (doc, rid, s0, n, off, h))
-        rank = np.lexsort((s0, rid, doc))
-        doc, rid, s0, n, off, h = (x[rank] for x in (doc, rid, s0, n, off, h))
-        data = b"".join(texts[i] for i in rank.tolist())
-        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-        seg = np.repeat(np.arange(len(n)), n)
-        j = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-        with np.errstate(over="ignore"):
-            key = mix64(h[seg].view(np.uint64) + (off[seg] - j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order, first = radix_groups(data, begin[seg] + j, key)
-        marked = np.sort(order[order != first])
-        g = seg[marked]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
-        who = np.cumsum(new) - 1
-        lead = np.flatnonzero(new)
-        out += _by_document(doc[lead], rid[lead], s0[g] + j[marked], who[g])
-    return pa.table({"doc": pa.array([x[0] for x in out], pa.int64()), "rid": pa.array([x[1] for x in out], pa.int64()), "runs": pa.array([x[2] for x in out], pa.binary())})
-
-
-def covered(size: int, runs: list[bytes] | None) -> np.ndarray:
+def _sorted_shard(buckets: int):
+    """A shard's suffixes in radix order, to marks by text; marks that are settled already pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        get = zstandard.ZstdDecompressor().decompress
+        kind = table.column("kind").to_numpy()
+        settled = table.filter(pa.array(kind == 0))
+        doc, rid, s0, n, off, h, texts = [], [], [], [], [], [], []
+        for blob in table.column("payload").filter(pa.array(kind == 1)).to_pylist():
+            blob = get(blob)
+            k, w = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+            at, got = 16, []
+            for m, t in ((w, "i8"), (w, "i8"), (k, "i8"), (k, "u4"), (k, "u4"), (k, "u1"), (k, "u1")):
+                got.append(np.frombuffer(blob, t, m, at).astype(np.int64))
+                at += m * int(t[1])
+            for to, v in zip((doc, rid, h, s0, n, off), (got[0][got[3]], got[1][got[3]], got[2], *got[4:])):
+                to.append(v)
+            cut = np.concatenate([[0], np.cumsum(got[5] + LENGTH - 1)]).tolist()
+            texts += [blob[at + i : at + j] for i, j in zip(cut[:-1], cut[1:])]
+        out = list(zip(settled.column("doc").to_pylist(), settled.column("rid").to_pylist(), settled.column("payload").to_pylist()))
+        if texts:
+            doc, rid, s0, n, off, h = (np.concatenate(x) for x in (doc, rid, s0, n, off, h))
+            rank = np.lexsort((s0, rid, doc))
+            doc, rid, s0, n, off, h = (x[rank] for x in (doc, rid, s0, n, off, h))
+            data = b"".join(texts[i] for i in rank.tolist())
+            del texts
+            begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+            seg = np.repeat(np.arange(len(n)), n)
+            j = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+            with np.errstate(over="ignore"):
+                key = mix64(h[seg].view(np.uint64) + (off[seg] - j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            order, first = radix_groups(data, begin[seg] + j, key)
+            marked = np.sort(order[order != first])
+            g = seg[marked]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
+            who = np.cumsum(new) - 1
+            lead = np.flatnonzero(new)
+            out += _by_document(doc[lead], rid[lead], s0[g] + j[marked], who[g])
+        return _packed_rows(np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64), [x[2] for x in out], buckets)
+
+    return run
+
+
+def covered(size: int, runs: bytes | None) -> np.ndarray:
     """Which of `size` bytes a marked string covers."""
     change = np.zeros(size + 1, np.int64)
-    for blob in runs or []:
-        r = np.frombuffer(blob, np.int64).reshape(-1, 2)
-        np.add.at(change, r[:, 0], 1)
-        np.add.at(change, r[:, 1] - 1 + LENGTH, -1)
+    r = np.frombuffer(runs or b"", np.int64).reshape(-1, 2)
+    np.add.at(change, r[:, 0], 1)
+    np.add.at(change, r[:, 1] - 1 + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -308,6 +350,15 @@ def _cut(with_text: bool):
     return run
 
 
+def _marks(rows: DataFrame, shards: int) -> DataFrame:
+    """doc, rid, data: the runs of starts of repeated strings, for texts that have any."""
+    long = rows.where(F.octet_length("text") >= LENGTH)
+    packed = long.select("rid", "text").mapInArrow(_minimiser_rows(shards), "shard int, ids binary, index binary, h binary")
+    lists = packed.groupBy("shard").applyInArrow(_repeated(shards), _ROWS).groupBy("bucket").applyInArrow(_gathered, "doc long, rid long, data binary").select("rid", F.col("data").alias("hs"))
+    suffixes = long.join(lists, "rid").select("doc", "rid", "text", "hs").mapInArrow(_suffixes(shards), "kind int, shard int, doc long, rid long, payload binary")
+    return common.written(suffixes.groupBy("shard").applyInArrow(_sorted_shard(shards), _ROWS).groupBy("bucket").applyInArrow(_gathered, "doc long, rid long, data binary"), "marks")
+
+
 def remove_repeats(docs: DataFrame, shard_bytes: int = 1 << 24, with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     spark = docs.sparkSession
@@ -315,14 +366,10 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = 1 << 24, with_text: bool
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(max(1, -(-total // shard_bytes)))
-    long = rows.where(F.octet_length("text") >= LENGTH)
-    packed = long.select("rid", "text").mapInArrow(_minimiser_rows(shards), "shard int, ids binary, index binary, h binary")
-    lists = packed.groupBy("shard").applyInArrow(_repeated, "rid long, hs binary").groupBy("rid").agg(F.collect_list("hs").alias("hs"))
-    suffixes = long.join(lists, "rid").select("doc", "rid", "text", "hs").mapInArrow(_suffixes(shards), "kind int, shard int, doc long, rid long, payload binary")
-    marks = suffixes.groupBy("shard").applyInArrow(_sorted_shard, "doc long, rid long, runs binary").groupBy("doc", "rid").agg(F.collect_list("runs").alias("runs"))
+    marks = _marks(rows, int(max(1, -(-total // shard_bytes)))).withColumnRenamed("data", "runs")
+    common.release(spark)  # what the marks were made of isn't needed beside the texts' last shuffle
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.join(common.written(marks, "marks"), ["doc", "rid"], "left").select("doc_id", "text", "runs").mapInArrow(_cut(with_text), schema)
+    return rows.join(marks, ["doc", "rid"], "left").select("doc_id", "text", "runs").mapInArrow(_cut(with_text), schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
