@@ -14,15 +14,18 @@ WINDOW, THRESHOLD = 50, 5
 
 
 def simhash(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, fp (long): one pass over tokens, the 64 votes as one aggregation with map-side partial sums; texts without tokens get 0."""
-    tokens = df.select(key, F.explode(X.simhash_tokens(text)).alias("t")).withColumn("h", X.low_md5(F.col("t")))
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{i}") for i in range(64)]
-    bits = None
+    """key (unique), fp (long). The narrow text is dealt by key once; tokens and the 64 votes follow in the same partition. Texts without tokens get 0."""
+    words = df.select(key, text.alias("_t")).repartition(F.col(key)).select(key, X.simhash_words(F.col("_t")).alias("_w"))
+    hashed = words.select(key, F.explode_outer(X.simhash_tokens(F.col("_w"))).alias("_t")).select(key, X.low_md5(F.col("_t")).alias("h"))
+    # four bits of a hash, 16 apart, are counted in one long: there are at most 200 tokens, so lanes don't run over
+    lanes = F.lit(0x0001000100010001)
+    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes)).alias(f"v{i}") for i in range(16)]
+    counted = hashed.groupBy(key).agg(F.count("h").alias("n"), *votes)
+    bits = F.lit(0).cast("long")
     for i in range(64):
-        bit = F.when(F.col(f"v{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    voted = tokens.groupBy(key).agg(*votes).select(key, bits.alias("fp"))
-    return df.select(key).join(voted, key, "left").select(key, F.coalesce("fp", F.lit(0).cast("long")).alias("fp"))
+        ones = F.shiftrightunsigned(f"v{i % 16}", i // 16 * 16).bitwiseAND(F.lit(0xFFFF))
+        bits = bits.bitwiseOR(F.when(ones * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return counted.select(key, bits.alias("fp"))
 
 
 def exact_duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
