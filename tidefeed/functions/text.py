@@ -94,10 +94,13 @@ def content_hash(title: Column, excerpt: Column) -> Column:
     return F.sha2(F.concat(F.lower(strip(F.coalesce(title, F.lit("")))), F.lit("|"), e).cast("binary"), 256)
 
 
-def simhash_tokens(text: Column, most: int = 200) -> Column:
-    """Words, then pairs of neighbours, of which the first `most`."""
+def simhash_words(text: Column) -> Column:
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " ")
-    words = F.filter(F.split(clean, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(clean, r"(?U)\s+"), lambda w: w != "")
+
+
+def simhash_tokens(words: Column, most: int = 200) -> Column:
+    """Words, then pairs of neighbours, of which the first `most`."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     return F.slice(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())), 1, most)
 
