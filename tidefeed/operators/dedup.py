@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefeed.functions import text as X
+from tidefeed.session import cut
 
 WINDOW, THRESHOLD = 50, 5
 
@@ -62,7 +63,7 @@ def fingerprinted(raw: DataFrame) -> DataFrame:
 
 def ingest_set(raw: DataFrame) -> DataFrame:
     """Set-based statuses, fit for any size: exact duplicates by the first of each hash, near ones among the 50 rows before in the same source."""
-    rows = fingerprinted(raw).withColumn("reason", validity(F.col("title"), F.col("url")))
+    rows = cut(fingerprinted(raw).withColumn("reason", validity(F.col("title"), F.col("url"))).select("seq", "source", "url_hash", "content_hash", "fp", "reason"))
     good = rows.where("reason is null")
     for h in ("url_hash", "content_hash"):
         first = good.groupBy(h).agg(F.min("seq").alias(f"_{h}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidefeed", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -34,6 +34,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and read back from the shared checkpoint folder, for results that several branches of a plan use."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _local_root() -> str:
     path = os.path.join(tempfile.gettempdir(), "checkpoints")
     os.makedirs(path, exist_ok=True)
