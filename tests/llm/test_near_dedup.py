@@ -1,0 +1,63 @@
+import os
+import random
+
+import pytest
+
+import corpus_pipeline
+from tidefeed.llm import near_dedup as N, simhash
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def slow_components(rows):
+    """(id, text) to the smallest id reachable by similarities of 0.8 and more."""
+    sets, label = [shingles(t) for _, t in rows], [i for i, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return {i: x for (i, _), x in zip(rows, label)}
+
+
+def copies():
+    """Bases, copies with one to five changed words, chains, short and empty texts."""
+    rnd = random.Random(8)
+    out = []
+    for _ in range(40):
+        w = [f"w{rnd.randrange(500)}" for _ in range(rnd.choice((6, 30, 100, 200)))]
+        for k in range(6):
+            out.append(" ".join(w))
+            w = w[:]
+            for _ in range(k):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(500)}"
+    return out + ["", None, " \n", "a b c", "A  b c", "a b d"]
+
+
+def test_against_brute_force(make):
+    rows = list(enumerate(copies()))
+    got = {r.doc_id: r.component_id for r in N.components(make([(i, t, "s") for i, t in rows])).collect()}
+    want = slow_components(rows)
+    assert got == want and len(set(want.values())) < len(rows)
+
+
+def test_stage_finds_what_three_bits_miss(make, spark):
+    w = [f"word{i}" for i in range(100)]
+    near = w[:50] + ["other"] + w[51:]  # 91 of 101 shingles in common
+    docs = make([(4, " ".join(w), "s"), (2, " ".join(near), "s"), (3, "something else altogether here now", "s"), (None, " ".join(w), "s")])
+    assert (simhash.fingerprint(" ".join(w)) ^ simhash.fingerprint(" ".join(near))).bit_count() > 3
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {None, 2, 3}
+
+
+def test_empty(make):
+    assert N.distinct_documents(make(["a"]).where("false")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.component_id for r in N.components(docs).collect()}
+    assert got == slow_components([(r.doc_id, r.text) for r in docs.collect()])

@@ -1,0 +1,142 @@
+"""The pipeline's near-duplicates: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Documents with equal sets are one node. Candidates come from MinHash: 32 bands of five minima each, so a pair of similarity 0.8
+shares no band with a chance of 3 in a million (by calculation; SimHash
+fingerprints of such pairs differ in about 9.7 of 64 bits on average, so a radius of 12 would lose some). A bucket yields one star of candidate links, whatever its size.
+Each connected group of candidates is then verified as a whole by exact similarities, so that links don't depend on
+which members shared a bucket, and the links that hold are connected again.
+
+Defined cases: words are lower-cased (A-Z); a text of fewer than five words is one shingle; null text counts as empty, and texts
+without words are equal; rows without a doc_id stay and take no part; a component keeps its smallest doc_id; rows that
+repeat a doc_id go together; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+from .components import connected
+from .textkit import WordHasher, grams
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 5
+_RNG = np.random.default_rng(17)
+_MULTIPLIERS = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MIX = _RNG.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(hasher: WordHasher, texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, sorted."""
+    words, at = hasher.words(texts)
+    out = []
+    for i in range(len(texts)):
+        w = words[at[i] : at[i + 1]]
+        out.append(np.unique(grams(w, min(shingle, len(w)))) if len(w) else np.zeros(1, np.uint64))
+    return out
+
+
+def key_of(members: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(members.tobytes())
+
+
+def bands(members: np.ndarray) -> np.ndarray:
+    """One value per band; bands that share a value become candidates."""
+    least, low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max), (members >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(low), 512):
+        np.minimum(least, (low[i : i + 512, None] * _MULTIPLIERS).min(0), out=least)
+    return (least.astype(np.uint64).reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)
+
+
+def _signed(batches):
+    hasher = WordHasher()
+    for batch in batches:
+        sets = shingle_sets(hasher, batch.column("text").to_pylist())
+        keys = np.array([key_of(s) for s in sets], np.uint64).view(np.int64)
+        values = np.concatenate([bands(s) for s in sets]) if sets else np.zeros(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(values.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), lists], names=["doc_id", "key", "bands"])
+
+
+def _stars(batches):
+    """Rows sorted by (band, key) to links of each key to the first of its bucket."""
+    band = first = None
+    for batch in batches:
+        b, k = batch.column("band").to_numpy(), batch.column("key").to_numpy()
+        if not len(b):
+            continue
+        new = np.concatenate([[band is None or b[0] != band], b[1:] != b[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
+        root = np.where(at >= 0, k[np.maximum(at, 0)], first if first is not None else 0)
+        band, first = b[-1], root[-1]
+        differ = k != root
+        yield pa.RecordBatch.from_arrays([pa.array(k[differ]), pa.array(root[differ])], names=["a", "b"])
+
+
+def _own_sets(batches):
+    """The sets of the rows whose text is the one that `key` was made of."""
+    hasher = WordHasher()
+    for batch in batches:
+        sets = shingle_sets(hasher, batch.column("text").to_pylist())
+        keys = batch.column("key").to_numpy()
+        same = [i for i, s in enumerate(sets) if np.uint64(key_of(s)).view(np.int64) == keys[i]]
+        yield pa.RecordBatch.from_arrays([batch.column("root").take(pa.array(same, pa.int64())), pa.array(keys[same], pa.int64()), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["root", "key", "members"])
+
+
+def similar_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links of similar sets that connect all that are connected: each found set is compared with those not yet found."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            own = ids[starts[x] : ends[x]]
+            near = left[(sizes[left] >= similarity * len(own) - 1e-9) & (sizes[left] * similarity <= len(own) + 1e-9)]
+            mark[own] = True
+            shared = np.array([np.count_nonzero(mark[ids[starts[y] : ends[y]]]) for y in near.tolist()], np.int64)
+            mark[own] = False
+            found = near[shared >= similarity * (len(own) + sizes[near] - shared) - 1e-9]
+            if len(found):
+                out += [(x, y) for y in found.tolist()]
+                queue.extend(found.tolist())
+                left = left[~np.isin(left, found)]
+    return out
+
+
+def _verified(key: tuple, table: pa.Table) -> pa.Table:
+    sets = {k: m for k, m in zip(table.column("key").to_pylist(), table.column("members").to_pylist())}
+    keys = sorted(sets)
+    links = similar_links([np.frombuffer(sets[k], np.uint64) for k in keys])
+    return pa.table({"a": pa.array([keys[x] for x, _ in links], pa.int64()), "b": pa.array([keys[y] for _, y in links], pa.int64())})
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id of its component) of each row that has a doc_id."""
+    common.small_arrow_batches(docs.sparkSession)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = common.written(texts.mapInArrow(_signed, "doc_id long, key long, bands array<long>"), "signed")
+    nodes = common.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    bucketed = nodes.select(F.explode("bands").alias("band"), "key").repartition(F.col("band")).sortWithinPartitions("band", "key")
+    groups = common.written(connected(bucketed.mapInArrow(_stars, "a long, b long")), "candidates")
+    chosen = nodes.join(groups.withColumnRenamed("node", "key"), "key").select(F.col("least").alias("doc_id"), "key", "root")
+    sets = texts.join(chosen, "doc_id").select("root", "key", "text").mapInArrow(_own_sets, "root long, key long, members binary")
+    links = connected(sets.groupBy("root").applyInArrow(_verified, "a long, b long"))
+    rooted = nodes.select("key", "least").join(links.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_key = rooted.select("key", "root").join(least, "root").select("key", "component_id")
+    return rows.select("doc_id", "key").join(by_key, "key").select("doc_id", "component_id")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is their component's; rows without a doc_id stay."""
+    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(common.written(gone, "gone"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
