@@ -54,6 +54,15 @@ def test_operator(make, spark):
     assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect()) == sorted(t or "" for i, t, _ in rows if i in (2, 3, 4) or t == "clean text here")
 
 
+def test_rows_stay_apart_at_any_number_of_blocks(make, spark):
+    other = "seven ships with grain and timber left the northern harbour before the first storm of that winter closed the strait for months"
+    rows = [(0, ITEM, "s"), (0, "clean text here", "s"), (None, ITEM, "s"), (None, "also clean", "s"), (None, None, "s"), (1, other + " " + ITEM, "s")]
+    items = spark.createDataFrame([(7, ITEM), (3, ITEM), (5, other), (8, "short")], "item_id long, text string")
+    one, many = ([tuple(r) for r in D.contamination(make(rows), items, block_tokens=n).collect()] for n in (2_000_000, 20))
+    assert sorted(one, key=str) == sorted(many, key=str) and len(many) == len(rows)
+    assert sum(r[0] is None for r in many) == 3
+
+
 def test_empty(make, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not D.contamination(make(["a b c d e f"]), none).first().contaminated

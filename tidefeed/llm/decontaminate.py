@@ -110,17 +110,41 @@ def item_blocks(items: DataFrame, block_tokens: int):
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
+def _best(items: list[tuple[int, str | None]], min_match: int, coverage: float):
+    """Rows with the verdict of the blocks before, to rows with that of these items as well."""
+    match = _match(items, min_match, coverage)
+
+    def run(batches):
+        last = []
+
+        def feed():
+            for batch in batches:
+                last.append(batch)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"])
+
+        for found in match(feed()):
+            batch = last.pop()
+            both = [[r.column(c).to_pylist() for c in ("coverage", "item_id", "n_items")] for r in (batch, found)]
+            rows = [(*(x[:2] if y[1] is None or x[1] is not None and (x[0], -x[1]) > (y[0], -y[1]) else y[:2]), x[2] + y[2]) for x, y in zip(zip(*both[0]), zip(*both[1]))]
+            kept = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *kept], names=["doc_id", "text", "coverage", "item_id", "n_items"])
+
+    return run
+
+
 def contamination(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_tokens: int = 2_000_000) -> DataFrame:
     """One row per row of docs: doc_id, contaminated, coverage (of the best item), item_id, n_items (that reach the coverage)."""
     common.small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [rows.mapInArrow(_match(block, min_match, coverage), "doc_id long, coverage double, item_id long, n_items long") for block in item_blocks(items, block_tokens)]
-    out = parts[0]
-    if len(parts) > 1:
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        best = F.min(F.struct((-F.col("coverage")).alias("c"), F.col("item_id").isNull().alias("n"), F.col("item_id").alias("i")))
-        out = out.groupBy("doc_id").agg(best.alias("_b"), F.sum("n_items").alias("n_items")).select("doc_id", (-F.col("_b.c")).alias("coverage"), F.col("_b.i").alias("item_id"), "n_items")
+    verdict = "coverage double, item_id long, n_items long"
+    blocks = list(item_blocks(items, block_tokens))
+    if len(blocks) == 1:
+        out = rows.mapInArrow(_match(blocks[0], min_match, coverage), f"doc_id long, {verdict}")
+    else:
+        out = rows.select("*", F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_items"))
+        for block in blocks:
+            out = out.mapInArrow(_best(block, min_match, coverage), f"doc_id long, text string, {verdict}")
+        out = out.drop("text")
     return out.withColumn("contaminated", F.col("item_id").isNotNull())
 
 
