@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 import zlib
 
@@ -18,46 +16,52 @@ WHITE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared checkpoint folder and read again: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
+def _place(spark: SparkSession, name: str, table: str | None = None) -> str:
     if not _written:
         atexit.register(_remove)
     path = f"{checkpoint_root(spark)}/tidefeed-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path, table))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared checkpoint folder and read again: lineage ends there and lost executors cost nothing."""
+    path = _place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like written, but bucketed by key as it lies, without a shuffle: joins on key deal out the other side only.
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of what has been written since and isn't referred to any more."""
-    for _ in range(3):  # Python's references go first, then the driver's, then the cleaner works in its own thread
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    There are as many buckets as shuffle partitions. df's tasks should hold few keys each (a file is written for each
+    of a task's buckets), so key is a number that the task itself has given out.
+    """
+    spark, table = df.sparkSession, f"tidefeed_{name}_{uuid.uuid4().hex}"
+    path = _place(spark, name, table)
+    n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
 
 
 def _remove() -> None:
-    for spark, path in _written:
+    while _written:
+        spark, path, table = _written.pop()
         try:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; its folder goes with the cluster's own cleaning
-            return
-
-
-def small_arrow_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bounds what one Arrow batch of whole texts holds in a Python worker, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 24))
+        except Exception:  # its session has ended: the folder goes with the cluster's own cleaning, the others are still tried
+            continue
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:

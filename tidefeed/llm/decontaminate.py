@@ -134,7 +134,6 @@ def _best(items: list[tuple[int, str | None]], min_match: int, coverage: float):
 
 def contamination(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_tokens: int = 2_000_000) -> DataFrame:
     """One row per row of docs: doc_id, contaminated, coverage (of the best item), item_id, n_items (that reach the coverage)."""
-    common.small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     verdict = "coverage double, item_id long, n_items long"
     blocks = list(item_blocks(items, block_tokens))
@@ -170,7 +169,6 @@ def _keep(items: list[tuple[int, str | None]], min_match: int, coverage: float):
 
 def clean(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_tokens: int = 2_000_000) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    common.small_arrow_batches(docs.sparkSession)
     for block in item_blocks(items, block_tokens):
         docs = docs.mapInArrow(_keep(block, min_match, coverage), docs.schema)
     return docs

@@ -121,7 +121,6 @@ def _verified(key: tuple, table: pa.Table) -> pa.Table:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of its component) of each row that has a doc_id."""
-    common.small_arrow_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = common.written(texts.mapInArrow(_signed, "doc_id long, key long, bands array<long>"), "signed")
     nodes = common.written(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .textkit import slices
 
 DIMS = 1 << 14
 
@@ -37,7 +38,7 @@ def _pieces(text: str | None, size: int = 1 << 20):
 
 
 def _sparse(batches):
-    for batch in batches:
+    for batch in slices(batches):
         index, value = [], []
         for text in batch.column("text").to_pylist():
             c = sum((np.bincount(t, minlength=DIMS) for t in _pieces(text)), np.zeros(DIMS, np.int64))
@@ -82,7 +83,7 @@ def fit(rows: list[tuple[bytes, bytes]], grades: np.ndarray, n_grades: int, step
 
 def _score(model: dict, n_grades: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 n = 0
@@ -109,7 +110,6 @@ def fitted(docs: DataFrame, ratings: DataFrame, n_grades: int, max_labels: int)
 
 def quality(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, at_least: int = 1, tail: float = 0.5, max_labels: int = 3000) -> DataFrame:
     """One row per row of docs: doc_id, expected_grade, p_ge1..., selected (P(grade >= at_least) >= tail). ratings: doc_id, grade in 0..n_grades-1."""
-    common.small_arrow_batches(docs.sparkSession)
     model = fitted(docs, ratings, n_grades, max_labels)
     names = [f"p_ge{k}" for k in range(1, n_grades)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -126,7 +126,7 @@ def _keep(model: dict, at_least: int, tail: float):
 
     def run(batches):
         score = _score({"weights": model["weights"], "theta": model["theta"]}, len(model["theta"]) + 1)
-        for batch in batches:
+        for batch in slices(batches):
             scored = next(score(iter([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"])])))
             yield batch.filter(pa.array(scored.column(f"p_ge{at_least}").to_numpy() >= tail))
 
@@ -135,7 +135,6 @@ def _keep(model: dict, at_least: int, tail: float):
 
 def select(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, at_least: int = 1, tail: float = 0.5, max_labels: int = 3000) -> DataFrame:
     """The rows of docs that quality() selects, with all their columns."""
-    common.small_arrow_batches(docs.sparkSession)
     model = fitted(docs, ratings, n_grades, max_labels)
     return docs if isinstance(model, int) else docs.mapInArrow(_keep(model, at_least, tail), docs.schema)
 

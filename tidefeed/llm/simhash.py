@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected
+from .textkit import slices
 
 SEED = 42
 
@@ -49,7 +50,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
@@ -230,7 +231,6 @@ def links(prints: DataFrame, bits: int = 3, sample: int = 4000, hot_rows: int =
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id (smallest doc_id of the component), component_size."""
-    common.small_arrow_batches(docs.sparkSession)
     rows = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "prints")
     total = rows.count()
     prints = common.written(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")

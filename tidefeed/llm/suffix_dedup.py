@@ -3,19 +3,23 @@
 A byte goes if a string of `length` bytes that covers it also starts earlier (smaller doc_id, or same document further left).
 Equal strings have equal minimisers: the least hash of the `gram`-byte grams inside, at the same offset. So
 
-1. each text's minimisers (about one in 32 bytes) are grouped by hash, packed and sharded; hashes that occur once are dropped;
-2. texts that hold a repeated minimiser meet their list; strings around one are the suffixes to sort. Within a task, those
-   that repeat are settled at once and only the first of each goes on, so a string shared by a third of all texts crosses
-   the shuffle once a task;
-3. each shard orders its suffixes by most-significant-digit passes of eight bytes, only as deep as `length`, and within groups
-   that still disagree. Groups left at that depth are exactly the repeated strings; all but the earliest start are marked;
-4. the marks meet the texts, which lose the bytes covered.
-
-Shards are sized by the input's bytes, hot strings never meet in more than one row a task, nothing is collected.
-
-Defined cases: null text counts as empty; texts under `length` bytes keep everything; a null doc_id is smaller than any
-other; rows that repeat doc_id and text are one document and each shows its result; rows of one doc_id with different texts
-are ordered by a hash of the text; an empty table gives an empty result.
+1. texts are packed into batches of some megabytes, written once to the shared folder, bucketed by the task that made them:
+   later joins deal out what belongs to a batch, never the texts;
+2. each batch sends its distinct minimisers (about one in 32 bytes, four bytes each) to shards of hashes, which answer one bit
+   for each: whether it occurs anywhere else. A minimiser of a third of all texts counts once a batch;
+3. each batch sorts the suffixes around repeated minimisers. Those that repeat inside the batch are settled there; only the
+   first of each goes on to its shard, so a hot string crosses the shuffle once a batch;
+4. shards order their suffixes by most-significant-digit passes of eight bytes, only as deep as `length`, and within groups
+   that still disagree. Groups left at that depth are exactly the repeated strings; all but the earliest start are marked.
+   Above fan_in batches, shards merge in rounds (a tree), so that a hot string meets at most fan_in copies at a time;
+5. the marks meet their batches, whose texts lose the bytes covered.
+
+Shards are sized by the input's bytes, nothing is collected.
+
+Defined cases: null text counts as empty; texts under `length` bytes keep everything; a very long text is a batch of its own and
+is hashed a piece at a time; a null doc_id is smaller than any other; rows that repeat doc_id and text are one document,
+wherever they lie, and each shows its result; rows of one doc_id with different texts are ordered by a hash of the text;
+of tied starts the first in this order stays; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +28,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import _tables, mix64
+from .textkit import _tables, mix64, slices
 
 LENGTH, GRAM = 100, 36
 PIECE = 1 << 20
 POS = np.uint64((1 << 24) - 1)
+LEAST_ID = -(1 << 63)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _put(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _get(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 class Minimisers:
@@ -64,105 +80,6 @@ class Minimisers:
             yield s[inside], (m[inside] & POS).astype(np.int64) + p, h, p
 
 
-def _bytes(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
-    datas = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    return b"".join(datas), np.cumsum([len(d) for d in datas])
-
-
-def _minimiser_rows(shards: int, flush: int = 1 << 21):
-    """Rows (shard, rid, h): packed row ids and hashes of all minimisers, at least `flush` of them at a time."""
-
-    def run(batches):
-        finder = Minimisers()
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def pack():
-            h, rid = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
-            kept.clear()
-            shard = (h % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            h, rid, shard = h[order], rid[order], shard[order]
-            edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-            put = zstandard.ZstdCompressor(level=1).compress
-            rows = []
-            for i, j in zip(edge[:-1], edge[1:]):
-                ids, index = np.unique(rid[i:j], return_inverse=True)
-                rows.append((int(shard[i]), put(np.diff(ids, prepend=0).tobytes()), put(index.astype(np.uint32).tobytes()), h[i:j].tobytes()))
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "ids", "index", "h"])
-
-        for batch in batches:
-            data, ends = _bytes(batch.column("text").to_pylist())
-            rid, a = batch.column("rid").to_numpy(), np.frombuffer(data, np.uint8)
-            for _, at, h, p in finder.of(a, ends):
-                mark = np.zeros(len(h), bool)
-                mark[at - p] = True
-                here = np.flatnonzero(mark)
-                kept.append((h[here], rid[np.searchsorted(ends, here + p, "right")]))
-            if sum(len(k[0]) for k in kept) >= flush:
-                yield pack()
-        if any(len(k[0]) for k in kept):
-            yield pack()
-
-    return run
-
-
-_ROWS = "bucket int, docs binary, rids binary, sizes binary, data binary"
-
-
-def _packed_rows(doc: np.ndarray, rid: np.ndarray, blobs: list[bytes], buckets: int) -> pa.Table:
-    """Rows (doc, rid, blob) packed to one row a bucket of rids, so that shards times texts never becomes a number of rows."""
-    bucket = rid.astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
-    put, rows = zstandard.ZstdCompressor(level=1).compress, []
-    for i, j in zip(edge[:-1], edge[1:]):
-        at = order[i:j]
-        own = [blobs[k] for k in at.tolist()]
-        rows.append((int(bucket[at[0]]), put(doc[at].astype(np.int64).tobytes()), put(rid[at].astype(np.int64).tobytes()), put(np.array([len(b) for b in own], np.int64).tobytes()), put(b"".join(own))))
-    cols = list(zip(*rows)) if rows else [()] * 5
-    return pa.table({"bucket": pa.array(cols[0], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("docs", "rids", "sizes", "data"), cols[1:])}})
-
-
-def _gathered(table: pa.Table) -> pa.Table:
-    """A bucket's packed rows to one row (doc, rid, data) a text, with all its blobs end to end."""
-    get = zstandard.ZstdDecompressor().decompress
-    doc, rid, sizes, data = ([get(b) for b in table.column(c).to_pylist()] for c in ("docs", "rids", "sizes", "data"))
-    doc, rid, sizes = (np.concatenate([np.frombuffer(b, np.int64) for b in x]) for x in (doc, rid, sizes))
-    data = b"".join(data)
-    begin = np.cumsum(sizes) - sizes
-    order = np.lexsort((rid, doc))
-    doc, rid = doc[order], rid[order]
-    edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]), [True]]))
-    b, e = begin[order].tolist(), (begin + sizes)[order].tolist()
-    joined = [b"".join(data[b[k] : e[k]] for k in range(i, j)) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]
-    return pa.table({"doc": pa.array(doc[edge[:-1]], pa.int64()), "rid": pa.array(rid[edge[:-1]], pa.int64()), "data": pa.array(joined, pa.binary())})
-
-
-def _repeated(buckets: int):
-    """A shard's hashes that occur more than once, by row id."""
-
-    def run(table: pa.Table) -> pa.Table:
-        get = zstandard.ZstdDecompressor().decompress
-        hs, ids = [], []
-        for i, x, h in zip(table.column("ids").to_pylist(), table.column("index").to_pylist(), table.column("h").to_pylist()):
-            hs.append(np.frombuffer(h, np.uint64))
-            ids.append(np.cumsum(np.frombuffer(get(i), np.int64))[np.frombuffer(get(x), np.uint32)])
-        h, rid = np.concatenate(hs), np.concatenate(ids)
-        order = np.argsort(h, kind="stable")
-        h, rid = h[order], rid[order]
-        same = h[1:] == h[:-1]
-        more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        h, rid = h[more], rid[more]
-        order = np.lexsort((h, rid))
-        h, rid = h[order], rid[order]
-        edge = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
-        who = rid[edge[:-1]]
-        return _packed_rows(np.zeros(len(who), np.int64), who, [np.unique(h[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:])], buckets)
-
-    return run
-
-
 def radix_groups(data: bytes, start: np.ndarray, key: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, first): indexes of the suffixes that have an equal, group by group, and for each the index of its group's first.
 
@@ -205,171 +122,316 @@ def _runs(s: np.ndarray) -> np.ndarray:
     return np.column_stack([s[edge[:-1]], s[edge[1:] - 1] + 1]) if len(s) else np.zeros((0, 2), np.int64)
 
 
-_MARKS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("doc", pa.int64()), ("rid", pa.int64()), ("payload", pa.binary())])
+_BATCH = "part long, seq int, n_bytes long, ids binary, data binary"
+
 
+def _batches(size: int):
+    """Rows (doc_id, text) to batches of about `size` bytes: documents in order of id, each once, with the number of its rows."""
 
-def _by_document(doc: np.ndarray, rid: np.ndarray, s: np.ndarray, of: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Marked starts s of documents `of` (ascending) as (doc, rid, runs)."""
-    edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
-    return [(int(doc[of[i]]), int(rid[of[i]]), _runs(s[i:j]).tobytes()) for i, j in zip(edge[:-1], edge[1:])]
+    def run(batches):
+        kept, held, made = [], 0, 0
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+
+        def emit():
+            nonlocal made
+            rows = sorted(kept, key=lambda r: r[:2])
+            kept.clear()
+            new = [not i or r[:2] != rows[i - 1][:2] for i, r in enumerate(rows)]
+            own = [r for r, first in zip(rows, new) if first]
+            ids = np.array([[r[0], r[1], r[2], len(r[3])] for r in own], np.int64).T
+            copies = np.bincount(np.cumsum(new) - 1)
+            data = b"".join(r[3] for r in own)
+            made += 1
+            key = (task << 20) + (made - 1) // 8
+            row = ([key], [made], [len(data)], [_put(np.vstack([ids, copies[None, :]]).tobytes())], [_put(data)])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "seq", "n_bytes", "ids", "data"])
+
+        for batch in slices(batches):
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                data = (t or "").encode("utf-8", "surrogatepass")
+                rid = xxhash.xxh64_intdigest(data, i is None) - (1 << 63)
+                kept.append((LEAST_ID if i is None else i, rid, int(i is None), data))
+                held += len(data)
+                if held >= size or len(kept) >= 100_000:
+                    yield emit()
+                    held = 0
+        if kept:
+            yield emit()
 
+    return run
 
-def _suffixes(shards: int, flush: int = 1 << 23):
-    """Texts with their repeated minimisers, to marks (kind 0: settled here) and suffixes (kind 1: first of their kind in this task's part)."""
 
+class Batch:
+    """An unpacked batch: ids and bytes of its documents, and of their minimisers."""
+
+    def __init__(self, ids: bytes, data: bytes, finder: Minimisers | None):
+        self.doc, self.rid, self.null, self.lens, self.copies = np.frombuffer(_get(ids), np.int64).reshape(5, -1)
+        self.data, self.ends = _get(data), np.cumsum(self.lens)
+        self.begins = self.ends - self.lens
+        if finder is None:
+            return
+        self.starts, self.anchors, spots, hashes = [], [], [], []
+        for s, at, h, p in finder.of(np.frombuffer(self.data, np.uint8), self.ends):
+            here = np.unique(at)
+            if spots and len(here) and len(spots[-1]) and here[0] <= spots[-1][-1]:  # one that the piece before has found
+                here = here[here > spots[-1][-1]]
+            self.starts.append(s.astype(np.int32 if len(self.data) < 1 << 31 else np.int64))
+            self.anchors.append(at.astype(self.starts[-1].dtype))
+            spots.append(here)
+            hashes.append(h[here - p])
+        self.spots = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+
+    def messages(self, shards: int):
+        """Distinct minimisers in order of shard, where each shard's begin, and whether each occurs here more than once."""
+        h, count = np.unique(self.hashes, return_counts=True)
+        shard = (h % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
+        edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+        return h[order], shard[edge[:-1]], edge, count[order] > 1
+
+
+def _hashes(shards: int):
     def run(batches):
-        finder, seen, pending, size = Minimisers(), set(), [], 0
-        put = zstandard.ZstdCompressor(level=3).compress
+        finder = Minimisers()
+        for batch in batches:
+            for part, seq, ids, data in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "ids", "data"))):
+                h, shard, edge, twice = Batch(ids, data, finder).messages(shards)
+                low, n = (h >> np.uint64(32)).astype(np.uint32), len(shard)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shard, pa.int32()), pa.array([part] * n, pa.int64()), pa.array([seq] * n, pa.int32()),
+                        pa.array([low[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary()),
+                        pa.array([np.packbits(twice[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary()),
+                    ],
+                    names=["shard", "part", "seq", "low", "twice"],
+                )
 
-        def emit():
-            pending.sort(key=lambda r: (r[0], r[1]))
-            doc, rid = np.array([r[0] for r in pending]), np.array([r[1] for r in pending])
-            data, ends = b"".join(r[2] for r in pending), np.cumsum([len(r[2]) for r in pending])
-            begins = ends - np.array([len(r[2]) for r in pending])
-            wanted = np.unique(np.concatenate([np.frombuffer(r[3], np.uint64) for r in pending]))
-            pending.clear()
-            ss, aa, hh = [], [], []
-            for s, at, h, p in finder.of(np.frombuffer(data, np.uint8), ends):
-                good = np.zeros(len(h), bool)
-                here = np.unique(at) - p
-                good[here[wanted[np.minimum(np.searchsorted(wanted, h[here]), len(wanted) - 1)] == h[here]]] = True
-                ok = good[at - p]
-                ss.append(s[ok].astype(np.int32))
-                aa.append(at[ok].astype(np.int32))
-                hh.append(h[at[ok] - p])
-            s, at, h = (np.concatenate(x) for x in (ss, aa, hh))
-            if not len(s):
-                return None
-            with np.errstate(over="ignore"):
-                key = mix64(h + (at - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            order, first = radix_groups(data, s, key)
-            later = np.zeros(len(s), bool)
-            later[order[order != first]] = True
-            of = np.searchsorted(ends, s, "right")
-            rows = [(0, int(r % shards), d, r, runs) for d, r, runs in _by_document(doc, rid, (s - begins[of])[later], of[later])]
-            s, at, h, of = s[~later], at[~later], h[~later], of[~later]
-            if len(s):
-                edge = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(at) != 0), [True]]))
-                i, n = edge[:-1], np.diff(edge)
-                shard = (h[i] % np.uint64(shards)).astype(np.int64)
-                rank = np.argsort(shard, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], np.diff(shard[rank]) != 0, [True]]))
-                for x, y in zip(cut[:-1], cut[1:]):
-                    seg = rank[x:y]
-                    k = i[seg]
-                    text = b"".join(data[b : b + w + LENGTH - 1] for b, w in zip(s[k].tolist(), n[seg].tolist()))
-                    who, index = np.unique(of[k], return_inverse=True)
-                    head = np.array([len(seg), len(who)], np.int64).tobytes()
-                    parts = ((doc[who], "i8"), (rid[who], "i8"), (h[k].view(np.int64), "i8"), (index, "u4"), (s[k] - begins[of[k]], "u4"), (n[seg], "u1"), (at[k] - s[k], "u1"))
-                    rows.append((1, int(shard[seg[0]]), 0, 0, put(head + b"".join(v.astype(t).tobytes() for v, t in parts) + text)))
-            return pa.RecordBatch.from_pylist([dict(zip(_MARKS.names, r)) for r in rows], schema=_MARKS)
+    return run
+
+
+def _known(table: pa.Table) -> pa.Table:
+    """A shard's messages to answers: one bit a minimiser, set where it occurs more than once."""
+    low = [np.frombuffer(b, np.uint32) for b in table.column("low").to_pylist()]
+    sizes = np.array([len(b) for b in low])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(table.column("twice").to_pylist(), sizes)])
+    order = np.argsort(np.concatenate(low), kind="stable")
+    v = np.concatenate(low)[order]
+    head = np.concatenate([[True], v[1:] != v[:-1]])
+    group = np.cumsum(head) - 1
+    many = (np.bincount(group) > 1) | (np.bincount(group, twice[order]) > 0)
+    answer = np.zeros(len(v), bool)
+    answer[order] = many[group]
+    ends = np.cumsum(sizes)
+    bits = [np.packbits(answer[e - n : e]).tobytes() for e, n in zip(ends, sizes)]
+    return pa.table({"shard": table.column("shard"), "part": table.column("part"), "seq": table.column("seq"), "bits": pa.array(bits, pa.binary())})
+
+
+def _encoded(doc, rid, h, index, rel, start, n, off, text: bytes) -> bytes:
+    """Segments (suffix starts in a row that share a minimiser) of documents doc, rid: each one's document, start there and in its batch, number, distance to the minimiser, and bytes."""
+    parts = ((doc, "i8"), (rid, "i8"), (h.view(np.int64), "i8"), (index, "u4"), (rel, "u4"), (start, "u4"), (n, "u1"), (off, "u1"))
+    return _put(np.array([len(h), len(doc)], np.int64).tobytes() + b"".join(np.asarray(v).astype(t).tobytes() for v, t in parts) + text)
+
+
+def _decoded(blob: bytes):
+    blob = _get(blob)
+    k, w = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    at, got = 16, []
+    for m, t in ((w, "i8"), (w, "i8"), (k, "i8"), (k, "u4"), (k, "u4"), (k, "u4"), (k, "u1"), (k, "u1")):
+        got.append(np.frombuffer(blob, t, m, at).astype(np.int64))
+        at += m * int(t[1])
+    cut = (np.concatenate([[0], np.cumsum(got[6] + LENGTH - 1)]) + at).tolist()
+    return [got[0][got[3]], got[1][got[3]], *got[2:3], *got[4:]], [blob[i:j] for i, j in zip(cut[:-1], cut[1:])]
+
+
+_MARKS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("part", pa.int64()), ("seq", pa.int32()), ("payload", pa.binary())])
+_MARKS_SQL = "kind int, shard int, part long, seq int, payload binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _MARKS.types)], schema=_MARKS)
+
+
+def _mark(part: int, seq: int, starts: np.ndarray, shards: int) -> tuple:
+    """Marked starts (ascending, by place in the batch) as a row of kind 0."""
+    return 0, (part * 31 + seq) % shards, part, seq, _put(_runs(starts).astype(np.int64).tobytes())
+
+
+def _segments(s: np.ndarray, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where segments begin among starts s with minimisers at `at` in documents `of`, and their numbers of starts."""
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(at) != 0) | (np.diff(of) != 0), [True]]))
+    return edge[:-1], np.diff(edge)
+
+
+def _suffixes(shards: int):
+    """Batches with their answers to marks (kind 0: settled here) and suffixes (kind 1: the first of each here)."""
+
+    def settled(part: int, seq: int, b: Batch, answers: list[dict]) -> list[tuple]:
+        h, _, edge, _ = b.messages(shards)
+        bits = [np.frombuffer(a["bits"], np.uint8) for a in sorted(answers, key=lambda a: a["shard"])]
+        again = np.concatenate([np.unpackbits(x, count=j - i) for x, i, j in zip(bits, edge[:-1], edge[1:])]).astype(bool)
+        wanted = np.sort(h[again])
+        if not len(wanted):
+            return []
+        good = np.zeros(len(b.data), bool)
+        good[b.spots[wanted[np.minimum(np.searchsorted(wanted, b.hashes), len(wanted) - 1)] == b.hashes]] = True
+        keep = [good[a] for a in b.anchors]
+        s, at = (np.concatenate([x[k] for x, k in zip(xs, keep)]).astype(np.int64) for xs in (b.starts, b.anchors))
+        b.starts = b.anchors = None
+        h = b.hashes[np.searchsorted(b.spots, at)]
+        with np.errstate(over="ignore"):
+            key = mix64(h + (at - s).astype(np.uint64) * _GOLD)
+        order, first = radix_groups(b.data, s, key)
+        later = np.zeros(len(s), bool)
+        later[order[order != first]] = True
+        rows = [_mark(part, seq, s[later], shards)] if later.any() else []
+        s, at, h = s[~later], at[~later], h[~later]
+        of = np.searchsorted(b.ends, s, "right")
+        i, n = _segments(s, at, of)
+        shard = (h[i] % np.uint64(shards)).astype(np.int64)
+        rank = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(shard[rank]) != 0, [True]]))
+        for x, y in zip(cut[:-1], cut[1:]):
+            seg = rank[x:y]
+            k = i[seg]
+            text = b"".join(b.data[p : p + w + LENGTH - 1] for p, w in zip(s[k].tolist(), n[seg].tolist()))
+            who, index = np.unique(of[k], return_inverse=True)
+            rows.append((1, int(shard[seg[0]]), part, seq, _encoded(b.doc[who], b.rid[who], h[k], index, s[k] - b.begins[of[k]], s[k], n[seg], at[k] - s[k], text)))
+        return rows
 
+    def run(batches):
+        finder = Minimisers()
         for batch in batches:
-            for d, r, t, hs in zip(batch.column("doc").to_pylist(), batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("hs").to_pylist()):
-                if (d, r) in seen:
-                    continue
-                seen.add((d, r))
-                pending.append((d, r, (t or "").encode("utf-8", "surrogatepass"), hs))
-                size += len(pending[-1][2])
-                if size >= flush:
-                    if (out := emit()) is not None:
-                        yield out
-                    size = 0
-        if pending and (out := emit()) is not None:
-            yield out
+            for part, seq, ids, data, answers in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "ids", "data", "answers"))):
+                yield from _table(settled(part, seq, Batch(ids, data, finder), answers)).to_batches()
 
     return run
 
 
-def _sorted_shard(buckets: int):
-    """A shard's suffixes in radix order, to marks by text; marks that are settled already pass."""
+def _sorted_shard(shards: int, last: bool):
+    """A shard's suffixes in radix order, to marks by batch (and, before the last round, the first of each); marks that are settled already pass."""
 
     def run(table: pa.Table) -> pa.Table:
-        get = zstandard.ZstdDecompressor().decompress
         kind = table.column("kind").to_numpy()
-        settled = table.filter(pa.array(kind == 0))
-        doc, rid, s0, n, off, h, texts = [], [], [], [], [], [], []
-        for blob in table.column("payload").filter(pa.array(kind == 1)).to_pylist():
-            blob = get(blob)
-            k, w = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-            at, got = 16, []
-            for m, t in ((w, "i8"), (w, "i8"), (k, "i8"), (k, "u4"), (k, "u4"), (k, "u1"), (k, "u1")):
-                got.append(np.frombuffer(blob, t, m, at).astype(np.int64))
-                at += m * int(t[1])
-            for to, v in zip((doc, rid, h, s0, n, off), (got[0][got[3]], got[1][got[3]], got[2], *got[4:])):
-                to.append(v)
-            cut = np.concatenate([[0], np.cumsum(got[5] + LENGTH - 1)]).tolist()
-            texts += [blob[at + i : at + j] for i, j in zip(cut[:-1], cut[1:])]
-        out = list(zip(settled.column("doc").to_pylist(), settled.column("rid").to_pylist(), settled.column("payload").to_pylist()))
-        if texts:
-            doc, rid, s0, n, off, h = (np.concatenate(x) for x in (doc, rid, s0, n, off, h))
-            rank = np.lexsort((s0, rid, doc))
-            doc, rid, s0, n, off, h = (x[rank] for x in (doc, rid, s0, n, off, h))
-            data = b"".join(texts[i] for i in rank.tolist())
-            del texts
-            begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-            seg = np.repeat(np.arange(len(n)), n)
-            j = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-            with np.errstate(over="ignore"):
-                key = mix64(h[seg].view(np.uint64) + (off[seg] - j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            order, first = radix_groups(data, begin[seg] + j, key)
-            marked = np.sort(order[order != first])
-            g = seg[marked]
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
-            who = np.cumsum(new) - 1
-            lead = np.flatnonzero(new)
-            out += _by_document(doc[lead], rid[lead], s0[g] + j[marked], who[g])
-        return _packed_rows(np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64), [x[2] for x in out], buckets)
+        settled, own = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
+        shard = table.column("shard")[0].as_py()
+        parts, seqs = own.column("part").to_numpy(), own.column("seq").to_numpy()
+        columns, texts, src = [], [], []
+        for i, blob in enumerate(own.column("payload").to_pylist()):
+            cols, pieces = _decoded(blob)
+            columns.append(cols)
+            texts += pieces
+            src.append(np.full(len(pieces), i))
+        if not texts:
+            return settled.cast(_MARKS)
+        doc, rid, h, rel, start, n, off = (np.concatenate(c) for c in zip(*columns))
+        src = np.concatenate(src)
+        del columns
+        rank = np.lexsort((rel, rid, doc))
+        doc, rid, h, rel, start, n, off, src = (x[rank] for x in (doc, rid, h, rel, start, n, off, src))
+        data = b"".join([texts[i] for i in rank.tolist()])
+        del texts
+        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        seg = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+        with np.errstate(over="ignore"):
+            key = mix64(h[seg].view(np.uint64) + (off[seg] - j).astype(np.uint64) * _GOLD)
+        order, first = radix_groups(data, begin[seg] + j, key)
+        a, b = seg[order], seg[first]  # a row that repeats is the same document: what it shares with itself is no repeat
+        same = (doc[a] == doc[b]) & (rid[a] == rid[b]) & (rel[a] + j[order] == rel[b] + j[first])
+        later = np.zeros(len(seg), bool)
+        later[order[~same]] = True
+        g = np.flatnonzero(later)
+        of, place = src[seg[g]], start[seg[g]] + j[g]
+        by = np.lexsort((place, of))
+        of, place = of[by], place[by]
+        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
+        rows = [_mark(int(parts[of[x]]), int(seqs[of[x]]), place[x:y], shards) for x, y in zip(edge[:-1], edge[1:])]
+        if not last:
+            rows += _firsts(shard, parts, seqs, src, doc, rid, h, rel, start, off, begin, data, seg, j, later)
+        return pa.concat_tables([settled.cast(_MARKS), _table(rows)])
 
     return run
 
 
-def covered(size: int, runs: bytes | None) -> np.ndarray:
+def _firsts(shard, parts, seqs, src, doc, rid, h, rel, start, off, begin, data, seg, j, gone) -> list[tuple]:
+    """The starts that stay, as rows of kind 1 by batch."""
+    left = np.flatnonzero(~gone)
+    own, i = seg[left], j[left]
+    lead = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(i) != 1)])) if len(left) else np.zeros(0, np.int64)
+    n = np.diff(np.append(lead, len(left)))
+    own, i = own[lead], i[lead]
+    rank = np.argsort(src[own], kind="stable")
+    own, i, n = own[rank], i[rank], n[rank]
+    at = src[own]
+    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
+    rows = []
+    for x, y in zip(edge[:-1], edge[1:]):
+        k, f, m = own[x:y], i[x:y], n[x:y]
+        text = b"".join(data[p : p + w + LENGTH - 1] for p, w in zip((begin[k] + f).tolist(), m.tolist()))
+        rows.append((1, shard, int(parts[at[x]]), int(seqs[at[x]]), _encoded(doc[k], rid[k], h[k], np.arange(len(k)), rel[k] + f, start[k] + f, m, off[k] - f, text)))
+    return rows
+
+
+def covered(size: int, runs: np.ndarray) -> np.ndarray:
     """Which of `size` bytes a marked string covers."""
-    change = np.zeros(size + 1, np.int64)
-    r = np.frombuffer(runs or b"", np.int64).reshape(-1, 2)
-    np.add.at(change, r[:, 0], 1)
-    np.add.at(change, r[:, 1] - 1 + LENGTH, -1)
+    change = np.zeros(size + 1, np.int32)
+    np.add.at(change, runs[:, 0], 1)
+    np.add.at(change, runs[:, 1] - 1 + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
 def _cut(with_text: bool):
     def run(batches):
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text]
         for batch in batches:
-            cols = [[], [], [], [], []]
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                gone = covered(len(data), runs)
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                for c, v in zip(cols, (len(data), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), hashlib.sha256(kept).hexdigest(), kept)):
-                    c.append(v)
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, types)][: 4 + with_text]], names=names)
+            for ids, data, marks in zip(*(batch.column(c).to_pylist() for c in ("ids", "data", "marks"))):
+                b = Batch(ids, data, None)
+                runs = [np.frombuffer(_get(m["payload"]), np.int64).reshape(-1, 2) for m in marks or []]
+                gone = covered(len(b.data), np.concatenate(runs) if runs else np.zeros((0, 2), np.int64))
+                a, rows = np.frombuffer(b.data, np.uint8), []
+                n_gone = np.concatenate([[0], np.cumsum(gone)])
+                for i, (x, y) in enumerate(zip(b.begins.tolist(), b.ends.tolist())):
+                    n, g = int(n_gone[y] - n_gone[x]), gone[x:y]
+                    kept = a[x:y][~g].tobytes() if n else b.data[x:y]
+                    spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0]) if n else 0
+                    row = (None if b.null[i] else int(b.doc[i]), y - x, n, spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_text)
+                    rows += [row] * int(b.copies[i])
+                yield from pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names).to_batches(max_chunksize=10_000)
 
     return run
 
 
-def _marks(rows: DataFrame, shards: int) -> DataFrame:
-    """doc, rid, data: the runs of starts of repeated strings, for texts that have any."""
-    long = rows.where(F.octet_length("text") >= LENGTH)
-    packed = long.select("rid", "text").mapInArrow(_minimiser_rows(shards), "shard int, ids binary, index binary, h binary")
-    lists = packed.groupBy("shard").applyInArrow(_repeated(shards), _ROWS).groupBy("bucket").applyInArrow(_gathered, "doc long, rid long, data binary").select("rid", F.col("data").alias("hs"))
-    suffixes = long.join(lists, "rid").select("doc", "rid", "text", "hs").mapInArrow(_suffixes(shards), "kind int, shard int, doc long, rid long, payload binary")
-    return common.written(suffixes.groupBy("shard").applyInArrow(_sorted_shard(shards), _ROWS).groupBy("bucket").applyInArrow(_gathered, "doc long, rid long, data binary"), "marks")
+def _of_batches(batches: DataFrame, rows: DataFrame, name: str, column: str) -> DataFrame:
+    """batches with the array `name` of structs (shard, column) of their rows; only rows are dealt out."""
+    lists = rows.groupBy("part").agg(F.collect_list(F.struct("seq", "shard", column)).alias("_all"))
+    mine = F.filter("_all", lambda x: x["seq"] == F.col("seq"))
+    return batches.join(lists, "part", "left").withColumn(name, F.transform(mine, lambda x: F.struct(x["shard"].alias("shard"), x[column].alias(column)))).drop("_all")
 
 
-def remove_repeats(docs: DataFrame, shard_bytes: int = 1 << 24, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, shard_bytes: int = 1 << 24, with_text: bool = False, batch_bytes: int = 1 << 23, least_shards: int = 64, fan_in: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
-    spark = docs.sparkSession
-    common.small_arrow_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marks = _marks(rows, int(max(1, -(-total // shard_bytes)))).withColumnRenamed("data", "runs")
-    common.release(spark)  # what the marks were made of isn't needed beside the texts' last shuffle
+    batches = common.bucketed(rows.mapInArrow(_batches(batch_bytes), _BATCH), "texts", "part")
+    total, n = batches.agg(F.sum("n_bytes"), F.count("*")).first()
+    shards = int(max(least_shards, -(-(total or 0) // shard_bytes)))
+    messages = batches.select("part", "seq", "ids", "data").mapInArrow(_hashes(shards), "shard int, part long, seq int, low binary, twice binary")
+    answers = messages.groupBy("shard").applyInArrow(_known, "shard int, part long, seq int, bits binary")
+    asked = _of_batches(batches.drop("n_bytes"), answers, "answers", "bits").where(F.size("answers") > 0)
+    found = asked.mapInArrow(_suffixes(shards), _MARKS_SQL)
+    while n > fan_in:
+        n = -(-n // fan_in)
+        found = found.withColumn("_group", F.pmod(F.xxhash64("part", "seq", F.lit(n)), F.lit(n))).groupBy("shard", "_group").applyInArrow(_round(shards), _MARKS_SQL)
+    marks = common.written(found.groupBy("shard").applyInArrow(_sorted_shard(shards, True), _MARKS_SQL).select("shard", "part", "seq", "payload"), "marks")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.join(marks, ["doc", "rid"], "left").select("doc_id", "text", "runs").mapInArrow(_cut(with_text), schema)
+    return _of_batches(batches.drop("n_bytes"), marks, "marks", "payload").mapInArrow(_cut(with_text), schema)
+
+
+def _round(shards: int):
+    one = _sorted_shard(shards, False)
+    return lambda key, table: one(table.drop(["_group"]))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,24 @@
-"""Vectorised words: 64-bit hashes of all words of a batch of texts without a Python object per word."""
+"""What runs in Python workers: 64-bit hashes of all words of a batch of texts without a Python object per word, and bounded batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 400, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that at most `rows` rows and about `size` bytes (one row at least) are looked at in one go."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     with np.errstate(over="ignore"):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import common
+from .textkit import slices
 
 FILE = "word_bpe_49k.json"
 #: For ASCII text, which needs no normal form; the rest goes through the library's own normaliser and splitter.
@@ -121,7 +122,7 @@ def _byte_chars() -> dict[int, str]:
 def _count(path: str, limit: int):
     def run(batches):
         counter = MergeCounter(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n = [c for i in range(0, len(texts), 100) for c in counter.count(texts[i : i + 100])]
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
@@ -132,7 +133,6 @@ def _count(path: str, limit: int):
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit. path: a tokenizer file that every executor has."""
-    common.small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_count(path or public_tokenizers.path(FILE), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .textkit import slices
 
 TAIL = bytes(range(128, 148))
 BINS, SHIFT = 40, 5
@@ -165,7 +166,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 8192, ordinary_
 def _score(model: dict):
     def run(batches):
         coder = Coder(model["ordinary"], model["toxic"], model["level"])
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             score = np.zeros(0)
             for i in range(0, len(texts), 50):
@@ -188,7 +189,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_tox
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, threshold: float = 0.7, max_toxic: int = 2000, max_ordinary: int = 4000) -> DataFrame:
     """One row per row of docs: doc_id, score, predicted. train: which labels may be learnt from."""
-    common.small_arrow_batches(docs.sparkSession)
     toxic, ordinary = labelled_sample(docs, labels, F.lit(True) if train is None else train, max_toxic, max_ordinary)
     if toxic and ordinary:
         scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(fit(toxic, ordinary)), "doc_id long, score double")
