@@ -49,7 +49,7 @@ def test_settling_keeps_words_and_expectations():
     probs = [0.3, 0.5, 0.25, 0.9, 0.4, 0.0]
     total = np.zeros(len(sizes))
     for _ in range(4000):
-        p, left = M.settle(list(range(6)), sizes, probs, rng.random(6))
+        p, left = M.settle(sizes, probs, rng.random(6))
         assert abs(np.dot(p, sizes) - np.dot(probs, sizes)) < 1e-9
         assert sum(0 < x < 1 for x in p) == (left >= 0)
         total += p
@@ -59,3 +59,19 @@ def test_settling_keeps_words_and_expectations():
 def test_empty(make):
     assert M.mix(make(["a"]).where("false")).count() == 0
     assert [r.taken for r in M.mix(make([(1, None, None), (2, "", "s")])).collect()] == [0, 0]
+
+
+def test_ids_stay_exact_beside_a_null(make):
+    big = [9007199254740993 + 2 * i for i in range(20)]
+    rows = [(i, "w " * (5 + i % 7), "s") for i in big] + [(None, "a b c", "s")] * 5 + [(big[0], "a b", "t")]
+    got = M.mix(make(rows, 4), cell_rows=8)
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted([*big, big[0]])
+    assert sum(r.doc_id is None for r in got.collect()) == 5
+    key = lambda df: sorted(((r.doc_id, r.size, r.copies) for r in df.collect()), key=str)
+    assert key(got) == key(M.mix(make(rows, 2), cell_rows=8))
+
+
+def test_nulls_do_not_share_a_cell(make):
+    rows = [(None, f"word{i} " * (1 + i % 9), "s") for i in range(400)]
+    got = M.mix(make(rows), cell_rows=20, fan_in=2).collect()
+    assert len(got) == 400 and abs(sum(r.taken for r in got) - got[0].target) <= 9

@@ -4,18 +4,20 @@ Targets come from water-filling over the aggregated sources. Every document of a
 number of copies, target / source size; its fraction is rounded by pairing: two fractional documents exchange words, in
 a direction drawn so that neither's expectation changes, until one is integral. An exchange keeps the pair's expected
 words, so a source's taken words differ from its target by less than one document. Pairing runs first within cells of
-about cell_rows (1000) documents (hashed by doc_id, so a hot source is spread and reruns agree), then the one residual of each
-cell is paired with others in rounds of fan_in cells: a reduction tree over one row per cell.
-
-Defined cases: null text has size 0; documents of size 0 take 0 words; null source is a source of its own, last in
-order; a source of size 0 has target 0; an empty table gives an empty result; rows that repeat a doc_id are rounded
-each on their own (they may take different copies).
+about cell_rows (1000) documents (hashed by doc_id and text, so a hot source is spread and reruns agree), then the one residual
+of each cell is paired with others in rounds of fan_in cells: a reduction tree over one row per cell.
+
+Defined cases: null text has size 0, as have empty ones; documents of size 0 take 0 words; a very long text is one document,
+counted by the scan, and may leave its source off by up to its own size; null source is a source of its own, last in
+order; a source of size 0 has target 0; a null doc_id keeps its row and comes after all ids; ids of any size stay exact;
+documents of one size are paired in order of doc_id (ties: of a hash of the text); rows that repeat a doc_id are rounded
+each on their own (they may take different copies); other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = B
     return leveled.select("source", "source_size", "source_docs", target.alias("target"))
 
 
-def settle(ids: list, sizes: list, probs: list, draws: np.ndarray) -> tuple[list, int]:
+def settle(sizes: list, probs: list, draws: np.ndarray) -> tuple[list, int]:
     """Rounds probs in order, pairing the carried document with the next; returns them and the place of the one left fractional (-1: none)."""
     p, carry = list(probs), -1
     for j, q in enumerate(p):
@@ -68,43 +70,55 @@ def settle(ids: list, sizes: list, probs: list, draws: np.ndarray) -> tuple[list
     return p, carry
 
 
-_CELL = "doc_id long, source string, _docs long, _cell long, size long, source_size long, target double, _whole long, _p double, _left boolean"
+_CELL = "doc_id long, source string, _docs long, _cell long, _salt long, size long, source_size long, target double, _whole long, _p double, _left boolean"
 
 
 def _settle_cell(level: int, seed: int, last: bool):
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        draws = np.random.default_rng(xxhash.xxh64_intdigest(repr((level, seed, key[0] if isinstance(key[0], str) else None, int(key[1]))))).random(len(pdf))
-        p, left = settle(pdf["doc_id"].tolist(), pdf["size"].tolist(), pdf["_p"].tolist(), draws)
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        ids, sizes, salt = table.column("doc_id"), table.column("size").to_numpy(), table.column("_salt").to_numpy()
+        null = ids.is_null().to_numpy()
+        order = np.lexsort((salt, ids.fill_null(0).to_numpy(), null, -sizes))  # integers throughout: ids are never floats
+        source, cell = key[0].as_py(), key[1].as_py()
+        draws = np.random.default_rng(xxhash.xxh64_intdigest(repr((level, seed, source, cell)))).random(len(order))
+        probs = table.column("_p").to_numpy()
+        settled, left = settle(sizes[order].tolist(), probs[order].tolist(), draws)
         if last and left >= 0:
-            p[left], left = float(draws[0] < p[left]), -1
-        pdf["_p"] = p
-        pdf["_left"] = np.arange(len(pdf)) == left
-        return pdf
+            settled[left], left = float(draws[0] < settled[left]), -1
+        p, mark = np.empty(len(order)), np.zeros(len(order), bool)
+        p[order] = settled
+        if left >= 0:
+            mark[order[left]] = True
+        out = table.set_column(table.schema.get_field_index("_p"), "_p", pa.array(p))
+        return out.set_column(out.schema.get_field_index("_left"), "_left", pa.array(mark))
 
     return one
 
 
 def mix(docs: DataFrame, cell_rows: int = 1000, fan_in: int = 16, seed: int = 7, weights: tuple = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken."""
-    sizes = common.written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    salt = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), salt.alias("_salt"))
+    sizes = common.written(sizes, "sizes")
     targets = common.written(source_targets(sizes, weights, budget, most), "targets")
     total = sizes.count()
-    placed = common.join_groups(sizes.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))), targets.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source"), "_s", "source_docs", total).drop("_s")
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    placed = common.join_groups(sizes.withColumn("_s", named), targets.withColumn("_s", named).drop("source"), "_s", "source_docs", total).drop("_s")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     cells = F.ceil(F.col("source_docs") / cell_rows)
     rows = placed.select(
-        "doc_id", "source", F.col("source_docs").alias("_docs"), F.pmod(F.xxhash64("doc_id"), cells).alias("_cell"), "size", "source_size", "target",
-        F.floor(expected).alias("_whole"), F.when(F.col("size") > 0, expected - F.floor(expected)).otherwise(F.lit(0.0)).alias("_p"), F.lit(False).alias("_left"),
-    )
+        "doc_id", "source", F.col("source_docs").alias("_docs"), F.pmod("_salt", cells).alias("_cell"), "_salt", "size", "source_size", "target",
+        F.floor(expected).alias("_whole"), F.when(F.col("size") > 0, expected - F.floor(expected)).otherwise(F.lit(0.0)).alias("_p"),
+        F.lit(False).alias("_left"),
+    )
     most_cells = int(targets.agg(F.max(F.ceil(F.col("source_docs") / cell_rows))).first()[0] or 1)
     done, level = [], 0
     while True:
-        settled = common.written(rows.groupBy("source", "_cell").applyInPandas(_settle_cell(level, seed, most_cells <= 1), _CELL), f"settled{level}")
+        settled = common.written(rows.groupBy("source", "_cell").applyInArrow(_settle_cell(level, seed, most_cells <= 1), _CELL), f"settled{level}")
         done.append(settled.where("not _left"))
         if most_cells <= 1:
             break
-        rows, most_cells, level = settled.where("_left").withColumn("_cell", F.floor(F.col("_cell") / fan_in)), -(-most_cells // fan_in), level + 1
+        rows = settled.where("_left").withColumn("_cell", F.floor(F.col("_cell") / fan_in))
+        most_cells, level = -(-most_cells // fan_in), level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
