@@ -3,9 +3,11 @@ import os
 import pytest
 
 import corpus_pipeline
-from tidefeed.llm import common, decontaminate, exact_dedup, quality, simhash
+from tidefeed.llm import common, decontaminate, exact_dedup, quality
 from tidefeed.llm.registry import ORACLE, QUERIES
 
+from test_similar import slow_components
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
@@ -16,7 +18,7 @@ def test_stages_decide_what_their_operators_say(spark):
     says = [
         lambda d: quality.quality(d, ratings).where("selected"),
         lambda d: exact_dedup.duplicate_groups(d).where("kept"),
-        lambda d: simhash.near_duplicates(d).where("doc_id = component_id"),
+        lambda d: d.where(~d.doc_id.isin([i for i, x in slow_components([(r.doc_id, r.text) for r in d.collect()]).items() if i != x])),
         lambda d: decontaminate.contamination(d, items).where("not contaminated"),
     ]
     for (_, stage), want in zip(corpus_pipeline.STAGES, says):

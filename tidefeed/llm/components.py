@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def _star(edges: DataFrame, total: int, own: bool, pick, name: str) -> DataFrame:
+    """pick(edges with m, the least neighbour of a; a itself included if own), written; a hub's edges meet their row by broadcast."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+    if own:
+        least = least.withColumn("m", F.least("a", "m"))
+    least = least.persist()
+    out = common.written(pick(common.join_groups(edges, least, "a", "_n", total)).where("a <> b").distinct(), name)
+    least.unpersist()
+    return out
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """edges (a, b: long) to (node, root: the smallest node reachable), for nodes of edges with a <> b only."""
     edges = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
+    total, state = edges.count(), None
+    pair = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
+    while total:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = common.written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        edges = common.written(small.select("e.*").where("a <> b").distinct(), "small")
+        large = _star(both, 2 * total, True, lambda j: j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+        edges = _star(large, total, False, lambda j: j.select(pair).select("e.*"), "small")
         now = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -65,8 +65,8 @@ def _ball(width: int, radius: int) -> int:
     return size if radius >= 0 else 0
 
 
-def plan(sample: np.ndarray, total: int, bits: int = 3) -> list[tuple[list[int], int]]:
-    """[(bits of a partition, its threshold)] with the least estimated number of signatures and candidates over `total` fingerprints."""
+def plan(sample: np.ndarray, total: int, bits: int = 3, pair: float = 0.05, share: float = 1.0) -> list[tuple[list[int], int]]:
+    """[(bits of a partition, its threshold)] with the least estimated work over `total` fingerprints: signatures, and candidates at `pair` of a signature's work. No partition's ball covers over `share` of its values."""
     sample = np.unique(sample)
     on = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
     if len(sample) > 1:
@@ -91,15 +91,15 @@ def plan(sample: np.ndarray, total: int, bits: int = 3) -> list[tuple[list[int],
         cost = np.full((m, bits + 2), np.inf)  # by threshold + 1
         for i, part in enumerate(parts):
             mask = np.uint64(sum(1 << b for b in part))
-            near = np.zeros(bits + 1)
-            for x in few[:300]:
-                d = np.bitwise_count((few ^ x) & mask)
-                near += [(d <= t).sum() - 1 for t in range(bits + 1)]
+            apart = np.bitwise_count((few[:300, None] ^ few[None, :]) & mask).ravel()
+            near = np.cumsum(np.bincount(apart, minlength=bits + 1)[: bits + 1]) - min(300, len(few))
             pairs = max(1, min(300, len(few))) * max(1, len(few) - 1)
             cost[i, 0] = 0
             for t in range(bits + 1):
                 chance = max(near[t] / pairs, _ball(len(part), t) / 2.0 ** len(part))
-                cost[i, t + 1] = total * _ball(len(part), t) + 0.5 * chance * float(total) ** 2 * 0.05
+                if _ball(len(part), t) > share * 2 ** len(part):
+                    break
+                cost[i, t + 1] = total * _ball(len(part), t) + 0.5 * chance * float(total) ** 2 * pair
         table = np.full((m + 1, bits + 2), np.inf)  # least cost of the first i partitions with sum(threshold + 1) = s
         table[0, 0] = 0
         choice = np.zeros((m + 1, bits + 2), int)
@@ -188,14 +188,11 @@ def _verify(bits: int, small: int = 32):
         return pa.RecordBatch.from_arrays([pa.array(x[differ].view(np.int64)), pa.array(y[differ].view(np.int64))], names=["a", "b"])
 
     def run(batches):
-        kept: list = []
-        rows = 0
         carry = None
         for batch in batches:
             t = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
             carry = t
-            rows = t.num_rows
-            if rows < 200_000:
+            if t.num_rows < 200_000:
                 continue
             h = t.column("h").to_numpy()
             cut = int(np.searchsorted(h == h[-1], True))  # the last bucket may go on
@@ -204,7 +201,6 @@ def _verify(bits: int, small: int = 32):
                 carry = t.slice(cut)
         if carry is not None and carry.num_rows:
             yield links(carry.column("h").to_numpy(), carry.column("fp").to_numpy().view(np.uint64))
-        del kept
 
     return run
 
@@ -242,11 +238,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
-def distinct_documents(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's; rows without a doc_id stay."""
-    gone = near_duplicates(docs, shingle, bits).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(common.written(gone, "gone"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir)).drop("component_size")

@@ -411,7 +411,7 @@ def _of_batches(batches: DataFrame, rows: DataFrame, name: str, column: str) ->
     return batches.join(lists, "part", "left").withColumn(name, F.transform(mine, lambda x: F.struct(x["shard"].alias("shard"), x[column].alias(column)))).drop("_all")
 
 
-def remove_repeats(docs: DataFrame, shard_bytes: int = 1 << 24, with_text: bool = False, batch_bytes: int = 1 << 23, least_shards: int = 64, fan_in: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, shard_bytes: int = 1 << 24, with_text: bool = False, batch_bytes: int = 1 << 22, least_shards: int = 64, fan_in: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     batches = common.bucketed(rows.mapInArrow(_batches(batch_bytes), _BATCH), "texts", "part")
