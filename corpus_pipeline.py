@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefeed.llm import common, decontaminate, exact_dedup, mixing, near_dedup, quality
+from tidefeed.llm import common, decontaminate, exact_dedup, mixing, quality, similar
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word Jaccard similarity of at least 0.8."""
-    return near_dedup.distinct_documents(docs)
+    """One document of each group linked by a five-word similarity of at least 0.8 (SimHash search, exact verification)."""
+    return similar.distinct_documents(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
-    ("near-dedup", near_stage),
+    ("SimHash near-dedup", near_stage),
     ("benchmark decontamination", benchmark_stage),
     ("mixing", mixing_stage),
 ]
