@@ -1,4 +1,8 @@
+import random
+import time
+
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -31,3 +35,27 @@ def test_operator(make, texts):
     n = want([t or "" for _, t, _ in rows])
     assert got == {i: (len((t or "").encode()), c, c > 2048) for (i, t, _), c in zip(rows, n)}
     assert T.token_counts(make(["a"]).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "eth", "a"])
+def test_one_long_word(letters):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for n in (257, 700, 5000, 30_000)]
+    assert OURS.count(texts) == want(texts)
+
+
+def test_a_million_letters_take_seconds():
+    rnd = random.Random(1)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.process_time()
+    assert OURS.count([text]) == want([text])
+    assert time.process_time() - began < 60
+
+
+def test_other_files():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, library = T.MergeCounter(path), Tokenizer.from_file(path)
+    texts = [*TRICKY, "Some Ordinary  Text, with 123 numbers\n\n and more", "x" * 900]
+    assert ours.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        T.MergeCounter(public_tokenizers.path("piece_bpe_32k.model"))

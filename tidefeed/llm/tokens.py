@@ -5,12 +5,20 @@ adjacent pair, takes each sequence's lowest, and merges it in all sequences at o
 and what survives is counted. All occurrences of a sequence's lowest pair merge in one step, except where the merged
 symbol could pair at a lower rank: there only the first merges, which is what the sequential library does.
 
+Sequences of over `LONG` symbols go rank by rank instead, all of them at once: each step takes the lowest rank there is, merges
+its pairs wherever they are, and looks up only the pairs that this has made, so a word's work is nearly linear in its length.
+
+The file may be any byte-level BPE file of the library. Its own normaliser and splitter are used, but for ASCII text under
+the settings that FILE has, where a plain pattern does the same; files of other kinds are refused.
+
 Defined cases: null text counts as empty (0 tokens); special tokens' strings inside a text count one token each, as the
-library has it by default; texts are never cut; rows that repeat are counted each; an empty table gives an empty result.
+library has it by default; texts are never cut and may be one word of any length; of tied ranks the leftmost goes first; rows
+that repeat (doc_id null or not) are counted each; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
@@ -21,19 +29,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from . import common
 from .textkit import slices
 
 FILE = "word_bpe_49k.json"
-#: For ASCII text, which needs no normal form; the rest goes through the library's own normaliser and splitter.
+LONG = 256
+#: For ASCII text under the settings of FILE, which then needs no normal form.
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\f\ra-z0-9]+")
+# FILE's normaliser and splitter, for which ASCII_SPLIT stands.
+ASCII_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NONE = np.iinfo(np.int64).max
 
 
 class MergeCounter:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path, "rb") as f:
+            data = f.read()
+        if data[:1] != b"{":
+            raise ValueError(f"{path} is no file of the tokenizers library")
+        spec = json.loads(data)
+        model, splitter = spec["model"], json.dumps(spec.get("pre_tokenizer"))
+        odd = [k for k in ("unk_token", "dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk") if model.get(k)]
+        if model.get("type") != "BPE" or odd or '"ByteLevel"' not in splitter or any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] for t in spec.get("added_tokens", [])):
+            raise ValueError(f"{path} is no plain byte-level BPE file (type {model.get('type')}, {odd})")
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        usual = (spec.get("normalizer") or {}).get("normalizers") == ASCII_NORMALIZERS and first.get("pattern") == {"Regex": ASCII_PATTERN}
+        self.ascii_split = usual and (first.get("behavior"), first.get("invert")) == ("Removed", True)
         vocab, merges = spec["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         suffix = spec["model"].get("end_of_word_suffix") or ""
         self.size = len(vocab)
@@ -55,23 +76,86 @@ class MergeCounter:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["special"]) or r"(?!)")
         self.memo: dict[str, int] = {}
 
+    def laid_out(self, words: list[str], lens: np.ndarray):
+        """Symbols end to end, whose they are, and where words end."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sym, ends = self.first[chars], np.cumsum(lens) - 1
+        sym[ends] = self.last[chars[ends]]
+        return sym, np.repeat(np.arange(len(words)), lens), ends
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(left) or not len(self.keys):
+            return np.full(len(left), NONE)
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_of[at], NONE)
+
+    def merged_by_rank(self, words: list[str]) -> np.ndarray:
+        """merged() for long words: linked symbols, and for each rank the places where its pair has come up."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        sym, owner, ends = self.laid_out(words, lens)
+        n = len(sym)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        after[ends], before[ends[:-1] + 1] = -1, -1
+        before[0] = -1
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[after[at] >= 0]
+            rank = self.ranks(sym[at], sym[after[at]])
+            known = rank < NONE
+            at, rank = at[known], rank[known]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edge = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1], [True]])) if len(rank) else np.zeros(1, np.int64)
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                r = int(rank[i])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(at[i:j])
+
+        put(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at]]
+            at = at[after[at] >= 0]
+            at = at[self.ranks(sym[at], sym[after[at]]) == r]
+            if not len(at):
+                continue
+            fresh = np.concatenate([[True], after[at[:-1]] != at[1:]])  # of pairs in a row every other one merges
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            take = (np.arange(len(at)) - run) % 2 == 0
+            if not self.at_once[r]:  # what comes of the first in a word may go before the next
+                take &= np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])
+            hit, rest = at[take], at[~take]
+            gone = after[hit]
+            sym[hit] = self.made[r]
+            after[hit] = after[gone]
+            alive[gone] = False
+            tail = after[hit] >= 0
+            before[after[hit][tail]] = hit[tail]
+            left = before[hit]
+            put(np.unique(np.concatenate([left[left >= 0], hit, rest[alive[rest]]])))
+        return np.bincount(owner[alive], minlength=len(words))
+
     def merged(self, words: list[str]) -> np.ndarray:
         """Number of symbols that survive for each word (of byte characters)."""
         counts = np.zeros(len(words), np.int64)
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        owner = np.repeat(np.arange(len(words)), lens)
-        sym = self.first[chars]
-        ends = np.cumsum(lens) - 1
-        sym[ends] = self.last[chars[ends]]
+        if (lens > LONG).any():
+            far = lens > LONG
+            counts[far] = self.merged_by_rank([words[i] for i in np.flatnonzero(far).tolist()])
+            counts[~far] = self.merged([words[i] for i in np.flatnonzero(~far).tolist()])
+            return counts
+        sym, owner, _ = self.laid_out(words, lens)
         while len(sym):
             starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             rank = np.full(len(sym), NONE)
             inner = np.flatnonzero(owner[1:] == owner[:-1])
-            if len(inner):
-                key = sym[inner] * self.size + sym[inner + 1]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                rank[inner] = np.where(self.keys[at] == key, self.rank_of[at], NONE)
+            rank[inner] = self.ranks(sym[inner], sym[inner + 1])
             lowest = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.append(starts, len(sym)))
             done = lowest == NONE
@@ -91,10 +175,11 @@ class MergeCounter:
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings, in byte characters."""
-        if text.isascii():
+        if self.ascii_split and text.isascii():
             found = ASCII_SPLIT.findall(text.lower())
             return found if text.isprintable() else [w if w.isprintable() else w.translate(self.byte_chars) for w in found]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+        text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def count(self, texts: list[str]) -> list[int]:
         if len(self.memo) > 500_000:
