@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, compression: str = "uncompressed") -> DataFrame:
     """Like written, but bucketed by key as it lies, without a shuffle: joins on key deal out the other side only.
 
     There are as many buckets as shuffle partitions. df's tasks should hold few keys each (a file is written for each
@@ -47,7 +47,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark, table = df.sparkSession, f"tidefeed_{name}_{uuid.uuid4().hex}"
     path = _place(spark, name, table)
     n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(n, key).saveAsTable(table)
+    df.write.format("parquet").option("compression", compression).option("path", path).bucketBy(n, key).saveAsTable(table)
     return spark.table(table)
 
 
