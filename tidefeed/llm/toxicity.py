@@ -1,18 +1,25 @@
 """Operator 3: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows that toxic training texts use more than ordinary ones, one on
-windows that they don't. A window (one word with its borders) is compressed with the ordinary dictionary alone and with
-both; the bytes that the toxic dictionary saves are looked up in calibrated log-odds, and a text's log-odds (sum, mean
-and length) give its probability through a calibrated logistic curve. Each byte of a window is widened with two bytes
-that depend on it and its predecessors, so that short words yield whole bytes, and windows end in padding, because
-zstandard looks for no matches in the last bytes of a block.
-
-The fit uses at most max_toxic and max_ordinary labelled texts (by order of a hash of doc_id), whole; everything else
-covers all rows. Only the lower-cased text enters a score.
-
-Defined cases: null text counts as empty; an empty text has no window and scores the fitted curve at zero evidence; no
-usable labels of either class: every score is the share of toxic labels (0 without labels); a doc_id with several labels
-counts as toxic if one is; null labels are ignored; an empty table gives an empty result.
+Two zstandard dictionaries are trained, one on pieces that toxic training texts use more than ordinary ones, one on pieces that
+they don't. A text is cut into windows of WINDOW words that overlap by half. A window is coded word by word, so its length
+under a dictionary is the sum of its words' lengths, and what the toxic dictionary saves on each word (against the
+ordinary one alone) counts by calibrated log-odds of that saving. The windows' sums are the evidence: the strongest windows and
+the number of words decide through a calibrated logistic curve, so that a toxic passage isn't averaged away by the
+ordinary text around it. Each byte of a word is widened with two bytes that depend on it and its predecessors, so that
+short words yield whole bytes, and words end in padding, because zstandard looks for no matches in the last bytes of a block.
+
+Log-odds and curve are calibrated on texts that the dictionaries used for it have not seen, by cross-fitting in FOLDS parts at
+every size; the dictionaries that score are then trained on all training texts.
+
+The fit uses at most max_toxic and max_ordinary labelled texts (by order of a hash of doc_id) of at most max_bytes together,
+whole; everything else covers all rows. Only the lower-cased text enters a score.
+
+Defined cases: null text counts as empty; an empty text has no window and scores the fitted curve at zero evidence; a very
+long text is scored by all its windows; no usable labels of either class: every score is the share of toxic labels (0
+without labels); a doc_id with several labels counts as toxic if one is; null labels and labels of null ids are
+ignored; rows that repeat are scored each, and a doc_id trains once; texts that share a shingle minimum with an earlier one
+(copies) don't train again; ties don't arise (scores are continuous); extra columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,6 +41,7 @@ from .textkit import slices
 TAIL = bytes(range(128, 148))
 BINS, SHIFT = 40, 5
 PREFIXES = (6, 9)
+WINDOW, FOLDS = 64, 3
 
 
 def widened(words: list[bytes]) -> list[bytes]:
@@ -58,7 +66,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _windows(words: list[bytes]) -> set[bytes]:
+def _pieces(words: list[bytes]) -> set[bytes]:
+    """The words with their borders, and long words' beginnings."""
     found = set()
     for w in set(words):
         x = b" " + w
@@ -82,7 +91,7 @@ def _originals(docs: list[list[bytes]], shingle: int = 5, keys: int = 4) -> list
 def _dictionary(samples: list[bytes], size: int, k: int, group: int) -> bytes:
     packed = [b"".join(samples[i : i + group]) for i in range(0, len(samples), group)]
     try:
-        trained = zstandard.train_dictionary(size, packed, k=k, d=8).as_bytes()[140:]
+        trained = zstandard.train_dictionary(size, packed, k=k, d=8).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
         trained = b""
     return trained or b"".join(samples)[-size:]
@@ -113,11 +122,20 @@ class Coder:
         return [np.fromiter(map(get, d), np.int64, len(d)) for d in docs]
 
 
+def evidence(saved: np.ndarray, odds: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Each window's summed log-odds; windows begin every half window, the last ends with the text."""
+    total = np.concatenate([[0.0], np.cumsum(odds[np.clip(saved + SHIFT, 0, BINS - 1)])])
+    if not len(saved):
+        return np.zeros(0)
+    begin = np.arange(0, max(1, len(saved) - window // 2), window // 2)
+    return total[np.minimum(begin + window, len(saved))] - total[begin]
+
+
 def _features(saved: list[np.ndarray], odds: np.ndarray) -> np.ndarray:
     out = np.zeros((len(saved), 4))
     for i, s in enumerate(saved):
-        v = odds[np.clip(s + SHIFT, 0, BINS - 1)]
-        out[i] = (1.0, np.tanh(v.sum() / 20) * 4 if len(v) else 0.0, v.mean() * 10 if len(v) else 0.0, np.log1p(len(v)))
+        e = -np.sort(-evidence(s, odds))
+        out[i] = (1.0, np.tanh(e[0] / 20) * 4 if len(e) else 0.0, np.tanh(e[:4].sum() / 40) * 4 if len(e) else 0.0, np.log1p(len(s)))
     return out
 
 
@@ -129,13 +147,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return b
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 8192, ordinary_size: int = 32768, level: int = 6, least_z: float = 5.0, least_lift: float = 4.0) -> dict:
-    """Dictionaries, log-odds per saved byte and the curve. Two thirds train the dictionaries, the rest calibrates (all of them if few)."""
-    docs = [_originals([words_of(t) for t in side]) for side in (toxic, ordinary)]
-    many = min(map(len, docs)) >= 600
-    train = [[d for i, d in enumerate(side) if i % 3 or not many] for side in docs]
-    check = [[d for i, d in enumerate(side) if not i % 3 or not many] for side in docs]
-    seen = [Counter(w for d in side for w in _windows(d)) for side in train]
+def _coder(train: list[list[list[bytes]]], toxic_size: int, ordinary_size: int, level: int, least_z: float, least_lift: float) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of training texts (toxic, ordinary)."""
+    seen = [Counter(w for d in side for w in _pieces(d)) for side in train]
     n1, n0 = len(train[0]), len(train[1])
     samples: tuple[list, list] = ([], [])
     for w in sorted(seen[0].keys() | seen[1].keys()):
@@ -143,23 +157,33 @@ def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 8192, ordinary_
         p = (a + b) / (n1 + n0)
         z = (a / n1 - b / n0) / sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
         if z >= least_z and a >= 2 and a * (n0 + 2) >= least_lift * (b + 0.5) * n1:
-            samples[0].extend([w] * min(a, 400))
+            samples[0].extend([w] * a)
         elif z < 1 and b >= 3:
-            samples[1].extend([w] * min(b, 20))
+            samples[1].extend([w] * max(1, round(sqrt(b))))  # else the commonest words would leave no room for others
     for side in samples:
         random.Random(1).shuffle(side)
 
-    def wide(side: list[bytes]) -> list[bytes]:  # a window has its borders already; prefixes have no right one
+    def wide(side: list[bytes]) -> list[bytes]:  # a piece has its borders already; beginnings have no right one
         return [x[:-3] if w[-1:] != b" " else x for w, x in zip(side, (y[: -len(TAIL)] for y in widened([w[1:].rstrip(b" ") for w in side])))]
 
-    dict1 = _dictionary(wide(samples[0]), toxic_size, 48, 4)
-    dict0 = _dictionary(wide(samples[1][:150_000]), ordinary_size, 96, 8)
-    coder = Coder(dict0, dict1, level)
-    saved = [coder.savings(side) for side in check]
+    return _dictionary(wide(samples[1]), ordinary_size, 96, 8), _dictionary(wide(samples[0]), toxic_size, 48, 4)
+
+
+def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 8192, ordinary_size: int = 32768, level: int = 6, least_z: float = 5.0, least_lift: float = 4.0) -> dict:
+    """Dictionaries, log-odds per saved byte and the curve."""
+    docs = [_originals([words_of(t) for t in side]) for side in (toxic, ordinary)]
+    sizes = (toxic_size, ordinary_size, level, least_z, least_lift)
+    saved: list[list[np.ndarray]] = [[], []]
+    for k in range(FOLDS):
+        train = [[d for i, d in enumerate(side) if i % FOLDS != k] or side for side in docs]  # a class of one text has no other
+        coder = Coder(*_coder(train, *sizes), level)
+        for own, side in zip(saved, docs):
+            own += coder.savings([d for i, d in enumerate(side) if i % FOLDS == k])
     counts = [1.0 + sum((np.bincount(np.clip(s + SHIFT, 0, BINS - 1), minlength=BINS) for s in side), np.zeros(BINS)) for side in saved]
     odds = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
     x = np.concatenate([_features(side, odds) for side in saved])
     y = np.concatenate([np.ones(len(saved[0])), np.zeros(len(saved[1]))])
+    dict0, dict1 = _coder(docs, *sizes)
     return {"toxic": dict1, "ordinary": dict0, "odds": odds, "curve": _logistic(x, y), "level": level}
 
 
@@ -177,13 +201,15 @@ def _score(model: dict):
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_toxic: int, max_ordinary: int) -> tuple[list[str], list[str]]:
-    """Texts of at most so many labelled documents of either class, in order of a hash of doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_toxic: int, max_ordinary: int, max_bytes: int = 1 << 26) -> tuple[list[str], list[str]]:
+    """Texts of at most so many labelled documents of either class, in order of a hash of doc_id, as long as they have at most
+    max_bytes together: the bound on what the driver gets, half for each class. A longer text is left out whole."""
     marked = labels.where("doc_id is not null and toxic is not null").where(train).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     order = F.xxhash64("doc_id")
     few = marked.where("_toxic = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(marked.where("_toxic = 0").orderBy(order, "doc_id").limit(max_ordinary))
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(order, "doc_id", "text").collect()
-    rows = [r for i, r in enumerate(rows) if not i or r.doc_id != rows[i - 1].doc_id]
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("_toxic").orderBy(order, "doc_id"))
+    rows = rows.withColumn("_size", size).where(F.col("_size") <= max_bytes // 2).orderBy(order, "doc_id").collect()
     return [r.text for r in rows if r._toxic == 1], [r.text for r in rows if r._toxic == 0]
 
 
