@@ -163,14 +163,59 @@ def test_predictive_probabilities_sum_to_one():
         assert abs(mass / (g["strength"] + total) - 1) < 1e-9
 
 
+def seatings(c, d):
+    """Weight of each number of tables of c customers of one dish, by seating them in turn in every way (without mass)."""
+    ways = {1: 1.0}
+    for n in range(1, c):
+        more = {}
+        for k, w in ways.items():
+            more[k] = more.get(k, 0) + w * (n - d * k)
+            more[k + 1] = more.get(k + 1, 0) + w
+        ways = more
+    return ways
+
+
 def test_seating_follows_the_exact_distribution():
-    """Three customers of one dish: probabilities of 1, 2 and 3 tables are proportional to partitions' weights."""
-    d, m = 0.5, 0.8
-    weights = np.array([m * (1 - d) * (2 - d), 3 * m * m * (1 - d), m**3])
-    t = P.seat(np.full(60000, 3), np.full(60000, m), d, np.random.default_rng(0), sweeps=4)
-    assert np.abs(np.bincount(t, minlength=4)[1:] / 60000 - weights / weights.sum()).max() < 0.01
-    big = P.seat(np.array([1, 2, 16, 17, 5000]), np.full(5, 0.5), d, np.random.default_rng(0))
-    assert (big >= 1).all() and (big <= [1, 2, 16, 17, 5000]).all()
+    for c, d, m in ((3, 0.5, 0.8), (7, 0.9, 3.0), (17, 0.5, 1.0)):
+        w = {k: x * m**k for k, x in seatings(c, d).items()}
+        t = P.seat(np.full(60000, c), np.full(60000, m), d, np.random.default_rng(0))
+        seen = np.bincount(t, minlength=c + 1) / 60000
+        assert max(abs(seen[k] - w.get(k, 0) / sum(w.values())) for k in range(c + 1)) < 0.01
+
+
+@pytest.mark.parametrize("c, d, m, want", [(17, 0.5, 1.0, 2.87), (50, 0.8, 1.0, 2.32), (300, 0.8, 10.0, 13.7), (300, 0.9, 10.0, 12.2)])
+def test_expected_tables_of_frequent_pairs(c, d, m, want):
+    t = P.seat(np.full(4000, c), np.full(4000, m), d, np.random.default_rng(1))
+    logs = P.stirling(d)[c] + np.log(m) * np.arange(1, c + 1)
+    exact = (np.exp(logs - logs.max()) * np.arange(1, c + 1)).sum() / np.exp(logs - logs.max()).sum()
+    assert abs(exact - want) < 0.06 and abs(t.mean() - exact) < 0.15
+
+
+@pytest.mark.parametrize("d, m", [(0.3, 0.05), (0.5, 1.0), (0.8, 0.5), (0.9, 40.0), (0.5, 3000.0)])
+def test_saddle_point_agrees_with_the_table(d, m):
+    c = 2500
+    t = P.seat(np.full(4000, c), np.full(4000, m), d, np.random.default_rng(1))
+    logs = P.stirling(d, c)[c] + np.log(m) * np.arange(1, c + 1)
+    p = np.exp(logs - logs.max())
+    exact = (p * np.arange(1, c + 1)).sum() / p.sum()
+    assert abs(t.mean() - exact) < 0.02 * exact + 0.05
+    far = P.seat(np.array([1, 2600, 5_000_000, 5_000_000]), np.array([0.5, 1e-12, 1e-9, 1e6]), d, np.random.default_rng(0))
+    assert far[0] == far[1] == far[2] == 1 and 1 < far[3] <= 5_000_000
+
+
+def test_score_by_hand_where_seating_is_certain(make):
+    """Each word occurs once, so every customer has its own table."""
+    words = [f"word{i}" for i in range(20)]
+    r = P.score(make([(0, " ".join(words), "s")]), F.lit(False), strength=2.0).first()
+    n = 21  # with the end
+    d = r0 = 0.95  # all counts are 1: both discounts are at their bound
+    parent = (1 - r0 + (2.0 + r0 * n) / (n + 1)) / (2.0 + n)
+    h = WordHasher()
+    hashes = np.concatenate([[P.BEGIN], h.words([" ".join(words)])[0]])
+    own = P.context_class(hashes)
+    shared = np.bincount(own, minlength=P.CLASSES)[own]  # contexts of one class share a restaurant
+    want = sum(log10(max(1 - d, 0) / (2.0 + s) + (2.0 + d * s) / (2.0 + s) * parent) for s in shared)
+    assert abs(r.score - want) < 1e-6
 
 
 def test_language_model_odd_input(make):
