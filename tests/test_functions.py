@@ -71,7 +71,7 @@ def test_category(spark):
 def test_text_helpers(spark):
     got = values(
         spark, [("ﬁ  a\n b ", "<p>a<b>c</b></p><script>x</script>", "http://A.b/x")], "a string, h string, u string",
-        X.clean_text(F.col("a"), True), X.tags_removed(F.col("h")), X.host(F.col("u")), X.resolved(F.col("u"), F.lit("/y")), X.countdown(F.lit(90061)), X.countdown(F.lit(-5)), X.ago(F.lit(61)), X.filled(F.lit(""), "z"),
+        X.clean_text(F.col("a")), X.tags_removed(F.col("h")), X.host(F.col("u")), X.resolved(F.col("u"), F.lit("/y")), X.countdown(F.lit(90061)), X.countdown(F.lit(-5)), X.ago(F.lit(61)), X.filled(F.lit(""), "z"),
     )
     assert got == [("fi a b", "a c", "a.b", "http://A.b/y", "25:01:01", "00:00:00", "1 jam lalu", "z")]
 

@@ -18,31 +18,66 @@ def statuses(df):
     return [r.status for r in df.orderBy("seq").collect()]
 
 
+def in_turn(rows):
+    """Statuses by taking rows in one after the other."""
+    urls, contents, recent, out = set(), set(), {}, []
+    for r in dedup.fingerprinted(rows).withColumn("reason", dedup.validity(F.col("title"), F.col("url"))).orderBy("seq").collect():
+        last = recent.setdefault(r.source, [])
+        if r.reason:
+            out.append("invalid")
+        elif r.url_hash in urls or r.content_hash in contents:
+            out.append("duplicate")
+        elif any(((r.fp ^ p) & (1 << 64) - 1).bit_count() <= 5 for p in last[-50:]):
+            out.append("near_dup")
+        else:
+            out.append("new")
+            urls.add(r.url_hash)
+            contents.add(r.content_hash)
+            last.append(r.fp)
+    return out
+
+
 def test_ingest_statuses(spark):
     base = " ".join(WORDS * 8)
     near = base.replace("omega", "omegas", 1)
     rows = raw(spark, [("A", "http://x/1", base, "s1"), ("A", "http://x/2", near, "s1"), ("A", "http://x/3", base, "s2"), (" ", "http://x/4", "e", "s1"), ("B", " ", "e", "s1"), ("B", "ftp://x", "e", "s1"), ("C", "http://www.x/1/?utm_source=q", "other", "s1")])
-    strict = statuses(dedup.ingest_strict(rows))
-    assert strict[3:6] == ["invalid"] * 3 and strict[0] == "new"
-    assert strict[2] == "duplicate"  # content equals within the first 200 characters, sources aside
-    assert strict[6] == "duplicate"  # same canonical url
-    assert statuses(dedup.ingest_set(rows))[3:6] == ["invalid"] * 3
-    counts = dedup.status_counts(dedup.ingest_strict(rows)).first().asDict()
+    got = statuses(dedup.ingest(rows))
+    assert got[3:6] == ["invalid"] * 3 and got[0] == "new"
+    assert got[2] == "duplicate"  # content equals within the first 200 characters, sources aside
+    assert got[6] == "duplicate"  # same canonical url
+    counts = dedup.status_counts(dedup.ingest(rows)).first().asDict()
     assert sum(counts.values()) == 7 and counts["invalid"] == 3
 
 
+def test_ingest_equals_taking_rows_in_one_by_one(spark):
+    import random
+
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(WORDS) for _ in range(30)) for _ in range(12)]
+    out = []
+    for i in range(150):
+        w = rnd.choice(texts).split()
+        for _ in range(rnd.choice((0, 0, 1, 2))):
+            w[rnd.randrange(30)] = rnd.choice(WORDS)
+        texts.append(" ".join(w))
+        out.append((rnd.choice(["T", "T", "U", " "]), f"http://x/{rnd.randrange(120)}", texts[-1], rnd.choice(["s1", "s2", None])))
+    rows = raw(spark, out)
+    got = statuses(dedup.ingest(rows))
+    assert got == in_turn(rows) and {"new", "duplicate", "near_dup", "invalid"} == set(got)
+
+
 def test_rejected_rows_leave_no_trace(spark):
     base = " ".join(WORDS * 8)
     head = "x" * 210  # beyond what the content hash reads
     rows = raw(spark, [("T", "http://x/1", base, "s1"), ("T", "http://x/2", base[:150] + " q" + base[150:], "s1"), ("Quite another title", "http://x/2", head, "s1")])
-    got = statuses(dedup.ingest_strict(rows))
+    got = statuses(dedup.ingest(rows))
     assert got[0] == "new" and got[2] == "new" if got[1] == "near_dup" else got[2] == "duplicate"
 
 
 def test_window_of_fifty(spark):
     texts = [f"{WORDS[i % 24]} {WORDS[(i * 7) % 24]} {i} {i * i} {WORDS[(i * 5) % 24]} item{i}" for i in range(52)]
     rows = [(t, f"http://x/{i}", "", "s1") for i, t in enumerate(texts)] + [(texts[0] + " !", "http://x/99", "", "s1")]
-    got = statuses(dedup.ingest_strict(raw(spark, rows)))
+    got = statuses(dedup.ingest(raw(spark, rows)))
     accepted = got[:-1].count("new")
     assert accepted > 50 and got[-1] == "new"
 
@@ -118,9 +153,16 @@ def test_listing_gate(spark):
 
 
 def test_image_choice(spark):
-    pages = ['<meta name="twitter:image" content="t"><meta property="og:image" content=" o ">', '<meta content="t" name="twitter:image">', '<img src="http://x/Logo.png"><img src="http://x/a.png">', "<img src='/r.png'>", None]
-    got = [r[0] for r in spark.createDataFrame([(p,) for p in pages], "h string").select(R.image_url(F.col("h"))).collect()]
-    assert got == ["o", "t", "http://x/a.png", "", ""]
+    from tidefeed.sources import html
+
+    pages = [
+        '<meta name="twitter:image" content="t"><meta property="og:image" content=" o ">', '<meta content="t" name="twitter:image"><meta property="og:image">',
+        '<img src="http://x/side.png"><article><img src="http://x/a.png"></article>', '<article><img src="http://x/Logo.png"><img src="http://x/b.png"></article>',
+        '<div class="post-content"><img src="http://x/logo.png"></div><article><p><img src="http://x/c.png"></p></article>', "<article><img src='/r.png'></article>", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {r.page_id: r.image_url for r in R.image_urls(df, html.pictures(df)).collect()}
+    assert [got[i] for i in range(7)] == ["o", "t", "http://x/a.png", "", "http://x/c.png", "", ""]
 
 
 def test_paging(spark):

@@ -14,11 +14,16 @@ def test_selectors():
     assert html.parse("<p>a<br>b</p></div>").first("p").text() == "ab" and html.parse(None).select("p") == []
 
 
-def test_listing_and_discovery():
-    rows = html.listing(PAGE, "http://h/x")
-    assert rows == [{"title": "A headline that is long", "url": "http://h/one", "date": "today", "raw_category": "Tekno"}]
-    got = html.detected(PAGE, "http://h/x")
-    assert got["site"] == "My Site" and got["urls"] == ["http://h/x", "http://h/a"] and got["title"] == "h2"
+def test_listing_and_discovery(spark):
+    pages = spark.createDataFrame([(1, "http://h/x", PAGE), (2, "http://h/y", None), (3, "http://h/", "<div class='news-item'><h3>Ａnother headline</h3><a href='http://z/1'>x</a></div>")], "page_id long, url string, html string")
+    rows = [tuple(r) for r in html.listings(pages).orderBy("page_id").collect()]
+    assert rows == [(1, 0, "A headline that is long", "http://h/one", "today", "Tekno"), (3, 0, "Another headline", "http://z/1", "", "")]
+    got = {r.page_id: r for r in html.discovery(pages).collect()}
+    assert got[1].site == "My Site" and got[1].urls == ["http://h/x", "http://h/a"] and got[1].title == "h2" and got[1].item == "article"
+    assert got[2].item == "article" and got[2].urls == ["http://h/y"] and got[2].preview == 0 and got[2].site == ""
+    three = PAGE.replace("<div id", "<article><h2>One more headline</h2><a href='/z'>z</a><span class='date'>d</span></article><div id")
+    found = html.discovery(spark.createDataFrame([(1, "http://h/x", three)], "page_id long, url string, html string")).first()
+    assert (found.title, found.date, found.category, found.link, found.summary, found.preview) == ("h2", "time", "span[class*='label']", "a[href]", "p", 2)
 
 
 def test_content(spark):

@@ -28,3 +28,30 @@ def test_windows(spark, tmp_path):
     q = jobs.event_windows(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("wins").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("wins").collect()) == [1, 2]
+
+
+def test_rebuild_after_crawl_and_no_overlap(spark, tmp_path):
+    src, seen, schema = str(tmp_path / "in"), [], "user_id long"
+    each = jobs.crawl_then_rebuild(lambda b, n: seen.append(("crawl", b.count())), lambda why: seen.append(why))
+    spans = []
+
+    def timed(batch, number):
+        began = dt.datetime.now()
+        each(batch, number)
+        spans.append((began, dt.datetime.now()))
+
+    for n in (1, 2):
+        spark.range(n).toDF("user_id").coalesce(1).write.mode("append").parquet(src)
+    jobs.periodic(jobs.read_folder(spark, src, schema), timed, str(tmp_path / "ck")).awaitTermination()
+    assert [x if isinstance(x, str) else x[0] for x in seen] == ["crawl", "auto-after-crawl"] * 2 and sum(x[1] for x in seen if x[0] == "crawl") == 3
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    quiet = []
+    jobs.crawl_then_rebuild(lambda b, n: quiet.append(n), lambda why: quiet.append(why), auto=False)(None, 7)
+    assert quiet == [7]
+
+
+def test_stream_into_folder(spark, tmp_path):
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "created_at timestamp, event_type string"
+    spark.createDataFrame([(dt.datetime(2024, 1, 1, h, 5), "click") for h in (1, 1, 2)], schema).coalesce(1).write.parquet(src)
+    jobs.into_folder(jobs.event_windows(spark.readStream.schema(schema).parquet(src)), out, str(tmp_path / "ck"), "complete").awaitTermination()
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 2]

@@ -67,7 +67,7 @@ def canonical_url(url: Column) -> Column:
     query = F.regexp_extract(rest, r"\?(.*)$", 1)
 
     def decode(x: Column) -> Column:
-        return F.coalesce(F.expr("null"), F.try_url_decode(x), x)
+        return F.coalesce(F.try_url_decode(x), x)
 
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p.rlike(r"^[^=]*=.+")),
@@ -95,7 +95,7 @@ def content_hash(title: Column, excerpt: Column) -> Column:
 
 
 def simhash_words(text: Column) -> Column:
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " ")
+    clean = F.regexp_replace(F.lower(normal_form(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}_\s]", " ")
     return F.filter(F.split(clean, r"(?U)\s+"), lambda w: w != "")
 
 
@@ -151,9 +151,33 @@ def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", x or "") for b, x in zip(base, link)])
 
 
-def clean_text(c: Column, normal_form: bool = False) -> Column:
-    c = F.coalesce(c, F.lit(""))
-    return strip(F.regexp_replace(nfkc(c) if normal_form else c, r"(?U)\s+", " "))
+def normal_form(c: Column) -> Column:
+    """NFKC. Texts of ASCII and precomposed Latin letters are in that form already: only others travel to a Python worker."""
+    other = c.rlike(r"[^\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E]")
+    return F.coalesce(nfkc(F.when(other, c)), c)
+
+
+def clean_text(c: Column) -> Column:
+    return strip(F.regexp_replace(normal_form(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
+
+
+# Portals that are known by a word in what is asked for, in order.
+KNOWN_PORTALS = {
+    "liputan6": "https://www.liputan6.com", "okezone": "https://www.okezone.com", "merdeka": "https://www.merdeka.com", "sindonews": "https://www.sindonews.com",
+    "republika": "https://www.republika.co.id", "tempo": "https://www.tempo.co", "antara": "https://www.antaranews.com", "bisnis": "https://www.bisnis.com",
+    "suara": "https://www.suara.com", "kumparan": "https://kumparan.com", "idntimes": "https://www.idntimes.com", "viva": "https://www.viva.co.id",
+    "detik": "https://www.detik.com", "kompas": "https://www.kompas.com", "cnn": "https://www.cnnindonesia.com", "cnnindonesia": "https://www.cnnindonesia.com",
+    "jpnn": "https://www.jpnn.com", "jawapos": "https://www.jawapos.com", "solopos": "https://www.solopos.com", "medcom": "https://www.medcom.id",
+}
+
+
+def portal_address(asked: Column) -> Column:
+    """The address of a portal that is asked for by name or address; null where only the network could tell."""
+    q = F.regexp_replace(F.lower(strip(asked)), "/+$", "")
+    out = None
+    for word, url in KNOWN_PORTALS.items():
+        out = F.when(q.contains(word), url) if out is None else out.when(q.contains(word), url)
+    return out.when(q.contains("."), F.when(q.startswith("http"), q).otherwise(F.concat(F.lit("https://"), q)))
 
 
 def host(url: Column) -> Column:

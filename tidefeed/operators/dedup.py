@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +28,8 @@ def simhash(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 def exact_duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
     """Rows marked `is_first`: the earliest of each key."""
-    return df.withColumn("is_first", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1)
+    first = df.groupBy(key).agg(F.min(order).alias("_first"))  # partial minima before the shuffle: a hot key is one row a task
+    return df.join(first, key).withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
 
 
 def near_pairs(prints: DataFrame, bits: int = THRESHOLD) -> DataFrame:
@@ -61,43 +59,33 @@ def fingerprinted(raw: DataFrame) -> DataFrame:
     return hashed.join(simhash(raw, "seq", F.concat_ws(" ", X.strip(F.coalesce("title", F.lit(""))), X.strip(F.coalesce("excerpt", F.lit(""))))), "seq")
 
 
-def ingest_set(raw: DataFrame) -> DataFrame:
-    """Set-based statuses, fit for any size: exact duplicates by the first of each hash, near ones among the 50 rows before in the same source."""
-    rows = cut(fingerprinted(raw).withColumn("reason", validity(F.col("title"), F.col("url"))).select("seq", "source", "url_hash", "content_hash", "fp", "reason"))
-    good = rows.where("reason is null")
-    for h in ("url_hash", "content_hash"):
-        first = good.groupBy(h).agg(F.min("seq").alias(f"_{h}"))
-        good = good.join(first, h)
-    fresh = good.where("seq = _url_hash and seq = _content_hash")
-    before = Window.partitionBy("source").orderBy("seq").rowsBetween(-WINDOW, -1)
-    near = fresh.withColumn("_prev", F.collect_list("fp").over(before)).withColumn("near", F.exists("_prev", lambda p: X.hamming(p, F.col("fp")) <= THRESHOLD))
-    status = F.when(F.col("reason").isNotNull(), "invalid").when(F.col("near").isNull(), "duplicate").when(F.col("near"), "near_dup").otherwise("new")
-    return rows.join(near.select("seq", "near"), "seq", "left").select("seq", status.alias("status"), "reason")
-
-
-def ingest_strict(raw: DataFrame) -> DataFrame:
-    """Statuses in strict order: only accepted rows count for those after them, across sources. One ordered pass over five narrow columns, for batches such as one crawl."""
-    rows = fingerprinted(raw).withColumn("reason", validity(F.col("title"), F.col("url"))).select("seq", "source", "url_hash", "content_hash", "fp", "reason")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        urls, contents, recent, out = set(), set(), {}, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            last = recent.setdefault(r.source, deque(maxlen=WINDOW))
-            if isinstance(r.reason, str):
-                status = "invalid"
-            elif r.url_hash in urls or r.content_hash in contents:
-                status = "duplicate"
-            elif any(((int(r.fp) ^ p) & (1 << 64) - 1).bit_count() <= THRESHOLD for p in last):
-                status = "near_dup"
-            else:
-                status = "new"
-                urls.add(r.url_hash)
-                contents.add(r.content_hash)
-                last.append(int(r.fp))
-            out.append((r.seq, status, r.reason if isinstance(r.reason, str) else None))
-        return pd.DataFrame(out, columns=["seq", "status", "reason"])
-
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(walk, "seq long, status string, reason string")
+def ingest(raw: DataFrame) -> DataFrame:
+    """seq, status, reason of raw rows taken in in order of seq, each judged against the accepted rows before it only.
+
+    A row is a duplicate if an accepted one has its address or its content (over all sources), and a near-duplicate if one of
+    the last WINDOW accepted of its source is within THRESHOLD bits. What is accepted is found by rounds: each judges all
+    rows at once against what the round before accepted, starting from all valid ones. The first row is right after the
+    first round, and a row is right as soon as those before it are, so the rounds end, at the result of going row by row;
+    in practice after as many as copies of copies of copies are deep.
+    """
+    rows = fingerprinted(raw).withColumn("reason", validity(F.col("title"), F.col("url")))
+    rows = cut(rows.select("seq", "source", "url_hash", "content_hash", "fp", "reason", F.col("reason").isNull().alias("accepted")))
+    before = Window.partitionBy("source").orderBy("seq")
+    while True:
+        taken = rows.where("accepted")
+        judged = rows
+        for h in ("url_hash", "content_hash"):
+            judged = judged.join(taken.groupBy(h).agg(F.min("seq").alias(f"_{h}")), h, "left")
+        lists = taken.select(F.col("source").alias("_s"), F.col("seq").alias("_p"), F.collect_list("fp").over(before.rowsBetween(1 - WINDOW, 0)).alias("_last"))
+        judged = judged.withColumn("_p", F.last(F.when(F.col("accepted"), F.col("seq")), True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+        judged = judged.withColumn("_s", F.col("source")).join(lists.withColumnRenamed("_s", "_t").withColumnRenamed("_p", "_q"), F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_p") == F.col("_q")), "left")
+        copy = (F.coalesce("_url_hash", "seq") < F.col("seq")) | (F.coalesce("_content_hash", "seq") < F.col("seq"))
+        near = F.coalesce(F.exists("_last", lambda p: X.hamming(p, F.col("fp")) <= THRESHOLD), F.lit(False))
+        status = F.when(F.col("reason").isNotNull(), "invalid").when(copy, "duplicate").when(near, "near_dup").otherwise("new")
+        judged = cut(judged.select("seq", "source", "url_hash", "content_hash", "fp", "reason", status.alias("status"), F.col("accepted").alias("_was")))
+        if judged.where((F.col("status") == "new") != F.col("_was")).isEmpty():
+            return judged.select("seq", "status", "reason")
+        rows = judged.select("seq", "source", "url_hash", "content_hash", "fp", "reason", (F.col("status") == "new").alias("accepted"))
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefeed.functions.scoring import Params, decay_weight, event_weight
+from tidefeed.session import cut
 
 
 def matrix(ix: DataFrame, asof: str, p: Params = Params()) -> DataFrame:
@@ -44,8 +45,11 @@ def recommend(m: DataFrame, sims: DataFrame, top_n: int = 10, exclude_seen: bool
     # a user's unseen popular items are among the top_n + (items seen) most popular: that many are paired with cold users only
     counts = m.groupBy("user_id").agg(F.count("*").alias("n_seen"))
     order = Window.orderBy(F.col("pop").desc(), "article_id")
-    listed = popular.withColumn("place", F.row_number().over(order)).select("place", F.col("article_id").alias("cand"))
-    wanted = cold.join(counts, "user_id").select("user_id", F.explode(F.sequence(F.lit(1), (F.col("n_seen") + top_n).cast("int"))).alias("place"))
+    mine = cold.join(counts, "user_id")
+    most = (mine.agg(F.max("n_seen")).first()[0] or 0) + top_n  # no cold user looks further down, so no more are numbered
+    top = popular.orderBy(F.col("pop").desc(), "article_id").limit(most)
+    listed = top.withColumn("place", F.row_number().over(order)).select("place", F.col("article_id").alias("cand"))
+    wanted = mine.select("user_id", F.explode(F.sequence(F.lit(1), (F.col("n_seen") + top_n).cast("int"))).alias("place"))
     offered = wanted.join(listed, "place")
     if exclude_seen:
         offered = offered.join(seen, ["user_id", "cand"], "left_anti")
@@ -69,6 +73,20 @@ def decoded(cache: DataFrame, top_n: int = 10) -> DataFrame:
     return cache.select("user_id", F.posexplode(both)).select("user_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("col.article_id"), F.col("col.score"))
 
 
+def serve(asked: DataFrame, cache: DataFrame, m: DataFrame, sims: DataFrame, users: DataFrame, top_n: int = 10) -> DataFrame:
+    """user_id, origin, rank, article_id, score for the users asked for: from the cache where it has a row, else computed now.
+
+    A user without interactions has no row; one that doesn't exist has one row of origin `unknown`.
+    """
+    known = asked.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    hit = decoded(cache.join(known, "user_id", "left_semi"), top_n).withColumn("origin", F.lit("cache"))
+    missing = known.join(cache.select("user_id"), "user_id", "left_anti")
+    live = recommend(m.join(missing, "user_id", "left_semi"), sims, top_n, popularity=m).withColumn("origin", F.lit("live"))
+    columns = ("user_id", "origin", "rank", "article_id", "score")
+    none = asked.join(known, "user_id", "left_anti").select("user_id", F.lit("unknown").alias("origin"), *[F.lit(None).cast(k).alias(c) for c, k in zip(columns[2:], ("long", "long", "double"))])
+    return hit.select(*columns).unionByName(live.select(*columns)).unionByName(none)
+
+
 def score_share(recs: DataFrame) -> DataFrame:
     top = F.greatest(F.max("score").over(Window.partitionBy("user_id")), F.lit(0.0001))
     return recs.withColumn("share_pct", F.round(F.col("score") / top * 100).cast("long"))
@@ -78,8 +96,8 @@ def split(ix: DataFrame, test_ratio: float = 0.2, least: int = 5) -> DataFrame:
     """ix with is_test: the latest fifth of each reader's events; readers of fewer than `least` events are left out."""
     mine = Window.partitionBy("user_id")
     n = F.count("*").over(mine)
-    cut = F.greatest(F.lit(1), F.floor(n * F.lit(1 - test_ratio)))
-    return ix.withColumn("_n", n).withColumn("_r", F.row_number().over(mine.orderBy("created_at", "id"))).withColumn("is_test", F.col("_r") > cut).where(F.col("_n") >= least).drop("_n", "_r")
+    last = F.greatest(F.lit(1), F.floor(n * F.lit(1 - test_ratio)))
+    return ix.withColumn("_n", n).withColumn("_r", F.row_number().over(mine.orderBy("created_at", "id"))).withColumn("is_test", F.col("_r") > last).where(F.col("_n") >= least).drop("_n", "_r")
 
 
 def evaluate(ix: DataFrame, asof: str, k: int = 10, test_ratio: float = 0.2, p: Params = Params()) -> DataFrame:
@@ -89,7 +107,7 @@ def evaluate(ix: DataFrame, asof: str, k: int = 10, test_ratio: float = 0.2, p:
     training, precision divides by the number of recommendations, average precision by min(k, distinct test items), a
     test item that also trains can't be hit, readers without recommendations are skipped.
     """
-    m = matrix(ix, asof, p)
+    m = cut(matrix(ix, asof, p))
     sims = similarity(m, p)
     parts = split(ix, test_ratio)
     train = parts.where("not is_test").select("user_id", "article_id").distinct()

@@ -101,9 +101,14 @@ def listing(rss: DataFrame, html: DataFrame, least: int = 5) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_part")
 
 
+# Paragraphs that only tell an age or point elsewhere.
+AGES = r"(?i)^\d{1,2}\s+(jam|menit|detik|hari)\s+yang\s+lalu"
+POINTERS = r"(?i)^(baca juga|lihat juga|artikel terkait)"
+
+
 def paragraphs_kept(paragraphs: DataFrame) -> DataFrame:
     """page_id, pos, p: paragraphs of 40 characters and more that aren't ages or pointers, the first of each 60 leading characters."""
-    good = paragraphs.where((F.char_length("p") >= 40) & ~F.col("p").rlike(r"(?i)^\d{1,2}\s+(jam|menit|detik|hari)\s+yang\s+lalu") & ~F.col("p").rlike(r"(?i)^(baca juga|lihat juga|artikel terkait)"))
+    good = paragraphs.where((F.char_length("p") >= 40) & ~F.col("p").rlike(AGES) & ~F.col("p").rlike(POINTERS))
     first = Window.partitionBy("page_id", F.substring("p", 1, 60)).orderBy("pos")
     return good.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
@@ -113,16 +118,12 @@ def bodies(kept: DataFrame) -> DataFrame:
     return parts.select("page_id", F.array_join(F.transform("_p", lambda x: x["p"]), "\n\n").alias("body"), X.clip(F.get("_p", F.lit(0))["p"], 250, dots=True).alias("summary"))
 
 
-def image_url(html: Column) -> Column:
-    """og:image, twitter:image, else the first image of the content that isn't a logo."""
-    def meta(attr: str, name: str) -> Column:
-        forward = F.regexp_extract(html, rf"(?is)<meta[^>]*{attr}=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
-        back = F.regexp_extract(html, rf"(?is)<meta[^>]*content=[\"']([^\"']*)[\"'][^>]*{attr}=[\"']{name}[\"']", 1)
-        return X.strip(X.filled(forward, back))
-
-    sources = F.regexp_extract_all(html, F.lit(r"(?is)<img[^>]*src=[\"'](http[^\"']*)[\"']"), F.lit(1))
-    shown = F.get(F.filter(sources, lambda s: ~F.lower(s).contains("logo")), F.lit(0))
-    return F.coalesce(*[F.when(x != "", x) for x in (meta("property", "og:image"), meta("name", "twitter:image"), shown)], F.lit(""))
+def image_urls(pages: DataFrame, pictures: DataFrame) -> DataFrame:
+    """page_id, image_url: the first meta tag that names one, else the first content picture with an address that isn't a logo's, else nothing."""
+    src = X.strip(F.col("src"))
+    good = F.when(F.col("rank") < 2, src != "").otherwise(src.startswith("http") & ~F.lower(src).contains("logo"))
+    best = pictures.where(good).groupBy("page_id").agg(F.min_by(src, "rank").alias("image_url"))
+    return pages.select("page_id").join(best, "page_id", "left").select("page_id", F.coalesce("image_url", F.lit("")).alias("image_url"))
 
 
 def fallback(a: DataFrame, b: DataFrame) -> DataFrame:

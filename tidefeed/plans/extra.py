@@ -18,7 +18,7 @@ TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 TIDY = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
 
-def register(query, base: str, cases: str) -> None:
+def register(query, base: str, cases: str, prints: str) -> None:
     feed_sql = base + f""" SELECT source AS portal, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS seq, {TIDY.format('title')} AS title, url, left({TIDY.format('excerpt')}, 250) AS summary,
       CASE WHEN category = '' THEN 'Umum' {cases.replace('raw', 'category')} ELSE concat(upper(category[1]), lower(category[2:])) END AS category FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS r FROM art) WHERE r <= 20 AND {TIDY.format('title')} <> ''"""
 
@@ -83,21 +83,61 @@ def register(query, base: str, cases: str) -> None:
     @query("r1_event_windows", base + f"SELECT {TS.format('time_bucket(INTERVAL 1 day, created_at)')} AS start, event_type, count(*) AS n FROM ix GROUP BY ALL")
     def r1(s, d):
         """Events replayed from a folder, counted in tumbling windows; the state is flushed by writing complete results."""
-        ix, name = B.table(s, d, "events"), f"r1_{uuid.uuid4().hex}"
+        ix = B.table(s, d, "events")
         stream = B.as_interactions(s.readStream.schema(ix.schema).parquet(_folder(s, ix)))
         counted = jobs.event_windows(stream, width="1 day")
-        q = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{checkpoint_root(s)}/{name}").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return s.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+        return _finished(s, counted, "complete").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
-    @query("r6_near_duplicate_memory")
+    memory = prints.replace("WITH ix", "WITH RECURSIVE ix") + """, st AS MATERIALIZED (SELECT id AS seq, source, fp, row_number() OVER (ORDER BY id) AS n FROM fps),
+walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS source, NULL::VARCHAR AS status, []::STRUCT(s VARCHAR, f UBIGINT)[] AS kept
+  UNION ALL SELECT n, seq, source, status, CASE WHEN status = 'new' THEN list_append(kept, {'s': source, 'f': fp}) ELSE kept END
+  FROM (SELECT st.n, st.seq, st.source, fp, kept, CASE WHEN coalesce(list_bool_or(list_transform(list_filter(kept, lambda x: x.s = st.source)[-50:],
+    lambda x: bit_count(xor(x.f, fp)::HUGEINT) <= 5)), false) THEN 'near_dup' ELSE 'new' END AS status FROM walk JOIN st ON st.n = walk.n + 1))
+SELECT source, seq, status FROM walk WHERE n > 0"""
+
+    @query("r6_near_duplicate_memory", memory)
     def r6(s, d):
-        a, name = B.articles(s, d), f"r6_{uuid.uuid4().hex}"
+        a = B.articles(s, d)
         fp = dedup.simhash(a, "id", F.concat_ws(" ", "title", X.strip(F.col("excerpt")))).join(a.select("id", "source"), "id").select(F.col("id").alias("seq"), "source", "fp")
         stream = s.readStream.schema(fp.schema).parquet(_folder(s, fp))
-        q = jobs.near_duplicate_memory(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{checkpoint_root(s)}/{name}").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return s.table(name)
+        return _finished(s, jobs.near_duplicate_memory(stream), "append")
+
+    made = """concat('<html><head><title>Site ', doc_id, ' | News</title></head><body><nav><a href="/s', doc_id, '">S</a><a href="#">x</a><a href="http://other.example.org/b">B</a></nav>',
+      '<article class="item"><h2> Headline  number ', doc_id, '</h2><a href="/one/', doc_id, '">go</a><time> today </time><span class="x-label">Tekno</span></article>',
+      '<article class="item"><h2>short</h2><a href="/two">go</a></article><article class="item"><h2>Another headline ', doc_id, '</h2><a href="https://x.example.com/', doc_id, '">go</a></article>',
+      '<div class="article-body"><p>', repeat('A paragraph longer than forty characters. ', 8), doc_id, '</p><p>Baca juga: something else entirely that is long enough</p><div class="ads"><p>',
+      repeat('An advertisement longer than forty. ', 3), '</p></div><p>tiny</p></div></body></html>')"""
+
+    def _made(s, d):
+        return B.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.lit("http://h.example.com/x").alias("url"), F.expr(made).alias("html"))
+
+    @query("s3_listing_made", """SELECT doc_id AS page_id, 0::BIGINT AS seq, concat('Headline number ', doc_id) AS title, concat('http://h.example.com/one/', doc_id) AS url, 'today' AS date, 'Teknologi' AS category FROM documents
+      UNION ALL SELECT doc_id, 1, concat('Another headline ', doc_id), concat('https://x.example.com/', doc_id), '', 'Umum' FROM documents""")
+    def s3m(s, d):
+        return html.listings(_made(s, d)).select("page_id", "seq", "title", "url", "date", X.category(F.col("raw_category")).alias("category"))
+
+    @query("s5_page_content_made", """SELECT doc_id AS page_id, concat(repeat('A paragraph longer than forty characters. ', 8), doc_id) AS body, concat(left(repeat('A paragraph longer than forty characters. ', 8), 250), '...') AS summary FROM documents""")
+    def s5m(s, d):
+        return R.bodies(R.paragraphs_kept(html.paragraphs(_made(s, d))))
+
+    @query("s9_discovery_made", """SELECT doc_id AS page_id, concat('Site ', doc_id) AS site, 'article' AS item, 'h2' AS title, 'time' AS date, 'span[class*=''label'']' AS category, 'a[href]' AS link, 'p' AS summary,
+      concat('http://h.example.com/x http://h.example.com/s', doc_id) AS urls, 2::BIGINT AS preview FROM documents""")
+    def s9m(s, d):
+        return html.discovery(_made(s, d)).withColumn("urls", F.array_join("urls", " "))
+
+    @query("s9_address", """SELECT page_id, CASE WHEN contains(q, 'tempo') THEN 'https://www.tempo.co' WHEN contains(q, 'detik') THEN 'https://www.detik.com' WHEN contains(q, '.') THEN concat('https://', q) END AS url
+      FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'koran tempo' WHEN 1 THEN 'detik' WHEN 2 THEN concat('p', page_id, '.example.com') ELSE 'nowhere' END AS q FROM pages)""")
+    def s9a(s, d):
+        n = F.col("page_id")
+        asked = F.when(n % 4 == 0, "Koran TEMPO ").when(n % 4 == 1, "detik/").when(n % 4 == 2, F.concat(F.lit("p"), n.cast("string"), F.lit(".example.com/"))).otherwise("nowhere")
+        return B.table(s, d, "pages").select("page_id", X.portal_address(asked).alias("url"))
+
+
+def _finished(spark, stream, mode: str):
+    """What a stream that has read all there is wrote."""
+    path = f"{checkpoint_root(spark)}/tidefeed-out-{uuid.uuid4().hex}"
+    jobs.into_folder(stream, path, path + "-state", mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def _folder(spark, df) -> str:

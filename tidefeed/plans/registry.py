@@ -10,7 +10,9 @@ from tidefeed.functions.scoring import Params, decay_weight, event_weight
 from tidefeed.operators import dedup, recommend
 from tidefeed.operators import relational as R
 from tidefeed.plans import extra
+from tidefeed.session import cut
 from tidefeed.sources import bind as B
+from tidefeed.sources import html
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -93,22 +95,28 @@ def s6(s, d):
     return R.fallback(a, R.bodies(R.paragraphs_kept(_paragraphs(s, d)))).select("page_id", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"), "extractor")
 
 
-# pages have no images of their own: tags made from the id exercise each rank of the choice
-@query("s7_image", r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://i.example.com/og', page_id) WHEN 1 THEN concat('https://i.example.com/tw', page_id)
-  WHEN 2 THEN concat('https://i.example.com/', page_id, '.png') ELSE '' END AS image_url FROM pages""")
+# pages have no images of their own: tags made from the id stand before each page, whose article begins with pictures of its own
+PICTURED = r"""concat(CASE page_id % 6 WHEN 0 THEN concat('<meta property="og:image" content=" https://i.example.com/og', page_id, ' "><meta name="twitter:image" content="x">')
+  WHEN 1 THEN concat('<meta property="og:image" content=""><meta content="https://i.example.com/tw', page_id, '" name="twitter:image">') ELSE '' END,
+  '<aside><img src="https://i.example.com/side.png"></aside>', CASE page_id % 6 WHEN 2 THEN concat('<article><p><img class="a" src="https://i.example.com/', page_id, '.png"></p></article>')
+  WHEN 3 THEN concat('<article><img src="https://i.example.com/Logo.png"><img src="https://i.example.com/b.png"></article>')
+  WHEN 4 THEN concat('<div class="post-content"><img src="/relative.png"></div><article><img src="https://i.example.com/art', page_id, '.png"></article>') ELSE '' END, html)"""
+
+
+@query("s7_image", r"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('https://i.example.com/og', page_id) WHEN 1 THEN concat('https://i.example.com/tw', page_id)
+  WHEN 2 THEN concat('https://i.example.com/', page_id, '.png') WHEN 4 THEN concat('https://i.example.com/art', page_id, '.png') ELSE '' END AS image_url FROM pages""")
 def s7(s, d):
-    n = F.col("page_id").cast("string")
-    tag = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<meta property="og:image" content=" https://i.example.com/og'), n, F.lit('"><meta name="twitter:image" content="x">'))).when(F.col("page_id") % 4 == 1, F.concat(F.lit('<meta content="https://i.example.com/tw'), n, F.lit('" name="twitter:image">'))).when(F.col("page_id") % 4 == 2, F.concat(F.lit('<article><img src="https://i.example.com/Logo.png"><img class="a" src="https://i.example.com/'), n, F.lit('.png"></article>'))).otherwise('<img src="/relative.png">')
-    return B.table(s, d, "pages").select("page_id", R.image_url(F.concat(tag, "html")).alias("image_url"))
+    pages = B.table(s, d, "pages").select("page_id", F.expr(PICTURED).alias("html"))
+    return R.image_urls(pages, html.pictures(pages))
 
 
-@query("s8_crawl", BASE + """, l AS (SELECT source AS portal, id AS seq, concat('https://e.com/', id % 700) AS url, title, CASE (id % 3) WHEN 0 THEN 'rss' WHEN 1 THEN 'html' ELSE 'feed' END AS kind FROM art),
+@query("s8_crawl", BASE + """, l AS (SELECT source AS portal, id AS seq, concat('https://e.com/', id % 700) AS url, title, CASE (id % 2) WHEN 0 THEN 'rss' ELSE 'html' END AS kind FROM art),
  rss AS (SELECT * FROM l WHERE kind = 'rss'), n AS (SELECT portal, count(*) AS n FROM rss GROUP BY 1),
  both_ AS (SELECT *, 0 AS part FROM rss UNION ALL SELECT l.*, 1 FROM l LEFT JOIN n USING (portal) WHERE kind = 'html' AND (portal < 'src15' OR coalesce(n, 0) < 5))
  SELECT portal, url, title, seq FROM both_ QUALIFY row_number() OVER (PARTITION BY portal, url ORDER BY part, seq) = 1""")
 def s8(s, d):
     rows = B.articles(s, d).select(F.col("source").alias("portal"), F.col("id").alias("seq"), F.concat(F.lit("https://e.com/"), (F.col("id") % 700).cast("string")).alias("url"), "title", F.when(F.col("source") < "src15", "html").otherwise("hybrid").alias("method"))
-    return R.listing(rows.where("seq % 3 = 0"), rows.where("seq % 3 = 1")).select("portal", "url", "title", "seq")
+    return R.listing(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")).select("portal", "url", "title", "seq")
 
 
 PORTALS = """WITH n AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL)),
@@ -456,7 +464,8 @@ def x16(s, d):
     return B.table(s, d, "pages").select("page_id", X.host(F.col("url")).alias("host"))
 
 
-@query("x16_resolve")
+@query("x16_resolve", r"""SELECT page_id, concat(regexp_extract(url, '^[^/]*//[^/?#]*'), regexp_replace(regexp_replace(p, '/[^/]*$', ''), '/?[^/]*$', ''), '/a?b=1') AS url
+  FROM (SELECT page_id, url, regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
 def x16b(s, d):
     return B.table(s, d, "pages").select("page_id", X.resolved(F.col("url"), F.lit("../a?b=1")).alias("url"))
 
@@ -486,14 +495,15 @@ def x21(s, d):
     return B.users(s, d).select("id", X.pseudonym(F.concat(F.lit("seed"), F.col("id").cast("string"))).alias("p"))
 
 
-@query("x24_html_text")
+@query("x24_html_text", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'),
+  '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def x24(s, d):
     return B.table(s, d, "pages").select("page_id", X.tags_removed(F.col("html")).alias("text"))
 
 
-@query("x25_duration", "SELECT event_id, CASE WHEN event_id < 1000 THEN printf('%.2f ms', event_id + 0.3::DOUBLE) ELSE printf('%.2f s', (event_id + 0.3::DOUBLE) / 1000) END AS t FROM events WHERE event_id % 5 = 0")
+@query("x25_duration", "SELECT event_id, CASE WHEN event_id < 1000 THEN printf('%.2f ms', event_id + 0.3::DOUBLE) ELSE printf('%.2f s', (event_id + 0.3::DOUBLE) / 1000) END AS t FROM events")
 def x25(s, d):
-    return B.table(s, d, "events").where("event_id % 5 = 0").select("event_id", X.duration(F.col("event_id") + F.lit(0.3)).alias("t"))
+    return B.table(s, d, "events").select("event_id", X.duration(F.col("event_id") + F.lit(0.3)).alias("t"))
 
 
 # --- de-duplication --------------------------------------------------------------------------------------------------
@@ -508,46 +518,53 @@ def j13(s, d):
     return dedup.near_pairs(_prints(s, d))
 
 
-STATUS = PRINTS.replace(", tk AS", RAW + r", tk AS").replace("concat(title, ' ', regexp_replace(excerpt, '^\\s+|\\s+$', '', 'g'))", "concat(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), ' ', regexp_replace(excerpt, '^\\s+|\\s+$', '', 'g'))").replace("AS ws FROM art)", "AS ws FROM (SELECT seq AS id, title, excerpt FROM raw))") + r""", st AS (SELECT seq, r.source, fp,
-  CASE WHEN regexp_replace(title, '^\s+|\s+$', '', 'g') = '' THEN 'judul kosong' WHEN url = '' THEN 'url kosong' WHEN NOT starts_with(url, 'http') THEN 'url tidak valid' END AS reason, url AS uh,
-  concat(lower(regexp_replace(title, '^\s+|\s+$', '', 'g')), '|', left(lower(regexp_replace(excerpt, '^\s+|\s+$', '', 'g')), 200)) AS ch FROM raw r JOIN fps ON fps.id = seq),
-fresh AS (SELECT * FROM st WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY uh ORDER BY seq) = 1 AND row_number() OVER (PARTITION BY ch ORDER BY seq) = 1),
-nr AS (SELECT seq, list_bool_or(list_transform(coalesce(prev, []), lambda p: bit_count(xor(p, fp)::HUGEINT) <= 5)) AS near FROM (SELECT *, list(fp) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS prev FROM fresh))
+TIDY = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+STATUS = (
+    PRINTS.replace("WITH ix", "WITH RECURSIVE ix").replace(", tk AS", RAW + r", tk AS")
+    .replace("concat(title, ' ', " + TIDY.format("excerpt") + ")", "concat(" + TIDY.format("title") + ", ' ', " + TIDY.format("excerpt") + ")")
+    .replace("AS ws FROM art)", "AS ws FROM (SELECT seq AS id, title, excerpt FROM raw))")
+    + r""", st AS MATERIALIZED (SELECT seq, r.source, fp, row_number() OVER (ORDER BY seq) AS n,
+  CASE WHEN regexp_replace(title, '^\s+|\s+$', '', 'g') = '' THEN 'judul kosong' WHEN url = '' THEN 'url kosong' WHEN NOT starts_with(url, 'http') THEN 'url tidak valid' END AS reason, hash(url) AS uh,
+  hash(concat(lower(regexp_replace(title, '^\s+|\s+$', '', 'g')), '|', left(lower(regexp_replace(excerpt, '^\s+|\s+$', '', 'g')), 200))) AS ch FROM raw r JOIN fps ON fps.id = seq),
+walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS source, NULL::VARCHAR AS status, NULL::VARCHAR AS reason, []::UBIGINT[] AS us, []::UBIGINT[] AS cs, []::STRUCT(s VARCHAR, f UBIGINT)[] AS kept
+  UNION ALL SELECT n, seq, source, status, reason, CASE WHEN status = 'new' THEN list_append(us, uh) ELSE us END, CASE WHEN status = 'new' THEN list_append(cs, ch) ELSE cs END,
+    CASE WHEN status = 'new' THEN list_append(kept, {'s': source, 'f': fp}) ELSE kept END
+  FROM (SELECT st.n, st.seq, st.source, st.reason, uh, ch, fp, us, cs, kept, CASE WHEN st.reason IS NOT NULL THEN 'invalid' WHEN list_contains(us, uh) OR list_contains(cs, ch) THEN 'duplicate'
+    WHEN coalesce(list_bool_or(list_transform(list_filter(kept, lambda x: x.s = st.source)[-50:], lambda x: bit_count(xor(x.f, fp)::HUGEINT) <= 5)), false) THEN 'near_dup' ELSE 'new' END AS status
+    FROM walk JOIN st ON st.n = walk.n + 1)),
+z AS (SELECT seq, source, status, reason FROM walk WHERE n > 0)
 """
-STATUSES = "SELECT seq, CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN nr.seq IS NULL THEN 'duplicate' WHEN coalesce(near, false) THEN 'near_dup' ELSE 'new' END AS status, reason FROM st LEFT JOIN nr USING (seq)"
+)
 
 
-@query("m6_ingest", STATUS + STATUSES)
+@query("m6_ingest", STATUS + " SELECT seq, status, reason FROM z")
 def m6(s, d):
-    return dedup.ingest_set(_raw(s, d))
-
+    return dedup.ingest(_raw(s, d))
 
-@query("m6_ingest_strict")
-def m6s(s, d):
-    return dedup.ingest_strict(_raw(s, d))
 
-
-@query("a16_status_counts", STATUS + ", z AS (" + STATUSES + ") SELECT " + ", ".join(f"count(*) FILTER (status = '{n}') AS {n if n != 'new' else chr(34) + 'new' + chr(34)}" for n in ("new", "duplicate", "near_dup", "invalid", "error")) + " FROM z")
+@query("a16_status_counts", STATUS + " SELECT " + ", ".join(f"count(*) FILTER (status = '{n}') AS {n if n != 'new' else chr(34) + 'new' + chr(34)}" for n in ("new", "duplicate", "near_dup", "invalid", "error")) + " FROM z")
 def a16(s, d):
-    return dedup.status_counts(dedup.ingest_set(_raw(s, d)))
+    return dedup.status_counts(dedup.ingest(_raw(s, d)))
 
 
-@query("k4_crawl_log", STATUS + ", z AS (" + STATUSES + ") SELECT source AS portal, count(*) AS found, count(*) FILTER (status = 'new') AS articles_new, count(*) FILTER (status IN ('duplicate', 'near_dup')) AS articles_dup FROM z JOIN raw USING (seq) GROUP BY 1")
+@query("k4_crawl_log", STATUS + """ SELECT source AS portal, count(*) AS found, count(*) FILTER (status = 'new') AS articles_new, count(*) FILTER (status IN ('duplicate', 'near_dup')) AS articles_dup
+  FROM z GROUP BY 1""")
 def k4(s, d):
-    z = dedup.ingest_set(_raw(s, d)).join(_raw(s, d).select("seq", "source"), "seq")
-    return z.groupBy(F.col("source").alias("portal")).agg(F.count("*").alias("found"), F.count(F.when(F.col("status") == "new", 1)).alias("articles_new"), F.count(F.when(F.col("status").isin("duplicate", "near_dup"), 1)).alias("articles_dup"))
+    z = dedup.ingest(_raw(s, d)).join(_raw(s, d).select("seq", "source"), "seq")
+    new, copies = (F.count(F.when(F.col("status").isin(*names), 1)) for names in (("new",), ("duplicate", "near_dup")))
+    return z.groupBy(F.col("source").alias("portal")).agg(F.count("*").alias("found"), new.alias("articles_new"), copies.alias("articles_dup"))
 
 
-@query("k1_article_insert", STATUS + ", z AS (" + STATUSES + r") SELECT seq, nullif(left(regexp_replace(excerpt, '^\s+|\s+$', '', 'g'), 500), '') AS excerpt, url FROM z JOIN raw USING (seq) WHERE status = 'new'")
+@query("k1_article_insert", STATUS + r" SELECT seq, nullif(left(regexp_replace(excerpt, '^\s+|\s+$', '', 'g'), 500), '') AS excerpt, url FROM z JOIN raw USING (seq) WHERE status = 'new'")
 def k1(s, d):
-    new = dedup.ingest_set(_raw(s, d)).where("status = 'new'").select("seq")
+    new = dedup.ingest(_raw(s, d)).where("status = 'new'").select("seq")
     e = X.clip(X.strip(F.col("excerpt")), 500)
     return _raw(s, d).join(new, "seq").select("seq", F.when(e != "", e).alias("excerpt"), "url")
 
 
 # --- recommendation --------------------------------------------------------------------------------------------------
 def _model(s, d):
-    m = recommend.matrix(B.interactions(s, d), B.ASOF)
+    m = cut(recommend.matrix(B.interactions(s, d), B.ASOF))  # both are read several times by what follows
     return m, recommend.similarity(m)
 
 
@@ -612,11 +629,14 @@ def s12(s, d):
     return recommend.decoded(recommend.cached(recommend.recommend(*_model(s, d))))
 
 
-@query("m5_serve", RECS + "SELECT rank, article_id, title, source, score FROM recs JOIN art ON art.id = article_id WHERE user_id = 3")
+@query("m5_serve", RECS + """SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'cache' ELSE 'live' END AS origin, rank, article_id, title, source, score FROM recs JOIN art ON art.id = article_id WHERE user_id IN (3, 4, 10)
+  UNION ALL SELECT 1000000007, 'unknown', NULL, NULL, NULL, NULL, NULL""")
 def m5(s, d):
-    cache = recommend.cached(recommend.recommend(*_model(s, d)))
-    mine = recommend.decoded(cache.where("user_id = 3"))
-    return mine.join(B.articles(s, d).select(F.col("id").alias("article_id"), "title", "source"), "article_id").select("rank", "article_id", "title", "source", "score")
+    m, sims = _model(s, d)
+    cache = recommend.cached(recommend.recommend(m.where("user_id % 2 = 0"), sims))  # the others have no row yet
+    asked = s.createDataFrame([(3,), (4,), (10,), (1_000_000_007,)], "user_id long")
+    found = recommend.serve(asked, cache, m, sims, B.users(s, d))
+    return found.join(B.articles(s, d).select(F.col("id").alias("article_id"), "title", "source"), "article_id", "left").select("user_id", "origin", "rank", "article_id", "title", "source", "score")
 
 
 @query("w7_score_share", RECS + "SELECT user_id, article_id, CAST(round(score / greatest(max(score) OVER (PARTITION BY user_id), 0.0001::DOUBLE) * 100) AS BIGINT) AS share_pct FROM recs")
@@ -643,4 +663,4 @@ def m4(s, d):
     return recommend.evaluate(B.interactions(s, d), B.ASOF)
 
 
-extra.register(query, BASE, CASES)
+extra.register(query, BASE, CASES, PRINTS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefeed.functions import text as X
@@ -48,11 +48,13 @@ def scan(feeds: DataFrame, most: int = 20) -> DataFrame:
     return got.withColumn("category", X.category(F.col("raw_category"))).drop("raw_category")
 
 
-def rendered(articles: DataFrame) -> DataFrame:
-    """One feed per source of articles (id, title, url, category, excerpt, source): portal, xml."""
+def rendered(articles: DataFrame, most: int = 20) -> DataFrame:
+    """One feed per source of its first articles (id, title, url, category, excerpt, source): portal, xml. No more than `most` of a source are gathered."""
+
     def safe(c: str):
         return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     item = F.concat(F.lit("<item><title>"), safe("title"), F.lit("</title><link>"), safe("url"), F.lit("</link><category>"), safe("category"), F.lit("</category><description>"), safe("excerpt"), F.lit("</description></item>"))
-    got = articles.select("source", "id", item.alias("item")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("r"))
+    first = articles.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("id"))).where(F.col("_r") <= most)
+    got = first.select("source", "id", item.alias("item")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("r"))
     return got.select(F.col("source").alias("portal"), F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("r", lambda x: x["item"]), ""), F.lit("</channel></rss>")).alias("xml"))

@@ -34,6 +34,26 @@ def rebuild_for_new_users(known: Callable[[], DataFrame], rebuild: Callable[[],
     return each
 
 
+def crawl_then_rebuild(crawl: Callable[[DataFrame, int], None], rebuild: Callable[[str], None], auto: bool = True) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: takes a crawl's batch in and then, if that succeeded and `auto` is set, rebuilds the model with its reason."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        crawl(batch, number)
+        if auto:
+            rebuild("auto-after-crawl")
+
+    return each
+
+
+def into_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """A stream's rows as Parquet: appended batch by batch, or replaced by each batch's complete result."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    return stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def event_windows(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events by type in tumbling windows; rows later than the watermark are dropped."""
     return stream.withWatermark("created_at", late).groupBy(F.window("created_at", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
