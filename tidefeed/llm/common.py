@@ -64,6 +64,21 @@ def _remove() -> None:
             continue
 
 
+def narrowed(rows: DataFrame, keys: DataFrame, key: str, n: int, most_blocks: int = 16384) -> DataFrame:
+    """rows plus `_in`: false only where key is surely not among the n keys. The filter, 32 bits a key, is broadcast: at most 64 MB."""
+    blocks = int(min(most_blocks, max(1, -(-n * 32 // 32768))))
+
+    def place(c: Column) -> tuple[Column, Column]:
+        return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(32768))
+
+    block, bit = place(F.col(key))
+    bitmaps = keys.select(block.alias("_block"), bit.alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    probed = rows.withColumn("_block", block).withColumn("_bit", bit).join(F.broadcast(bitmaps), "_block", "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return probed.withColumn("_in", F.coalesce(is_set, F.lit(False))).drop("_block", "_bit", "_bitmap")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
     """rows ⋈ groups, where groups has one row per key with the number of its rows.
 
