@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidefeed.functions import text as X
 from tidefeed.operators import dedup, simulate
 from tidefeed.operators import relational as R
-from tidefeed.session import checkpoint_root
+from tidefeed.session import scratch
 from tidefeed.sources import bind as B
 from tidefeed.sources import feeds, html, sinks
 from tidefeed.streaming import jobs
@@ -135,19 +133,19 @@ SELECT source, seq, status FROM walk WHERE n > 0"""
 
 def _finished(spark, stream, mode: str):
     """What a stream that has read all there is wrote."""
-    path = f"{checkpoint_root(spark)}/tidefeed-out-{uuid.uuid4().hex}"
-    jobs.into_folder(stream, path, path + "-state", mode).awaitTermination()
+    path = scratch(spark, "out")
+    jobs.into_folder(stream, path, scratch(spark, "state"), mode).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
 def _folder(spark, df) -> str:
-    path = f"{checkpoint_root(spark)}/tidefeed-stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     df.write.parquet(path)
     return path
 
 
 def _through_csv(spark, df):
     """df written as CSV and read again."""
-    path = f"{checkpoint_root(spark)}/tidefeed-csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     sinks.csv(df, path)
     return spark.read.schema(df.schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,12 @@ def build_session(app: str = "tidefeed", master: str | None = None, shuffle_part
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir where it is set, else (local runs only) a temporary one."""
+    """The folder shared by driver and executors: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         root = "file://" + tempfile.mkdtemp(prefix="tidefeed-", dir=_local_root())
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -36,8 +41,34 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from the shared checkpoint folder, for results that several branches of a plan use."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return read_back(df, scratch(df.sparkSession, "cut"))
+
+
+def read_back(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, deleted when the process ends."""
+    if not _scratch:
+        atexit.register(_remove)
+    path = f"{checkpoint_root(spark)}/tidefeed-{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def _remove() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # its session has ended: the folder goes with the cluster's own cleaning, the others are still tried
+            continue
 
 
 def _local_root() -> str:
