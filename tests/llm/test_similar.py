@@ -28,7 +28,7 @@ def copies():
     """Bases, copies with one to five changed words, chains, short and empty texts."""
     rnd = random.Random(8)
     out = []
-    for _ in range(20):
+    for _ in range(12):
         w = [f"w{rnd.randrange(500)}" for _ in range(rnd.choice((6, 30, 100, 200)))]
         for k in range(6):
             out.append(" ".join(w))
@@ -67,7 +67,7 @@ def test_rounds_and_buckets_lose_no_candidate(make):
             if (fp[i] ^ fp[j]).bit_count() <= 22 and (fp2[i] ^ fp2[j]).bit_count() <= 40 and shared >= 0.5 * (len(sets[i]) + len(sets[j]) - shared):
                 a, b = sorted((label[i], label[j]))
                 label = [a if x == b else x for x in label]
-    got = groups(N.components(make([(i, t, "s") for i, t in rows], 2), similarity=0.5, bits=22, bits_2=40, growth=2), dict(rows))
+    got = groups(N.components(make([(i, t, "s") for i, t in rows], 2), similarity=0.5, bits=22, bits_2=40, growth=6), dict(rows))
     assert [got[i] for i in range(60)] == label and 1 < len(set(label)) < 60
 
 
