@@ -71,14 +71,6 @@ def test_plan_covers_the_threshold():
     assert max(len(p) for p, _ in S.plan(rng.integers(0, 2**63, 500, dtype=np.uint64), 10**10, 3)) > 16
 
 
-def test_documents_that_stay(make, texts):
-    docs = make([(i, t, "s") for i, t in enumerate(texts)] + [(None, "q w e", "s")])
-    kept = S.distinct_documents(docs)
-    ids = {r.doc_id for r in kept.collect()}
-    assert kept.columns == docs.columns and None in ids
-    assert ids - {None} == {r.component_id for r in S.near_duplicates(docs.where("doc_id is not null")).collect()}
-
-
 def test_empty_and_null_ids(make, spark):
     assert S.near_duplicates(make(["a"]).where("false")).count() == 0
     got = S.near_duplicates(make([(None, "solo text here", "s")])).first()
