@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. Results of stages are written to the shared folder and read again, so a lost executor repeats one stage.
+
+Defined cases, as its operators define them: a null text counts as empty (an empty text is judged by its score like any other, and
+of equal ones the first stays); very long texts are read whole; a null doc_id keeps its row until quality, equal text or a
+benchmark item removes it (it takes no part in near-duplicates); rows that repeat doc_id and text become one in the exact
+stage; ties go to the smallest doc_id; extra columns, whatever their names, stay until the mix; empty tables of documents,
+labels or benchmark give empty results, keep all, and contaminate nothing.
 """
 
 from __future__ import annotations
