@@ -60,3 +60,12 @@ def test_documents_that_stay(make, texts):
 def test_empty(make):
     docs = make(["a"]).where("false")
     assert E.duplicate_groups(docs).count() == 0 and E.distinct_documents(docs).count() == 0
+
+
+def test_narrowed_loses_no_key(make, spark):
+    from tidefeed.llm import common
+
+    rows, keys = spark.range(3000).withColumnRenamed("id", "k"), spark.range(0, 3000, 7).withColumnRenamed("id", "k")
+    got = {r.k: r["_in"] for r in common.narrowed(rows, keys, "k", keys.count()).collect()}
+    assert all(got[k] for k in range(0, 3000, 7)) and sum(got.values()) < 429 + 300
+    assert not any(r["_in"] for r in common.narrowed(rows, keys.where("false"), "k", 0).collect())

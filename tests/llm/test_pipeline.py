@@ -34,3 +34,18 @@ def test_stages_decide_what_their_operators_say(spark):
 
 def test_ten_operators_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+
+
+def test_odd_input_goes_through(make, spark, tmp_path):
+    """Nulls everywhere, repeated rows, empty texts and clashing columns; then nothing at all."""
+    rows = [(None, None, None), (1, "", "s"), (2, None, None), (3, "a b c d e f", "s"), (3, "a b c d e f", "s"), (None, "a b c d e f", "s"), (4, "w " * 30_000, "t")]
+    docs = make(rows)
+    spark.createDataFrame([(None, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None), (1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start, some in ((docs, True), (docs.where("false"), False)):
+        out = start
+        for _, stage in corpus_pipeline.STAGES:
+            before = out
+            out = common.written(stage(spark, out, str(tmp_path)), "odd")
+            assert out.count() <= before.count() and (out.count() > 0) == some
+    assert {r.doc_id for r in corpus_pipeline.exact_stage(spark, docs, "").collect()} == {1, 3, 4}
