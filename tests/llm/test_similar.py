@@ -108,3 +108,20 @@ def test_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert groups(N.components(docs), dict(rows)) == slow_components(rows)
+
+
+def test_cells_never_rule_out_a_similar_pair():
+    np = N.np
+    rng = np.random.default_rng(3)
+    ruled = 0
+    for _ in range(300):
+        n, k = int(rng.integers(1, 900)), int(rng.integers(0, 60))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(0, len(a) - k)], rng.integers(0, 2**63, k, dtype=np.uint64)])) if k else a
+        shared = len(np.intersect1d(a, b))
+        x, y = ({"n": np.array([len(s)]), "cells": np.frombuffer(N.cells_of(s), np.uint64).reshape(1, -1)} for s in (a, b))
+        at = np.zeros(1, np.int64)
+        may = N._may_be(x, at, y, at, 0.8)[0]
+        assert may or shared < 0.8 * (len(a) + len(b) - shared)
+        ruled += not may
+    assert ruled > 50

@@ -2,7 +2,8 @@
 
 Each document's set of shingles gets a 128-bit SimHash. Candidates differ in at most `bits` of the first 64 bits, found by the
 generalised pigeonhole of `simhash.plan` (every fingerprint is indexed under its value and probes all values within each
-partition's threshold), in at most `bits_2` of the others, and in size by no more than the similarity allows. Whether
+partition's threshold), in at most `bits_2` of the others, and in size by no more than the similarity allows; nor may the
+cells of hash values that only one of them has show that they are less similar (which is never wrong). Whether
 two candidates are linked is decided by their exact sets alone. Components of links are groups.
 
 No group is ever collected and copies don't yield all their pairs: in each round every document asks each of its buckets for
@@ -39,6 +40,7 @@ from .textkit import WordHasher, grams, mix64, slices
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BITS_2 = 16, 24
 GROUPS = 64
+CELLS = 512
 
 
 def shingle_sets(hasher: WordHasher, texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -59,6 +61,13 @@ def set_print(members: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(members), bitorder="little").view(np.uint64)[0])
 
 
+def cells_of(members: np.ndarray) -> bytes:
+    """Which of CELLS cells of hash values the members fall in, as bits."""
+    bits = np.zeros(CELLS, bool)
+    bits[(mix64(members) % np.uint64(CELLS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _prints(shingle: int):
     def run(batches):
         hasher = WordHasher()
@@ -67,12 +76,14 @@ def _prints(shingle: int):
             with np.errstate(over="ignore"):
                 fp = [np.array([set_print(f(s)) for s in sets], np.uint64).view(np.int64) for f in (lambda s: s, lambda s: mix64(s + np.uint64(0x9E3779B97F4A7C15)))]
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(fp[0]), pa.array(fp[1]), sizes], names=["doc_id", "rid", "fp", "fp2", "n"])
+            cells = pa.array([cells_of(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(fp[0]), pa.array(fp[1]), sizes, cells], names=["doc_id", "rid", "fp", "fp2", "n", "cells"])
 
     return run
 
 
-_NODE = ("id", "fp", "fp2", "n", "root", "asked", "far")
+_NODE = {"id": "long", "fp": "long", "fp2": "long", "n": "long", "cells": "binary", "root": "long", "asked": "long", "far": "long"}
+_FIRST = tuple(_NODE)[:5]
 
 
 def _signatures(parts: list[tuple[list[int], int]], similarity: float, names: tuple):
@@ -103,6 +114,17 @@ def _group(ids: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     return np.minimum((ids - span[0]) // span[1], GROUPS)
 
 
+def _may_be(x: dict, a: np.ndarray, y: dict, b: np.ndarray, similarity: float, block: int = 1 << 16) -> np.ndarray:
+    """False where two sets are surely less similar: a cell that only one has holds a member that the other lacks."""
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), block):
+        p, q = a[i : i + block], b[i : i + block]
+        c, d = x["cells"][p], y["cells"][q]
+        shared = np.minimum(x["n"][p] - np.bitwise_count(c & ~d).sum(axis=1, dtype=np.int64), y["n"][q] - np.bitwise_count(d & ~c).sum(axis=1, dtype=np.int64))
+        out[i : i + block] = shared >= similarity * (x["n"][p] + y["n"][q] - shared) - 1e-9
+    return out
+
+
 def _asked(index: dict, rows: dict, bits: int, bits_2: int, similarity: float, most: int, block: int = 1 << 21):
     """(place in rows, place in index, distance) of each row's `most` first admissible candidates in order of group, distance
     and id, and which rows have any neighbour. index is in order of id."""
@@ -122,6 +144,8 @@ def _asked(index: dict, rows: dict, bits: int, bits_2: int, similarity: float, m
                 sizes = x["n"][a], rows["n"][b]
                 ok = (second <= bits_2) & (x["id"][a] != rows["id"][b]) & (np.minimum(*sizes) >= similarity * np.maximum(*sizes) - 1e-9)
                 a, b, second = a[ok], b[ok], second[ok]
+                ok = _may_be(x, a, rows, b, similarity)
+                a, b, second = a[ok], b[ok], second[ok]
                 close[b] = True
                 d = second.astype(np.int64) + np.bitwise_count(x["fp"][a] ^ rows["fp"][b])
                 g, old, far = x["g"][a], rows["asked"][b], rows["far"][b]
@@ -149,7 +173,8 @@ def _answers(names: tuple, span: tuple[int, int], bits: int, bits_2: int, simila
 
     def buckets(t: pa.Table):
         h, probe = t.column("h").to_numpy(), t.column("probe").to_numpy()
-        node = {c: t.column(c).to_numpy() for c in names}
+        node = {c: t.column(c).to_numpy() for c in names if c != "cells"}
+        node["cells"] = np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint64).reshape(-1, CELLS // 64)
         for c in ("fp", "fp2"):
             node[c] = node[c].view(np.uint64)
         node.setdefault("root", node["id"])
@@ -227,17 +252,17 @@ def _verified(similarity: float):
 def components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bits: int = BITS, bits_2: int = BITS_2, sample: int = 4000, growth: int = 4) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of its group) of each doc_id that isn't alone."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"), "text")
-    rows = common.written(texts.mapInArrow(_prints(shingle), "doc_id long, rid long, fp long, fp2 long, n long"), "setprints")
-    one = rows.groupBy("doc_id").agg(F.min(F.struct("rid", "fp", "fp2", "n")).alias("s")).select(F.col("doc_id").alias("id"), "s.*")
+    rows = common.written(texts.mapInArrow(_prints(shingle), "doc_id long, rid long, fp long, fp2 long, n long, cells binary"), "setprints")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("rid", "fp", "fp2", "n", "cells")).alias("s")).select(F.col("doc_id").alias("id"), "s.*")
     nodes = common.written(one, "nodes")
     few = np.array([r.fp for r in nodes.select("fp").distinct().orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
     parts = plan(few, nodes.count(), bits, pair=0.0002, share=0.25)
     low, high = nodes.agg(F.min("id"), F.max("id")).first()
     span = (low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // GROUPS)))
     links = sets = comps = None
-    names, most = _NODE[:4], 1
+    names, most = _FIRST, 1
     while True:
-        signed = nodes.select(*names).mapInArrow(_signatures(parts, similarity, names), "h long, probe boolean, " + ", ".join(f"{c} long" for c in names))
+        signed = nodes.select(*names).mapInArrow(_signatures(parts, similarity, names), "h long, probe boolean, " + ", ".join(f"{c} {_NODE[c]}" for c in names))
         answered = signed.repartition(F.col("h")).sortWithinPartitions("h", "id").mapInArrow(_answers(names, span, bits, bits_2, similarity, most), "y long, g long, d long, x long")
         firsts = F.slice(F.array_sort(F.collect_set(F.when(F.col("x").isNotNull(), F.struct("g", "d", "x")))), 1, most)
         found = common.written(answered.groupBy("y").agg(firsts.alias("xs")), "found")
@@ -258,10 +283,10 @@ def components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
             comps = common.written(connected(links), "components")
         if "far" not in nodes.columns:
             nodes = nodes.withColumn("asked", F.lit(-1).cast("long")).withColumn("far", F.lit(-1).cast("long"))
-        state = nodes.select("id", "fp", "fp2", "n", "asked", "far").join(found.select(F.col("y").alias("id"), F.array_max("xs").alias("_now")), "id", "left")
+        state = nodes.select("id", "fp", "fp2", "n", "cells", "asked", "far").join(found.select(F.col("y").alias("id"), F.array_max("xs").alias("_now")), "id", "left")
         state = state.join(comps.withColumnRenamed("node", "id"), "id", "left")
         asked, far = F.coalesce("_now.x", "asked").alias("asked"), F.coalesce("_now.d", "far").alias("far")
-        nodes, names = common.written(state.select("id", "fp", "fp2", "n", F.coalesce("root", "id").alias("root"), asked, far), "asked"), _NODE
+        nodes, names = common.written(state.select("id", "fp", "fp2", "n", "cells", F.coalesce("root", "id").alias("root"), asked, far), "asked"), tuple(_NODE)
         most *= growth
     if comps is None:
         return nodes.where("false").select(F.col("id").alias("doc_id"), F.col("id").alias("component_id"))
