@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage."""
 
 from .decontaminate import op9_decontamination
+from .doubling import ORACLE_OP11, op11_substring_dedup
 from .exact_dedup import ORACLE_OP2, op2_exact_dedup
 from .mixing import op8_mixing
 from .pitman_yor import op1_pitman_yor
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
-ORACLE = {"op2_exact_dedup": ORACLE_OP2}
+ORACLE = {"op2_exact_dedup": ORACLE_OP2, "op11_substring_dedup": ORACLE_OP11}

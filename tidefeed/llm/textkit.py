@@ -37,12 +37,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """Lower-cases A-Z, splits at space and U+0009 to U+000D, hashes each word (a polynomial over random byte values)."""
+    """Lower-cases A-Z (unless told not to), splits at space and U+0009 to U+000D, hashes each word (a polynomial over random byte values)."""
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, seed: int = 1, lower: bool = True):
         rng = np.random.default_rng(seed)
         value = rng.integers(1, 2**63, 256, dtype=np.uint64)
-        value[65:91] = value[97:123]
+        if lower:
+            value[65:91] = value[97:123]
         self.value = value
         white = np.zeros(256, bool)
         white[[32, 9, 10, 11, 12, 13]] = True
@@ -66,7 +67,10 @@ class WordHasher:
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All words' hashes in order, and offsets[i]:offsets[i + 1] of text i. Long texts go in pieces that end at white space."""
-        datas = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        return self.encoded([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+
+    def encoded(self, datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As words, of texts in UTF-8."""
         found, counts, i = [], np.zeros(len(datas), np.int64), 0
         while i < len(datas):
             if len(datas[i]) > PIECE:
