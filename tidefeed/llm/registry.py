@@ -11,6 +11,8 @@ from .simhash import op4_simhash
 from .suffix_dedup import op10_suffix_dedup
 from .tokens import op7_token_counts
 from .toxicity import op3_toxicity
+from .vector_codes import ORACLE_OP13, op13_vector_codes
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
@@ -24,6 +26,8 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE = {"op2_exact_dedup": ORACLE_OP2, "op11_substring_dedup": ORACLE_OP11}
+ORACLE = {"op2_exact_dedup": ORACLE_OP2, "op11_substring_dedup": ORACLE_OP11, "op13_vector_codes": ORACLE_OP13}
