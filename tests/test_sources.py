@@ -36,6 +36,38 @@ def test_content(spark):
     assert whole == {1: True, 2: False, 3: False}
 
 
+def article(spark, html_text):
+    return html.articles(spark.createDataFrame([(1, html_text)], "page_id long, html string")).first()
+
+
+def test_article_among_menus_and_comments(spark):
+    one, two = "The council met on Monday, and after a long debate, it agreed on the plan.", "Work begins in spring, the mayor said, if the weather allows it."
+    menu = "".join(f"<li><a href='/{i}'>Section number {i} with quite a long name, really</a></li>" for i in range(30))
+    talk = "".join(f"<li><p>Reader {i} thinks that this is, frankly, far too long.</p></li>" for i in range(3))
+    want = f"{one}\n\nShort.\n\n{two}"
+    body = f"<p>{one}<p>Short.<p>{two}"
+    for shape in (
+        f"<ul>{menu}</ul><div><div class=story>{body}</div></div><ul>{talk}</ul>",
+        f"<div class='comments'>{talk * 9}</div><article><h1>H</h1>{body}<div class='share-bar'><p>Share this article with all your friends, now</p></div></article>",
+        f"<table><tr><td><ul>{menu}</ul><td>{body}</table>",
+        f"<div><div>{menu}</div><section><div>{one}</div><div>Short.</div><div>{two}</div></section></div>",
+        f"<div><b><p>{one}</b><p>Short.<p>{two}<p><a href=/x>Read also: something else entirely, long enough</a></div><footer><p>{one}</p></footer>",
+        f"</div></p><div>{body}<script>var t = '<p>';</script><!-- <p>{one}</p> -->",
+    ):
+        got = article(spark, "<title> A  title </title>" + shape)
+        assert got.body == want and got.ok and got.title == "A title", shape
+
+
+def test_article_of_odd_pages(spark):
+    for text in (None, "", "<p>", "plain text only", "<ul><li><a href=x>a link that is longer than twenty-five characters</a></ul>"):
+        got = article(spark, text)
+        assert got.ok is False and len(got.body) < 100
+    deep = "<div>" * 3000 + "<p>A paragraph, deep down below, that is found all the same, even there.</p>"
+    assert article(spark, deep).body.startswith("A paragraph, deep")
+    tie = "".join(f"<div><p>{w} paragraph of the very same length and score.</p></div>" for w in ("One", "Two"))
+    assert article(spark, f"<main>{tie}</main>").body.startswith("One") and article(spark, "<br><p>x<br>y</p>").body == ""
+
+
 def test_feeds(spark):
     rss = "<rss><channel>" + "".join(f"<item><title>T {i}</title><link>http://x/{i}</link><pubDate>d{i}</pubDate><category>Bola</category><description>&lt;b&gt;s&lt;/b&gt;  x</description></item>" for i in range(25)) + "</channel></rss>"
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>E</title><link href="http://y/1"/><updated>u</updated></entry><entry><title></title><link href="http://y/2"/></entry><entry><title>F</title><link href="ftp://y"/></entry></feed>'

@@ -118,6 +118,33 @@ SELECT source, seq, status FROM walk WHERE n > 0"""
     def s5m(s, d):
         return R.bodies(R.paragraphs_kept(html.paragraphs(_made(s, d))))
 
+    # pages of five shapes around a document's lines: divisions, table cells, paragraphs left open, sections with readers' comments, divisions as paragraphs
+    first, second = "First come first served, says a reader of this page", "Nobody asked the readers, which is, as ever, a pity"
+    link = '<a href="/a">A link whose text is far longer than twenty-five characters</a>'
+    line = "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+    def around(before: str, each: str, after: str) -> str:
+        return f"concat('{before}', array_join(transform(split(coalesce(text, ''), '\n'), x -> concat('<{each}>', {line}, '{'' if each == 'p class=open' else '</' + each + '>'}')), ''), '{after}')"
+
+    shapes = [
+        around(f'<html><head><title>T</title></head><body><nav><ul><li>{link}</ul></nav><div class="main-menu"><p>A menu with a long text, which is not a link</p></div><div id="main"><div class="story">', "p", '</div></div><div id="comments"><p>A comment, longer, with commas, than most lines of an article, and so on</p></div></body></html>'),
+        around(f"<table><tr><td>{link}<td>", "p", "</table>"),
+        around('<div class="x">', "p class=open", f"</div><div>See {link}</div>"),
+        around("<article><section><div>", "p", f"</div></section></article><ul><li><p>{first}</p><li><p>{second}</p></ul>"),
+        around('<div class="t">', "div", f"</div><div>{link}</div>"),
+    ]
+    article_sql = f"""WITH l AS (SELECT doc_id, i, {TIDY.format('raw')} AS t FROM (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+      g AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '') AS body, coalesce(sum(CASE WHEN length(t) >= 25 THEN 1 + length(regexp_replace(t, '[^,]', '', 'g')) + least(length(t) / 100, 3) END), 0) AS score FROM l GROUP BY 1),
+      b AS (SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 3 AND score < 3 + length('{second}') / 100 THEN '{second}' WHEN score > 0 THEN body ELSE '' END AS body, CASE doc_id % 5 WHEN 0 THEN 'T' ELSE '' END AS title FROM g)
+      SELECT page_id, title, sha256(body) AS body_sha, length(body) >= 100 AS ok FROM b"""
+
+    @query("s4_article_made", article_sql)
+    def s4m(s, d):
+        n = F.pmod("doc_id", F.lit(len(shapes)))
+        page = F.coalesce(*[F.when(n == i, F.expr(shape)) for i, shape in enumerate(shapes)])
+        a = html.articles(B.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html")))
+        return a.select("page_id", "title", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"), "ok")
+
     @query("s9_discovery_made", """SELECT doc_id AS page_id, concat('Site ', doc_id) AS site, 'article' AS item, 'h2' AS title, 'time' AS date, 'span[class*=''label'']' AS category, 'a[href]' AS link, 'p' AS summary,
       concat('http://h.example.com/x http://h.example.com/s', doc_id) AS urls, 2::BIGINT AS preview FROM documents""")
     def s9m(s, d):

@@ -235,23 +235,115 @@ def pictures(pages: DataFrame) -> DataFrame:
     return _table(pages, "rank int, src string", report)
 
 
-def articles(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, title, body, ok: the whole-page extractor, which fails under `least` characters. Its body is all paragraphs, parted by blank lines."""
+# What ends what: an opening block ends a paragraph, a cell the cell before it. Nothing is ended beyond an element of BARRIERS.
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre",
+    "section", "table", "tbody", "td", "th", "tr", "ul",
+}
+ENDED = {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
+BARRIERS = {"article", "body", "div", "main", "ol", "section", "table", "ul"}
+#: Elements that hold no part of an article's text, and words in a class or id that say so.
+SKIPPED = {"aside", "button", "figure", "footer", "form", "iframe", "nav", "noscript", "script", "select", "style", "svg", "template"}
+SKIPPED_NAMES = re.compile(r"comment|komentar|menu|navbar|breadcrumb|sidebar|footer|share|social|related|recommend|iklan|banner|promo|sponsor|newsletter|popup|cookie|(^|[\s_-])ads?($|[\s_-])", re.I)
+#: Elements whose text is a paragraph if no block lies in them.
+PARAGRAPHS = {"article", "blockquote", "div", "main", "p", "pre", "section", "td"}
+
+
+class _ClosingBuilder(_Builder):
+    """Ends open paragraphs, items and cells where HTML ends them."""
 
-    def report(root: Node):
-        title = root.first("title")
-        yield None, title.text() if title else ""
-        for pos, p in enumerate(root.select("p")):
-            yield pos, p.text()
-
-    seen = _table(pages, "pos int, text string", report)
-    line = F.trim(F.regexp_replace("text", r"[ \t]+", " "))
-    rows = seen.groupBy("page_id").agg(
-        X.clean_text(F.max(F.when(F.col("pos").isNull(), F.col("text")))).alias("title"),
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", line.alias("t"))))).alias("_p"),
+    def handle_starttag(self, tag, attrs):
+        ended = ENDED.get(tag, {"p"} if tag in BLOCKS else set())
+        n = self.at
+        while ended and n.parent is not None and n.tag not in ended and n.tag not in BARRIERS:
+            n = n.parent
+        if n.tag in ended:
+            self.at = n.parent
+        super().handle_starttag(tag, attrs)
+
+
+class _Open:
+    """An element whose children are being read."""
+
+    def __init__(self, node: Node, number: int):
+        self.node, self.number, self.rest = node, number, iter(node.children)
+        self.chars = self.links = 0
+        self.parts, self.holds_block = [], False
+
+
+def measured(root: Node) -> list[tuple]:
+    """(number, last number below, parent, grandparent, text, characters, characters in links) of the paragraphs below root and of
+    their parents and grandparents, by number in document order. text is null for elements that aren't paragraphs."""
+    path, count, rows, wanted = [_Open(root, 0)], 1, [], set()
+    while path:
+        top = path[-1]
+        child = next(top.rest, None)
+        if isinstance(child, str):
+            top.parts.append(child)
+            top.chars += len("".join(child.split()))
+        elif child is not None:
+            names = f"{child.attrs.get('class', '')} {child.attrs.get('id', '')}"
+            if child.tag not in SKIPPED and (child.tag in ("html", "body") or not SKIPPED_NAMES.search(names)):
+                path.append(_Open(child, count))
+                count += 1
+        else:
+            path.pop()
+            up = [p.number for p in path[:-3:-1]] + [None, None]
+            text = tidy("".join(top.parts)) if top.node.tag in PARAGRAPHS and not top.holds_block else ""
+            if text:
+                wanted.update(up[:2])
+            rows.append((top.number, count - 1, up[0], up[1], text or None, top.chars, top.links))
+            if path:
+                above, block = path[-1], top.holds_block or top.node.tag in BLOCKS
+                above.chars += top.chars
+                above.links += top.chars if top.node.tag == "a" else top.links
+                above.holds_block |= block
+                above.parts += [" "] if block or top.node.tag == "br" else top.parts
+    return sorted(r for r in rows if r[4] or r[0] in wanted)
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """page_id, node, last, parent, grand, text, chars, link_chars: what measured() finds; the page's title is node -1."""
+
+    def report(frames):
+        for f in frames:
+            rows = []
+            for page_id, html in zip(f.page_id, f.html):
+                b = _ClosingBuilder()
+                b.feed(html or "")
+                b.close()
+                title = b.root.first("title")
+                rows.append((page_id, -1, -1, None, None, title.text() if title else "", 0, 0))
+                rows += [(page_id, *r) for r in measured(b.root)]
+            yield pd.DataFrame(rows, columns=["page_id", "node", "last", "parent", "grand", "text", "chars", "link_chars"])
+
+    return pages.select("page_id", "html").mapInPandas(report, "page_id long, node long, last long, parent double, grand double, text string, chars long, link_chars long")
+
+
+def articles(pages: DataFrame, least: int = 100, telling: int = 25, most_links: float = 0.5) -> DataFrame:
+    """page_id, title, body, ok: the whole-page extractor, which finds the article by itself and fails under `least` characters.
+
+    A paragraph of at least `telling` characters, of which under most_links lie in links, has a score: 1, one more for each comma and
+    up to 3 for its length. Its parent gets the score, its grandparent half of it; sums shrink by the share of links
+    in the whole element. The element with the highest sum (of ties the first) is the article, and the paragraphs in it that aren't
+    links are its body, parted by blank lines. Pages are dealt out once; the rest is done where their rows lie.
+    """
+    seen = blocks(pages).repartition("page_id")
+    content = F.col("node") >= 0
+    plain = F.col("link_chars") < F.greatest("chars", F.lit(1)) * most_links
+    worth = 1 + F.char_length(F.regexp_replace("text", r"[^,]", "")) + F.least(F.char_length("text") / 100, F.lit(3.0))
+    given = F.explode(F.array(F.struct(F.col("parent").alias("node"), worth.alias("score")), F.struct(F.col("grand").alias("node"), (worth / 2).alias("score"))))
+    votes = seen.where(content & F.col("text").isNotNull() & plain & (F.char_length("text") >= telling)).select("page_id", given.alias("v")).select("page_id", F.col("v.node").cast("long").alias("node"), "v.score")
+    sums = votes.where("node is not null").groupBy("page_id", "node").agg(F.sum("score").alias("score"))
+    share = 1 - F.col("link_chars") / F.greatest("chars", F.lit(1))
+    ranked = sums.join(seen.select("page_id", "node", "last", "chars", "link_chars"), ["page_id", "node"]).withColumn("score", F.round(F.col("score") * share, 9))
+    best = ranked.groupBy("page_id").agg(F.max_by(F.struct("node", "last"), F.struct("score", -F.col("node"))).alias("b"))
+    inside = content & F.col("text").isNotNull() & plain & (F.col("node") >= F.col("b.node")) & (F.col("node") <= F.col("b.last"))
+    rows = seen.join(best, "page_id", "left").groupBy("page_id").agg(
+        X.clean_text(F.max(F.when(~content, F.col("text")))).alias("title"), F.array_sort(F.collect_list(F.when(inside, F.struct("node", "text")))).alias("p")
     )
-    texts = F.filter(F.transform("_p", lambda x: X.strip(x["t"])), lambda x: x != "")
-    return rows.select("page_id", "title", F.array_join(texts, "\n\n").alias("body")).withColumn("ok", F.char_length("body") >= least)
+    body = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
+    return rows.select("page_id", "title", body.alias("body")).withColumn("ok", F.char_length("body") >= least)
 
 
 def discovery(pages: DataFrame) -> DataFrame:
