@@ -56,7 +56,7 @@ def reference_simhash(text):
 def test_simhash(spark):
     from tidefeed.operators.dedup import simhash
 
-    texts = ["", "  !? ", "one", "the quick brown fox", "Éa, b_c 12 x-y", " ".join(f"w{i}" for i in range(300)), None]
+    texts = ["", "  !? ", "one", "the quick brown fox", "Éa, b_c 12 x-y", "Harga ™ 25℃ № 5", "ﬃ © ² Ⅷ ＡＢ", " ".join(f"w{i}" for i in range(300)), None]
     got = {r.id: r.h for r in simhash(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", F.col("t")).select("id", X.hex64(F.col("fp")).alias("h")).collect()}
     assert got == {i: reference_simhash(t or "") for i, t in enumerate(texts)}
     back = values(spark, [("8000000000000001",)], "h string", X.hex64(X.from_hex64(F.col("h"))), X.hamming(X.from_hex64(F.col("h")), F.lit(0).cast("long")))

@@ -62,8 +62,44 @@ def test_ingest_equals_taking_rows_in_one_by_one(spark):
         texts.append(" ".join(w))
         out.append((rnd.choice(["T", "T", "U", " "]), f"http://x/{rnd.randrange(120)}", texts[-1], rnd.choice(["s1", "s2", None])))
     rows = raw(spark, out)
-    got = statuses(dedup.ingest(rows))
-    assert got == in_turn(rows) and {"new", "duplicate", "near_dup", "invalid"} == set(got)
+    want = in_turn(rows)
+    assert {"new", "duplicate", "near_dup", "invalid"} == set(want)
+    for block in (4096, 20):
+        assert statuses(dedup.ingest(rows, block)) == want
+
+
+def test_ingest_of_a_hot_source_judges_changed_ranges_only(spark):
+    import random
+
+    rnd = random.Random(8)
+    texts = [" ".join(f"{rnd.choice(WORDS)}{rnd.randrange(40)}" for _ in range(25)) for _ in range(1500)]
+    rows = []
+    for i, t in enumerate(texts):
+        w = (texts[max(0, i - rnd.randrange(1, 80))] if i % 9 == 4 else t).split()
+        w[rnd.randrange(25)] = "changed"
+        rows.append((f"T {i if i % 30 else 0}", f"http://x/{i if i % 11 else i // 2}", " ".join(w), "hot" if i % 2 else f"s{i % 5}"))
+    df, judged = raw(spark, rows), []
+    assert statuses(dedup.ingest(df, 60, judged)) == in_turn(df)
+    assert judged[0] >= 20 and len(judged) > 1 and sum(judged[2:]) < judged[0]
+
+
+def test_judged_equals_row_by_row():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(64) for _ in range(9)]
+    fps = [rnd.choice(base) ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice((0, 3, 9)))) if rnd.random() < 0.5 else rnd.getrandbits(64) for _ in range(700)]
+    signed = np.array(fps, np.uint64).view(np.int64)
+    for split in (0, 30, 400):
+        _, last = dedup.judged(signed[:split], [])
+        near, _ = dedup.judged(signed[split:], last, 64)
+        kept, want = [int(x) & (1 << 64) - 1 for x in last], []
+        for f in fps[split:]:
+            want.append(any((f ^ k).bit_count() <= 5 for k in kept[-50:]))
+            kept += [] if want[-1] else [f]
+        assert near.tolist() == want and any(want)
 
 
 def test_rejected_rows_leave_no_trace(spark):

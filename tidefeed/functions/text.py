@@ -95,7 +95,7 @@ def content_hash(title: Column, excerpt: Column) -> Column:
 
 
 def simhash_words(text: Column) -> Column:
-    clean = F.regexp_replace(F.lower(normal_form(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}_\s]", " ")
+    clean = F.regexp_replace(normal_form(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}_\s]", " ")
     return F.filter(F.split(clean, r"(?U)\s+"), lambda w: w != "")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,33 +61,138 @@ def fingerprinted(raw: DataFrame) -> DataFrame:
     return hashed.join(simhash(raw, "seq", F.concat_ws(" ", X.strip(F.coalesce("title", F.lit(""))), X.strip(F.coalesce("excerpt", F.lit(""))))), "seq")
 
 
-def ingest(raw: DataFrame) -> DataFrame:
+def judged(fp: np.ndarray, last: list[int], block: int = 512) -> tuple[np.ndarray, list[int]]:
+    """Of one source's fingerprints in order, which lie within THRESHOLD bits of one of the last WINDOW accepted before them (`last`
+    came before all), and the last accepted ones after. Distances are computed a block at a time; only rows that have
+    neighbours are then looked at one by one."""
+    known = np.concatenate([np.array(last, np.int64), fp]).view(np.uint64)
+    begin = len(last)
+    accepted = np.ones(len(known), bool)
+    kept = list(range(begin))
+    for i in range(0, len(fp), block):
+        j = min(i + block, len(fp))
+        mine = known[begin + i : begin + j]
+        row, other = np.nonzero(np.bitwise_count(mine[:, None] ^ known[None, : begin + j]) <= THRESHOLD)
+        before = other < row + begin + i
+        row, other = row[before], other[before]
+        edge = np.searchsorted(row, np.arange(j - i + 1)).tolist()
+        for k in range(j - i):
+            if edge[k] < edge[k + 1]:
+                near = other[edge[k] : edge[k + 1]]
+                low = kept[-WINDOW] if len(kept) >= WINDOW else 0
+                if (accepted[near] & (near >= low)).any():
+                    accepted[begin + i + k] = False
+                    continue
+            kept.append(begin + i + k)
+    return ~accepted[begin:], known[kept[-WINDOW:]].view(np.int64).tolist()
+
+
+_JUDGED = "range int, seq long, open boolean, near boolean, source string, last array<long>"
+
+
+def _judge_range(rows: pa.Table, states: pa.Table) -> pa.Table:
+    """Statuses of a range's rows, and the last fingerprints that it accepted of each of its sources (rows without seq)."""
+    rows = rows.sort_by("seq")
+    came = dict(zip(states.column("source").to_pylist(), states.column("last").to_pylist()))
+    source = rows.column("source").combine_chunks().dictionary_encode(null_encoding="encode")
+    if isinstance(source, pa.ChunkedArray):
+        source = source.combine_chunks()
+    code, fp, is_open = source.indices.to_numpy(zero_copy_only=False), rows.column("fp").to_numpy(), rows.column("open").to_numpy()
+    near, ends = np.zeros(len(code), bool), []
+    for c, name in enumerate(source.dictionary.to_pylist()):
+        mine = np.flatnonzero((code == c) & is_open)
+        near[mine], _ = judged(fp[mine], came.get(name) or [])
+        ends.append((name, fp[mine][~near[mine]][-WINDOW:].tolist()))
+    n, number = len(ends), rows.column("range")[0].as_py() if rows.num_rows else None
+    schema = pa.schema([("range", pa.int32()), ("seq", pa.int64()), ("open", pa.bool_()), ("near", pa.bool_()), ("source", pa.string()), ("last", pa.list_(pa.int64()))])
+    m = rows.num_rows
+    status = [rows.column("range"), rows.column("seq"), rows.column("open"), pa.array(near), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int64()))]
+    state = [pa.array([number] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_()), pa.array([e[0] for e in ends], pa.string()), pa.array([e[1] for e in ends], pa.list_(pa.int64()))]
+    return pa.concat_tables([pa.Table.from_arrays(c, schema=schema) for c in (status, state)])
+
+
+def _contested(rows: DataFrame) -> DataFrame:
+    """key, seq, range of valid rows whose address or content another valid row has too: only these can ever be copies."""
+    keys = F.explode(F.array(F.concat(F.lit("u"), "url_hash"), F.concat(F.lit("c"), "content_hash"))).alias("key")
+    keyed = rows.where("valid").select(keys, "seq", "range")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    return keyed.join(shared, "key")
+
+
+def _copies(accepted: DataFrame, contested: DataFrame) -> DataFrame:
+    """seq, range, copy of the contested rows: whether an accepted row before has the same key."""
+    first = accepted.groupBy("key").agg(F.min("seq").alias("first"))
+    seen = contested.join(first, "key", "left").groupBy("seq", "range")
+    return seen.agg(F.max(F.coalesce(F.col("first") < F.col("seq"), F.lit(False))).alias("copy"))
+
+
+def _handed(states: DataFrame) -> DataFrame:
+    """range, source, last: the last WINDOW fingerprints that ranges before have accepted of the source. Each of the WINDOW ranges before
+    that accepted any gave one at least, so no more of them are looked at."""
+    follow = Window.partitionBy("source").orderBy("range")
+    filled = states.where(F.size("last") > 0).select("range", "source", F.flatten(F.collect_list("last").over(follow.rowsBetween(1 - WINDOW, 0))).alias("_all"))
+    filled = filled.select("range", "source", F.slice("_all", F.greatest(F.size("_all") - WINDOW + 1, F.lit(1)), WINDOW).alias("_then"))
+    none = states.where(F.size("last") == 0).select("range", "source", F.lit(None).cast("array<long>").alias("_then"))
+    before = follow.rowsBetween(Window.unboundedPreceding, -1)
+    return filled.unionByName(none).select("range", "source", F.last("_then", True).over(before).alias("last"))
+
+
+def ingest(raw: DataFrame, block: int = 4096, report: list | None = None) -> DataFrame:
     """seq, status, reason of raw rows taken in in order of seq, each judged against the accepted rows before it only.
 
     A row is a duplicate if an accepted one has its address or its content (over all sources), and a near-duplicate if one of
-    the last WINDOW accepted of its source is within THRESHOLD bits. What is accepted is found by rounds: each judges all
-    rows at once against what the round before accepted, starting from all valid ones. The first row is right after the
-    first round, and a row is right as soon as those before it are, so the rounds end, at the result of going row by row;
-    in practice after as many as copies of copies of copies are deep.
+    the last WINDOW accepted of its source is within THRESHOLD bits. Rows are cut into ranges of some `block` in order of seq,
+    whatever their source, and ranges are judged in parallel: each takes the last accepted fingerprints of its sources from
+    the range before, as the round before left them, and its copies from the accepted rows that share a key. Only ranges for
+    which either has changed are judged again. The first range is right after the first round and any other as soon as all
+    before it are, so the rounds end, at the result of going row by row. Usually few ranges remain after two rounds: what a
+    range hands on seldom depends on what it got, since 50 accepted rows cover it.
     """
     rows = fingerprinted(raw).withColumn("reason", validity(F.col("title"), F.col("url")))
-    rows = cut(rows.select("seq", "source", "url_hash", "content_hash", "fp", "reason", F.col("reason").isNull().alias("accepted")))
-    before = Window.partitionBy("source").orderBy("seq")
+    rows = cut(rows.select("seq", "source", "url_hash", "content_hash", "fp", "reason", F.col("reason").isNull().alias("valid")))
+    parts = max(1, -(-rows.count() // block))
+    ranged = cut(rows.select("seq", "source", "fp", "valid", "url_hash", "content_hash").repartitionByRange(parts, "seq").withColumn("range", F.spark_partition_id()))
+    contested = cut(_contested(ranged))
+    copies = cut(_copies(contested, contested))
+    work = ranged.select("range", "seq", "source", "fp", "valid")
+    entered = raw.sparkSession.createDataFrame([], "range int, source string, last array<long>")
+    active, rounds, latest = cut(work.select("range").distinct()), [], None
     while True:
-        taken = rows.where("accepted")
-        judged = rows
-        for h in ("url_hash", "content_hash"):
-            judged = judged.join(taken.groupBy(h).agg(F.min("seq").alias(f"_{h}")), h, "left")
-        lists = taken.select(F.col("source").alias("_s"), F.col("seq").alias("_p"), F.collect_list("fp").over(before.rowsBetween(1 - WINDOW, 0)).alias("_last"))
-        judged = judged.withColumn("_p", F.last(F.when(F.col("accepted"), F.col("seq")), True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
-        judged = judged.withColumn("_s", F.col("source")).join(lists.withColumnRenamed("_s", "_t").withColumnRenamed("_p", "_q"), F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_p") == F.col("_q")), "left")
-        copy = (F.coalesce("_url_hash", "seq") < F.col("seq")) | (F.coalesce("_content_hash", "seq") < F.col("seq"))
-        near = F.coalesce(F.exists("_last", lambda p: X.hamming(p, F.col("fp")) <= THRESHOLD), F.lit(False))
-        status = F.when(F.col("reason").isNotNull(), "invalid").when(copy, "duplicate").when(near, "near_dup").otherwise("new")
-        judged = cut(judged.select("seq", "source", "url_hash", "content_hash", "fp", "reason", status.alias("status"), F.col("accepted").alias("_was")))
-        if judged.where((F.col("status") == "new") != F.col("_was")).isEmpty():
-            return judged.select("seq", "status", "reason")
-        rows = judged.select("seq", "source", "url_hash", "content_hash", "fp", "reason", (F.col("status") == "new").alias("accepted"))
+        if report is not None:
+            report.append(active.count())
+        asked = work.join(active, "range").join(copies.select("seq", "copy"), "seq", "left")
+        asked = asked.select("range", "seq", "source", "fp", (F.col("valid") & ~F.coalesce("copy", F.lit(False))).alias("open"))
+        given = entered.join(active, "range")
+        out = cut(asked.groupBy("range").cogroup(given.groupBy("range")).applyInArrow(_judge_range, _JUDGED))
+        rounds.append(out)
+        number = F.lit(len(rounds)).alias("round")
+        judged_in = active.select("range", number)
+        latest = judged_in if latest is None else latest.unionByName(judged_in)
+        latest = cut(latest.groupBy("range").agg(F.max("round").alias("round")))
+        now = _latest(rounds, latest)
+        taken = now.where("seq is not null and open and not near").select("seq")
+        again = cut(_copies(contested.join(taken, "seq", "left_semi"), contested))
+        moved = again.join(copies.select("seq", F.col("copy").alias("_was")), "seq").where("copy <> _was").select("range")
+        handed = cut(_handed(now.where("seq is null").select("range", "source", "last")))
+        was = entered.select("range", "source", F.col("last").alias("_was"))
+        same = handed.alias("h").join(was.alias("w"), (F.col("h.range") == F.col("w.range")) & F.col("h.source").eqNullSafe(F.col("w.source")), "left")
+        changed = same.where(~F.coalesce("last", F.array().cast("array<long>")).eqNullSafe(F.coalesce("_was", F.array().cast("array<long>")))).select("h.range")
+        active, copies, entered = cut(moved.unionByName(changed).distinct()), again, handed
+        if active.isEmpty():
+            break
+    status = F.when(F.col("reason").isNotNull(), "invalid").when(~F.col("open"), "duplicate").when(F.col("near"), "near_dup").otherwise("new")
+    return rows.select("seq", "reason").join(now.where("seq is not null").select("seq", "open", "near"), "seq").select("seq", status.alias("status"), "reason")
+
+
+def _latest(rounds: list[DataFrame], latest: DataFrame) -> DataFrame:
+    """Of each range what the last round that judged it found."""
+    if len(rounds) == 1:
+        return rounds[0]
+    every = None
+    for i, out in enumerate(rounds, 1):
+        one = out.withColumn("round", F.lit(i))
+        every = one if every is None else every.unionByName(one)
+    return every.join(latest, ["range", "round"]).drop("round")
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

@@ -413,6 +413,17 @@ def x4(s, d):
     return _prints(s, d).select("id", X.hex64(F.col("fp")).alias("simhash"))
 
 
+# signs whose normal form has capitals: texts are lower-cased first, so these stay
+SIGNS = ("™", "25℃", "№ 5", "ﬃ Ａ")
+
+
+@query("x4_signs", PRINTS.replace("lower(concat(title", "concat('harga ', ['TM', '25°C', 'No 5', 'ffi a'][id % 4 + 1], ' ', lower(concat(title").replace("'g'))), '[^", "'g')))), '[^") + "SELECT id, lower(printf('%016x', fp)) AS simhash FROM fps")
+def x4_signs(s, d):
+    a = B.articles(s, d)
+    sign = F.element_at(F.array(*[F.lit(x) for x in SIGNS]), (F.col("id") % 4 + 1).cast("int"))
+    return dedup.simhash(a, "id", F.concat_ws(" ", F.lit("Harga"), sign, "title", X.strip(F.col("excerpt")))).select("id", X.hex64(F.col("fp")).alias("simhash"))
+
+
 @query("x5_hamming", PRINTS + "SELECT id, CAST(bit_count(xor(fp::HUGEINT, 1311768467463790320)) AS BIGINT) AS distance FROM fps")
 def x5(s, d):
     return _prints(s, d).select("id", X.hamming(F.col("fp"), F.lit(1311768467463790320)).cast("long").alias("distance"))
