@@ -26,7 +26,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,12 @@ def _batches(size: int):
     return run
 
 
+def _rows(batch: pa.RecordBatch):
+    """Rows as dictionaries, one at a time: one of them may be megabytes."""
+    for i in range(batch.num_rows):
+        yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """doc_ids of a batch, whether each is null, and the texts."""
     size = np.frombuffer(_get(row["size"]), np.int64)
@@ -185,18 +191,17 @@ def _asking(size: int, from_text: bool, last: bool, shards: int):
 
     def run(batches):
         hashers = _hashers()
-        for batch in batches:
-            for row in batch.to_pylist():
-                lev = Level.first(row, hashers, size, last) if from_text else Level.read(row)
-                (a, b), least, more, _, shard, edge = lev.messages(shards, last)
-                rows = []
-                for s, i, j in zip(shard.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
-                    if last:
-                        own, with_it = np.concatenate([a[i:j], b[i:j]]).tobytes(), least[i:j].tobytes()
-                    else:
-                        own, with_it = (a[i:j] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits(more[i:j]).tobytes()
-                    rows.append((1, s, row["part"], row["seq"], own, with_it))
-                yield _record(_TALK, rows)
+        for row in chain.from_iterable(map(_rows, batches)):
+            lev = Level.first(row, hashers, size, last) if from_text else Level.read(row)
+            (a, b), least, more, _, shard, edge = lev.messages(shards, last)
+            rows = []
+            for s, i, j in zip(shard.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
+                if last:
+                    own, with_it = np.concatenate([a[i:j], b[i:j]]).tobytes(), least[i:j].tobytes()
+                else:
+                    own, with_it = (a[i:j] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits(more[i:j]).tobytes()
+                rows.append((1, s, row["part"], row["seq"], own, with_it))
+            yield _record(_TALK, rows)
 
     return run
 
@@ -270,19 +275,18 @@ def _extending(size: int, to: int, from_text: bool, shards: int):
 
     def run(batches):
         hashers = _hashers()
-        for batch in batches:
-            for row in batch.to_pylist():
-                lev = Level.first(row, hashers, size, False) if from_text else Level.read(row)
-                good = lev.answered(row["answers"] or [], shards, False)
-                if not good.any():
-                    continue
-                if from_text:
-                    lev = Level(lev.doc, lev.ends, lev.pos[good], lev.a[good], None)
-                    lev.widen(_unpacked(row)[2], hashers[1], size)
-                    good = np.ones(len(lev.pos), bool)
-                lev = lev.extended(good, size, to)
-                if len(lev.pos):
-                    yield _record(_STATE, [lev.row(row["part"], row["seq"])])
+        for row in chain.from_iterable(map(_rows, batches)):
+            lev = Level.first(row, hashers, size, False) if from_text else Level.read(row)
+            good = lev.answered(row["answers"] or [], shards, False)
+            if not good.any():
+                continue
+            if from_text:
+                lev = Level(lev.doc, lev.ends, lev.pos[good], lev.a[good], None)
+                lev.widen(_unpacked(row)[2], hashers[1], size)
+                good = np.ones(len(lev.pos), bool)
+            lev = lev.extended(good, size, to)
+            if len(lev.pos):
+                yield _record(_STATE, [lev.row(row["part"], row["seq"])])
 
     return run
 
@@ -292,14 +296,13 @@ def _marking(size: int, from_text: bool, shards: int):
 
     def run(batches):
         hashers = _hashers()
-        for batch in batches:
-            for row in batch.to_pylist():
-                lev = Level.first(row, hashers, size, True) if from_text else Level.read(row)
-                start = lev.pos[lev.answered(row["answers"] or [], shards, True)]
-                if len(start):
-                    runs = _runs(start)
-                    runs[:, 1] += size - 1
-                    yield _record(_MARKS, [(0, row["part"], row["seq"], runs.astype(np.int64).tobytes())])
+        for row in chain.from_iterable(map(_rows, batches)):
+            lev = Level.first(row, hashers, size, True) if from_text else Level.read(row)
+            start = lev.pos[lev.answered(row["answers"] or [], shards, True)]
+            if len(start):
+                runs = _runs(start)
+                runs[:, 1] += size - 1
+                yield _record(_MARKS, [(0, row["part"], row["seq"], runs.astype(np.int64).tobytes())])
 
     return run
 
@@ -309,30 +312,29 @@ def _cutting(with_text: bool):
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                doc, null, texts = _unpacked(row)
-                runs = [np.frombuffer(m["runs"], np.int64).reshape(-1, 2) for m in row["marks"] or []]
-                runs = np.concatenate(runs) if runs else np.zeros((0, 2), np.int64)
-                top, out, at = (runs[:, 1].max() if len(runs) else 0), [], 0
-                change = np.zeros(top + 1, np.int64)
-                np.add.at(change, runs[:, 0], 1)
-                np.add.at(change, runs[:, 1], -1)
-                gone = np.cumsum(change) > 0
-                for i, text in enumerate(texts):
-                    words = text.split()  # of bytes: at space and U+0009 to U+000D only
-                    own = gone[at : at + len(words)]
-                    at, n = at + len(words), int(own.sum())
-                    if n:
-                        words = [*compress(words, (~own).tolist()), *words[len(own) :]]
-                    kept = b" ".join(words)
-                    out.append((None if null[i] else int(doc[i]), len(words) + n, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "surrogatepass")] * with_text))
-                yield _record(schema, out)
+        for row in chain.from_iterable(map(_rows, batches)):
+            doc, null, texts = _unpacked(row)
+            runs = [np.frombuffer(m["runs"], np.int64).reshape(-1, 2) for m in row["marks"] or []]
+            runs = np.concatenate(runs) if runs else np.zeros((0, 2), np.int64)
+            top, out, at = (runs[:, 1].max() if len(runs) else 0), [], 0
+            change = np.zeros(top + 1, np.int64)
+            np.add.at(change, runs[:, 0], 1)
+            np.add.at(change, runs[:, 1], -1)
+            gone = np.cumsum(change) > 0
+            for i, text in enumerate(texts):
+                words = text.split()  # of bytes: at space and U+0009 to U+000D only
+                own = gone[at : at + len(words)]
+                at, n = at + len(words), int(own.sum())
+                if n:
+                    words = [*compress(words, (~own).tolist()), *words[len(own) :]]
+                kept = b" ".join(words)
+                out.append((None if null[i] else int(doc[i]), len(words) + n, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "surrogatepass")] * with_text))
+            yield _record(schema, out)
 
     return run, schema
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False, shard_bytes: int = 1 << 24, batch_bytes: int = 1 << 23, least_shards: int = 64, fan_in: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False, shard_bytes: int = 1 << 24, batch_bytes: int = 1 << 22, least_shards: int = 64, fan_in: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = common.bucketed(rows.mapInArrow(_batches(batch_bytes), _BATCH), "passages", "part")
