@@ -82,3 +82,20 @@ def test_components(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100, 102: 100}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_edges_in_several_tasks(spark):
+    rnd = random.Random(9)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(200)] + [(rnd.randrange(2000, 2400), rnd.randrange(2000, 2400)) for _ in range(150)] + [(7, 7)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            want.setdefault(a, {a})
+            want.setdefault(b, {b})
+            if want[a] is not want[b]:
+                both = want[a] | want[b]
+                for x in both:
+                    want[x] = both
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    for most in (1_000_000, 40):
+        assert {r.node: r.root for r in connected(df, most).collect()} == {n: min(s) for n, s in want.items()}

@@ -1,7 +1,10 @@
-"""Connected components of an edge list by alternating large and small stars; nothing but counts reaches the driver."""
+"""Connected components of an edge list: tasks contract the edges they hold, then large and small stars alternate; nothing but
+counts reaches the driver."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,46 @@ def _star(edges: DataFrame, total: int, own: bool, pick, name: str) -> DataFrame
     return out
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """edges (a, b: long) to (node, root: the smallest node reachable), for nodes of edges with a <> b only."""
-    edges = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b), in order, and the least node that each reaches: roots hook to lesser ones, paths are halved."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low != high
+        if not open_.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, high[open_], low[open_])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contracted(batches):
+    """A task's edges to stars around the least node of each of its components: at most one row a node."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if held:
+        nodes, least = least_reachable(*(np.concatenate(c) for c in zip(*held)))
+        far = nodes != least
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(least[far])], names=["a", "b"])
+
+
+def connected(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """edges (a, b: long) to (node, root: the smallest node reachable), for nodes of edges with a <> b only.
+
+    Edges are dealt to tasks of at most some `most`, each of which returns its components as stars; they are done if there was one.
+    """
+    edges = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    parts = max(1, -(-edges.count() // most))
+    edges = common.written(edges.coalesce(parts).mapInArrow(_contracted, "a long, b long"), "stars")
+    if parts > 1:
+        edges = _joined_stars(edges.distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def _joined_stars(edges: DataFrame) -> DataFrame:
+    """edges with a > b to one star for each component, by alternating large and small stars."""
+    edges = common.written(edges, "edges")
     total, state = edges.count(), None
     pair = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
     while total:
@@ -32,4 +72,4 @@ def connected(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state, total = now, now[0]
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return edges
