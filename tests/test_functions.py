@@ -95,3 +95,16 @@ def test_weights(spark):
 def test_parameter_ranges(bad):
     with pytest.raises(ValueError):
         Params(**bad)
+
+
+def test_rounding_equals_the_exact_binary_value(spark):
+    import random
+
+    from tidefeed.functions.scoring import rounded
+
+    rnd = random.Random(2)
+    xs = [0.125, 0.375, 2.00005, 1.00005, 2.5, 0.5, -0.125, -2.00005, 1e-9, 0.0, 1e15 + 0.3, 3e300, 2.675, 1.005]
+    xs += [(2 * i + 1) / 20000 for i in range(2000)] + [i / 8 for i in range(-50, 50)] + [rnd.random() * 10 ** rnd.randrange(-6, 9) for _ in range(2000)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[rounded(F.col("x"), d).alias(f"r{d}") for d in (0, 2, 4, 6)]).collect()
+    for r in rows:
+        assert [r.r0, r.r2, r.r4, r.r6] == [round(r.x, d) for d in (0, 2, 4, 6)], r.x

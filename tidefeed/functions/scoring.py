@@ -34,6 +34,29 @@ def event_weight(kind: Column, p: Params) -> Column:
     return F.when(kind == "click", p.click).when(kind == "read", p.read).when(kind == "share", p.share).otherwise(1.0)
 
 
+def _halves(c: Column) -> tuple[Column, Column]:
+    """A double as the sum of two of 26 significant bits each."""
+    t = c * F.lit(134217729.0)
+    high = t - (t - c)
+    return high, c - high
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded to `digits` decimals by its exact binary value, ties to even: 2.00005 is a little more and becomes 2.0001, 0.125 is a tie and becomes 0.12.
+
+    The product with 10^digits is one double p and the residual e that it lacks (both exact). Where p isn't halfway between two integers the nearest
+    is right, since the residual is less than the distance to halfway; where it is, the residual's sign decides, and without one the even integer.
+    """
+    scale = float(10**digits)
+    c = c.cast("double")
+    p = c * F.lit(scale)
+    (ch, cl), (sh, sl) = _halves(c), _halves(F.lit(scale))
+    e = ((ch * sh - p) + ch * sl + cl * sh) + cl * sl
+    half = F.abs(p - F.floor(p)) == 0.5
+    whole = F.when(half & (e > 0), F.ceil(p).cast("double")).when(half & (e < 0), F.floor(p).cast("double")).otherwise(F.rint(p))
+    return F.when(F.abs(p) < F.lit(2.0**52), whole / scale).otherwise(c)
+
+
 def percentage(part: Column, whole: Column) -> Column:
     """Rounded to two places; 0 of nothing."""
-    return F.when(whole > 0, F.round(part / F.when(whole > 0, whole) * 100, 2)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, rounded(part / F.when(whole > 0, whole) * 100, 2)).otherwise(F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefeed.functions.scoring import Params, decay_weight, event_weight
+from tidefeed.functions.scoring import Params, decay_weight, event_weight, rounded
 from tidefeed.session import cut
 
 
@@ -54,11 +54,11 @@ def recommend(m: DataFrame, sims: DataFrame, top_n: int = 10, exclude_seen: bool
     if exclude_seen:
         offered = offered.join(seen, ["user_id", "cand"], "left_anti")
     fallback = offered.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("place"))).where(F.col("rank") <= top_n).select("user_id", "cand", F.lit(0.01).alias("score"), "rank")
-    return ranked.select("user_id", "cand", "score", "rank").unionByName(fallback).select("user_id", F.col("cand").alias("article_id"), F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ranked.select("user_id", "cand", "score", "rank").unionByName(fallback).select("user_id", F.col("cand").alias("article_id"), rounded(F.col("score"), 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def similar_items(sims: DataFrame, article_id: int, top_n: int = 5) -> DataFrame:
-    return sims.where(F.col("item_a") == article_id).orderBy(F.col("sim").desc(), "item_b").limit(top_n).select(F.col("item_b").alias("article_id"), F.round("sim", 4).alias("similarity"))
+    return sims.where(F.col("item_a") == article_id).orderBy(F.col("sim").desc(), "item_b").limit(top_n).select(F.col("item_b").alias("article_id"), rounded(F.col("sim"), 4).alias("similarity"))
 
 
 def cached(recs: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def evaluate(ix: DataFrame, asof: str, k: int = 10, test_ratio: float = 0.2, p:
     hits = recs.join(test.withColumn("hit", F.lit(1)), ["user_id", "article_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     so_far = F.sum("hit").over(Window.partitionBy("user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     per_user = hits.withColumn("_ap", F.col("hit") * so_far / F.col("rank")).groupBy("user_id").agg(F.sum("hit").alias("h"), F.count("*").alias("n"), F.sum("_ap").alias("ap")).join(sizes, "user_id")
-    out = per_user.agg(F.count("*").alias("n_users_evaluated"), F.round(F.avg(F.col("h") / F.col("n")), 4).alias("precision"), F.round(F.avg(F.col("h") / F.col("n_test")), 4).alias("recall"), F.round(F.avg(F.col("ap") / F.least(F.lit(k), F.col("n_test"))), 4).alias("map"))
+    out = per_user.agg(F.count("*").alias("n_users_evaluated"), rounded(F.avg(F.col("h") / F.col("n")), 4).alias("precision"), rounded(F.avg(F.col("h") / F.col("n_test")), 4).alias("recall"), rounded(F.avg(F.col("ap") / F.least(F.lit(k), F.col("n_test"))), 4).alias("map"))
     return out.withColumn("status", F.when(F.col("n_users_evaluated") > 0, "ok").otherwise("insufficient_data"))
 
 

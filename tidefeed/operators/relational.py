@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidefeed.functions import text as X
 from tidefeed.functions.scoring import percentage
+from tidefeed.operators.numbering import descending, rows_between
 
 
 def equals(df: DataFrame, column: str, value: str | None) -> DataFrame:
@@ -32,6 +33,12 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, most: int)
     return rows.withColumn("row_no", (F.row_number().over(Window.orderBy(*order)) + first).cast("long"))
 
 
+def newest_page(df: DataFrame, column: str, tie: str, number: int, size: int, most: int, **options) -> DataFrame:
+    """page() in order of newest(), for pages at any depth: only the part of the table around the page is sorted."""
+    size = min(size, most)
+    return rows_between(df, F.struct(descending(column).alias("t"), F.col(tie).alias("i")), (number - 1) * size, size, **options)
+
+
 def page_count(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidefeed.functions import text as X
-from tidefeed.operators import dedup, simulate
+from tidefeed.operators import dedup, fetch, simulate
 from tidefeed.operators import relational as R
 from tidefeed.session import scratch
 from tidefeed.sources import bind as B
@@ -16,7 +16,7 @@ TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 TIDY = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
 
-def register(query, base: str, cases: str, prints: str) -> None:
+def register(query, base: str, cases: str, prints: str, base_recs: str, recommendations) -> None:
     feed_sql = base + f""" SELECT source AS portal, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS seq, {TIDY.format('title')} AS title, url, left({TIDY.format('excerpt')}, 250) AS summary,
       CASE WHEN category = '' THEN 'Umum' {cases.replace('raw', 'category')} ELSE concat(upper(category[1]), lower(category[2:])) END AS category FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS r FROM art) WHERE r <= 20 AND {TIDY.format('title')} <> ''"""
 
@@ -66,11 +66,13 @@ def register(query, base: str, cases: str, prints: str) -> None:
         ix = B.interactions(s, d)
         return ix.select(F.concat(F.lit("user_"), (F.col("user_id") + 40).cast("string")).alias("pseudonym"), (F.col("article_id") * 15).alias("article_id"), F.when(F.col("event_type") == "error", "zoom").otherwise(F.col("event_type")).alias("event_type"))
 
-    @query("k3_new_users", base + f", {batch} SELECT DISTINCT pseudonym FROM b WHERE pseudonym NOT IN (SELECT pseudonym FROM usr)")
+    given = f"{batch}, nu AS (SELECT (SELECT max(id) FROM usr) + row_number() OVER (ORDER BY pseudonym) AS id, pseudonym FROM (SELECT DISTINCT pseudonym FROM b WHERE pseudonym NOT IN (SELECT pseudonym FROM usr)))"
+
+    @query("k3_new_users", base + f", {given} SELECT id, pseudonym FROM nu")
     def k3a(s, d):
         return sinks.log_interactions(_batch(s, d), B.users(s, d), B.articles(s, d))[0]
 
-    @query("k3_logged", base + f", {batch} SELECT article_id, pseudonym, CASE WHEN event_type IN ('click', 'read', 'share', 'rec_click') THEN event_type ELSE 'click' END AS event_type FROM b WHERE article_id IN (SELECT id FROM art)")
+    @query("k3_logged", base + f", {given} SELECT article_id, b.pseudonym, u.id AS user_id, CASE WHEN event_type IN ('click', 'read', 'share', 'rec_click') THEN event_type ELSE 'click' END AS event_type FROM b JOIN (FROM usr UNION ALL FROM nu) u ON u.pseudonym = b.pseudonym WHERE article_id IN (SELECT id FROM art)")
     def k3b(s, d):
         return sinks.log_interactions(_batch(s, d), B.users(s, d), B.articles(s, d))[1]
 
@@ -100,6 +102,37 @@ SELECT source, seq, status FROM walk WHERE n > 0"""
         stream = s.readStream.schema(fp.schema).parquet(_folder(s, fp))
         return _finished(s, jobs.near_duplicate_memory(stream), "append")
 
+    # every host's file: addresses below /en and /de/2 are forbidden but for some; hosts of odd length have none
+    robots = [(0, True, "/en/1"), (1, False, "/en"), (2, False, "/de/2"), (3, True, "/de/25"), (4, False, "")]
+    listed = ", ".join(f"({o}, {str(a).lower()}, '{p}')" for o, a, p in robots)
+    plan_sql = f"""WITH u AS (SELECT page_id, h, CASE WHEN p LIKE '/%' THEN p ELSE concat('/', p) END AS p FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS p FROM pages)),
+      r(o, a, pre) AS (VALUES {listed}),
+      v AS (SELECT page_id, coalesce(arg_min(a OR pre = '', o), true) AS by_first, coalesce(arg_min(a OR pre = '', 2 * -length(pre) + CASE WHEN a OR pre = '' THEN 0 ELSE 1 END), true) AS by_longest FROM u JOIN r ON starts_with(p, pre) WHERE length(h) % 2 = 0 GROUP BY 1),
+      k AS (SELECT page_id, h, coalesce(by_first, true) AS by_first, coalesce(by_longest, true) AS by_longest FROM u LEFT JOIN v USING (page_id))
+      SELECT page_id, by_longest, CAST(coalesce(sum(1200 + page_id % 3 * 400) OVER (PARTITION BY h ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM k WHERE by_first"""
+
+    @query("s10_fetch_plan", plan_sql)
+    def s10(s, d):
+        """Addresses that may be fetched, by the first rule that holds, and when: at least 1.2 seconds apart for each host."""
+        pages = B.table(s, d, "pages").select("page_id", "url")
+        hosts = pages.select(X.host(F.col("url")).alias("host")).distinct().where("char_length(host) % 2 = 0")
+        rows = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(a).alias("allow"), F.lit(p).alias("path")) for o, a, p in robots])
+        rules = hosts.select("host", F.explode(rows).alias("r")).select("host", "r.*")
+        open_ = fetch.allowed(pages, rules).where("allowed").select("page_id", "url")
+        longest = fetch.allowed(open_, rules, longest=True).withColumnRenamed("allowed", "by_longest")
+        return fetch.start_times(longest, 1200 + F.col("page_id") % 3 * 400).select("page_id", "by_longest", F.col("start").alias("start_ms"))
+
+    recs = base_recs + " SELECT user_id, rank, article_id, score FROM recs"
+
+    @query("k2_replaced", recs)
+    def k2(s, d):
+        """Recommendations replaced three times: by some users', by all users', and by none, which leaves them alone."""
+        rows = recommendations(s, d)
+        path = scratch(s, "versions")
+        for part in (rows.where("user_id % 2 = 0"), rows, rows.where("false")):
+            sinks.replace_if_any(part, path)
+        return sinks.Versions(s, path).read()
+
     made = """concat('<html><head><title>Site ', doc_id, ' | News</title></head><body><nav><a href="/s', doc_id, '">S</a><a href="#">x</a><a href="http://other.example.org/b">B</a></nav>',
       '<article class="item"><h2> Headline  number ', doc_id, '</h2><a href="/one/', doc_id, '">go</a><time> today </time><span class="x-label">Tekno</span></article>',
       '<article class="item"><h2>short</h2><a href="/two">go</a></article><article class="item"><h2>Another headline ', doc_id, '</h2><a href="https://x.example.com/', doc_id, '">go</a></article>',
@@ -162,7 +195,7 @@ def _finished(spark, stream, mode: str):
     """What a stream that has read all there is wrote."""
     path = scratch(spark, "out")
     jobs.into_folder(stream, path, scratch(spark, "state"), mode).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return jobs.from_folder(spark, path, stream.schema, mode)
 
 
 def _folder(spark, df) -> str:

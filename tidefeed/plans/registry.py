@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefeed.functions import text as X
-from tidefeed.functions.scoring import Params, decay_weight, event_weight
+from tidefeed.functions.scoring import Params, decay_weight, event_weight, rounded
 from tidefeed.operators import dedup, recommend
 from tidefeed.operators import relational as R
 from tidefeed.plans import extra
@@ -205,6 +205,13 @@ def m9(s, d):
     return R.page(found, R.newest("parsed_at", "id"), 2, 15, 100).select("id", "title", "source", ts("parsed_at").alias("parsed_at"), "row_no")
 
 
+@query("w8_deep_page", BASE + "SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, row_no FROM (SELECT id, created_at, row_number() OVER (ORDER BY created_at DESC NULLS FIRST, id) AS row_no FROM ix) WHERE row_no BETWEEN 9991 AND 10000")
+def w8_deep(s, d):
+    """Page 1,000 of all events."""
+    found = R.newest_page(B.interactions(s, d).select("id", "created_at"), "created_at", "id", 1000, 10, 200, shallow=1000)
+    return found.select("id", ts("created_at").alias("created_at"), "row_no")
+
+
 @query("t1_page_count", BASE + "SELECT count(*) AS total, CAST(ceil(count(*) / 25.0) AS BIGINT) AS pages FROM art WHERE source = 'src2'")
 def t1(s, d):
     return R.page_count(R.equals(B.articles(s, d), "source", "src2"), 25)
@@ -307,8 +314,8 @@ def a10(s, d):
 
 @query("m12_recommendation_ctr", BASE + """, c AS (SELECT count(*) FILTER (event_type = 'click') AS total_organic_clicks, count(*) FILTER (event_type = 'rec_click') AS total_rec_clicks, count(*) FILTER (event_type = 'read') AS total_read,
   count(*) FILTER (event_type = 'share') AS total_share, count(DISTINCT user_id) FILTER (event_type = 'rec_click') AS users_clicked_rec, count(DISTINCT user_id) AS users_total FROM ix)
-  SELECT *, CASE WHEN total_organic_clicks + total_rec_clicks > 0 THEN round(total_rec_clicks / (total_organic_clicks + total_rec_clicks) * 100, 2) ELSE 0 END AS ctr_recommendation_pct,
-  CASE WHEN users_total > 0 THEN round(users_clicked_rec / users_total * 100, 2) ELSE 0 END AS adoption_rate_pct FROM c""")
+  SELECT *, CASE WHEN total_organic_clicks + total_rec_clicks > 0 THEN CAST(printf('%.2f', total_rec_clicks / (total_organic_clicks + total_rec_clicks) * 100) AS DOUBLE) ELSE 0 END AS ctr_recommendation_pct,
+  CASE WHEN users_total > 0 THEN CAST(printf('%.2f', users_clicked_rec / users_total * 100) AS DOUBLE) ELSE 0 END AS adoption_rate_pct FROM c""")
 def m12(s, d):
     return R.recommendation_ctr(B.interactions(s, d))
 
@@ -450,6 +457,13 @@ def x8(s, d):
     return B.table(s, d, "events").select("event_id", X.first_date(F.when(n == 0, "p").otherwise(""), F.when(n == 1, "u"), F.lit("c")).alias("date"))
 
 
+# an exact tie at two places for odd ids, and decimal ties at four places that binary numbers miss on either side
+@query("x12_rounding", "SELECT event_id, CAST(25 * event_id // 2 + CASE WHEN event_id % 4 = 3 THEN 1 ELSE 0 END AS DOUBLE) / 100 AS eighths, CAST(printf('%.4f', (2 * event_id + 1) / 20000::DOUBLE) AS DOUBLE) AS places FROM events")
+def x12(s, d):
+    n = F.col("event_id")
+    return B.table(s, d, "events").select("event_id", rounded(n / F.lit(8.0), 2).alias("eighths"), rounded((2 * n + 1) / F.lit(20000.0), 4).alias("places"))
+
+
 @query("x9_decay", BASE + "SELECT id, round(exp(-0.1::DOUBLE * greatest(0::DOUBLE, (epoch_us(TIMESTAMP '2024-01-15') - epoch_us(created_at)) / 86400000000::DOUBLE)), 6) AS w FROM ix")
 def x9(s, d):
     return B.interactions(s, d).select("id", F.round(decay_weight(F.col("created_at"), F.lit("2024-01-15 00:00:00").cast("timestamp"), 0.1), 6).alias("w"))
@@ -595,7 +609,7 @@ def m1(s, d):
 
 
 RECS = MODEL + """, sc AS (SELECT user_id, item_b AS cand, sum(sim * w) AS score FROM m JOIN sims ON item_a = article_id GROUP BY ALL),
- recs AS (SELECT sc.user_id, cand AS article_id, round(score, 4) AS score, row_number() OVER (PARTITION BY sc.user_id ORDER BY sc.score DESC, cand) AS rank FROM sc LEFT JOIN m ON m.user_id = sc.user_id AND m.article_id = cand WHERE m.user_id IS NULL QUALIFY rank <= 10) """
+ recs AS (SELECT sc.user_id, cand AS article_id, CAST(printf('%.4f', score) AS DOUBLE) AS score, row_number() OVER (PARTITION BY sc.user_id ORDER BY sc.score DESC, cand) AS rank FROM sc LEFT JOIN m ON m.user_id = sc.user_id AND m.article_id = cand WHERE m.user_id IS NULL QUALIFY rank <= 10) """
 
 
 @query("m2_recommend_all", RECS + "SELECT user_id, article_id, score, rank FROM recs")
@@ -604,7 +618,7 @@ def m2(s, d):
 
 
 @query("m2_recommend_with_seen", MODEL + """, sc AS (SELECT user_id, item_b AS cand, sum(sim * w) AS score FROM m JOIN sims ON item_a = article_id GROUP BY ALL)
- SELECT user_id, cand AS article_id, round(score, 4) AS score, row_number() OVER (PARTITION BY user_id ORDER BY sc.score DESC, cand) AS rank FROM sc QUALIFY rank <= 10""")
+ SELECT user_id, cand AS article_id, CAST(printf('%.4f', score) AS DOUBLE) AS score, row_number() OVER (PARTITION BY user_id ORDER BY sc.score DESC, cand) AS rank FROM sc QUALIFY rank <= 10""")
 def m2s(s, d):
     return recommend.recommend(*_model(s, d), exclude_seen=False)
 
@@ -620,7 +634,7 @@ def t6(s, d):
     return recommend.recommend(m, sims.where("false"))
 
 
-@query("m3_similar_items", MODEL + "SELECT s.item_b AS article_id, title, round(sim, 4) AS similarity FROM (SELECT * FROM sims WHERE item_a = 7 ORDER BY sim DESC, item_b LIMIT 5) s JOIN art ON art.id = item_b")
+@query("m3_similar_items", MODEL + "SELECT s.item_b AS article_id, title, CAST(printf('%.4f', sim) AS DOUBLE) AS similarity FROM (SELECT * FROM sims WHERE item_a = 7 ORDER BY sim DESC, item_b LIMIT 5) s JOIN art ON art.id = item_b")
 def m3(s, d):
     return recommend.similar_items(_model(s, d)[1], 7).join(B.articles(s, d).select(F.col("id").alias("article_id"), "title"), "article_id")
 
@@ -669,9 +683,9 @@ def w1(s, d):
  rk AS (SELECT sc.user_id, cand, row_number() OVER (PARTITION BY sc.user_id ORDER BY sc.score DESC, cand) AS rank FROM sc LEFT JOIN um ON um.user_id = sc.user_id AND um.article_id = cand WHERE um.user_id IS NULL QUALIFY rank <= 10),
  ht AS (SELECT rk.user_id, rank, CASE WHEN te.user_id IS NULL THEN 0 ELSE 1 END AS hit FROM rk LEFT JOIN te ON te.user_id = rk.user_id AND te.article_id = cand),
  pu AS (SELECT user_id, sum(hit) AS h, count(*) AS n, sum(ap) AS ap FROM (SELECT *, hit * sum(hit) OVER (PARTITION BY user_id ORDER BY rank) / rank AS ap FROM ht) GROUP BY 1)
- SELECT count(*) AS n_users_evaluated, round(avg(h / n), 4) AS precision, round(avg(h / nt), 4) AS recall, round(avg(ap / least(10, nt)), 4) AS map, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'insufficient_data' END AS status FROM pu JOIN nt USING (user_id)""")
+ SELECT count(*) AS n_users_evaluated, CAST(printf('%.4f', avg(h / n)) AS DOUBLE) AS precision, CAST(printf('%.4f', avg(h / nt)) AS DOUBLE) AS recall, CAST(printf('%.4f', avg(ap / least(10, nt))) AS DOUBLE) AS map, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'insufficient_data' END AS status FROM pu JOIN nt USING (user_id)""")
 def m4(s, d):
     return recommend.evaluate(B.interactions(s, d), B.ASOF)
 
 
-extra.register(query, BASE, CASES, PRINTS)
+extra.register(query, BASE, CASES, PRINTS, RECS, m2)
