@@ -146,11 +146,57 @@ def test_recommendation_properties(spark):
     assert {(r.user_id, r.rank, r.article_id) for r in back} == {(r.user_id, r.rank, r.article_id) for r in recs if r.rank <= 2}
 
 
-def test_heavy_readers_in_parts(spark):
-    ix = events(spark, [(u, (u + j * j) % 17, "click") for u in range(3) for j in range(15)])
-    m = recommend.matrix(ix, "2024-01-31 00:00:00")
-    whole, parts = ({(r.item_a, r.item_b): round(r.sim, 9) for r in recommend.similarity(m, block=b).collect()} for b in (2000, 3))
-    assert whole == parts and whole
+def plain_similarity(rows, least=0.1):
+    """rows: (user, item, weight)."""
+    items, out = {}, {}
+    for u, i, w in rows:
+        items.setdefault(i, {})[u] = w
+    norm = {i: sum(w * w for w in v.values()) ** 0.5 for i, v in items.items()}
+    for i, x in items.items():
+        for j, y in items.items():
+            if i != j and x.keys() & y.keys():
+                s = sum(w * y[u] for u, w in x.items() if u in y) / (norm[i] * norm[j])
+                if s > least:
+                    out[i, j] = round(s, 9)
+    return out
+
+
+def test_hot_readers_by_threshold_join(spark):
+    import random
+
+    rnd = random.Random(1)
+    for least in (0.1, 0.4):
+        weights = {(u, i): rnd.choice((0.01, 0.2, 1.0, 3.0)) for u in range(14) for i in rnd.sample(range(40), 4 if u < 8 else 25)}
+        rows = [(u, i, w) for (u, i), w in weights.items()]
+        m = spark.createDataFrame(rows, "user_id long, article_id long, w double").repartition(3)
+        for block in (2000, 12, 2):
+            got = {(r.item_a, r.item_b): round(r.sim, 9) for r in recommend.similarity(m, Params(min_sim=least), block).collect()}
+            assert got == plain_similarity(rows, least), (least, block)
+
+
+def test_a_reader_of_a_hundred_thousand_items_yields_few_pairs(spark):
+    n = 100_000
+    items = spark.range(n)
+    often = items.select((F.col("id") % 50_000 + 10).alias("user_id"), F.col("id").alias("article_id"), F.lit(9.0).alias("w"))
+    hot = items.select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("article_id"), F.when(F.col("id") < 300, 3.0).otherwise(0.5).alias("w"))
+    report = {}
+    sims = recommend.similarity(often.unionByName(hot), Params(min_sim=0.1), report=report)
+    # each item shares its ordinary reader with one other; the hot one alone makes 300 items similar at about 0.1, and no other
+    assert sims.where("sim > 0.9").count() == 100_000 and report["ordinary"] == 50_000
+    assert report["hot"] <= 300 * 299 // 2 and sims.count() == 100_000
+
+
+def test_recommendations_by_blocks(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(u, i, rnd.random()) for u in range(30) for i in {0, *rnd.sample(range(1, 20), 3)}]
+    m = spark.createDataFrame(rows, "user_id long, article_id long, w double")
+    sims = recommend.similarity(m)
+    one, many = ({(r.user_id, r.article_id, r.score, r.rank) for r in recommend.recommend(m, sims, 5, block=b).collect()} for b in (1000, 4))
+    assert one == many and one
+    plan = recommend.recommend(m, sims, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
 def test_similarity_at_the_minimum_is_out_and_zero_weights_are_safe(spark):

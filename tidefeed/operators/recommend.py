@@ -15,27 +15,109 @@ def matrix(ix: DataFrame, asof: str, p: Params = Params()) -> DataFrame:
     return ix.where("user_id is not null and article_id is not null").groupBy("user_id", "article_id").agg(F.sum(w).alias("w"))
 
 
-def similarity(m: DataFrame, p: Params = Params(), block: int = 2000) -> DataFrame:
-    """item_a, item_b, sim, both directions, sim above the minimum. Items without a common reader have no similarity, so the pairs come from a join on the reader, one direction only.
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs item_a < item_b of the entries (user_id, article_id, w) that share a reader, with their product."""
+    a, b = left.alias("a"), right.alias("b")
+    pairs = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.article_id") < F.col("b.article_id")))
+    return pairs.select(F.col("a.article_id").alias("item_a"), F.col("b.article_id").alias("item_b"), (F.col("a.w") * F.col("b.w")).alias("dot"))
 
-    A reader of more than `block` items has their pairs made in several parts: one side is dealt by item, the other repeated for each part.
-    """
-    norms = m.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sized = m.join(m.groupBy("user_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "user_id")
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int"))
-    repeated = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    half = dealt.alias("a").join(repeated.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.article_id") < F.col("b.article_id")))
-    dots = half.groupBy(F.col("a.article_id").alias("item_a"), F.col("b.article_id").alias("item_b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("dot"))
-    na, nb = norms.select(F.col("article_id").alias("item_a"), F.col("norm").alias("na")), norms.select(F.col("article_id").alias("item_b"), F.col("norm").alias("nb"))
-    sims = dots.join(na, "item_a").join(nb, "item_b").select("item_a", "item_b", F.try_divide("dot", F.col("na") * F.col("nb")).alias("sim")).where(F.col("sim") > p.min_sim)
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
     both = F.explode(F.array(F.struct("item_a", "item_b"), F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"))))
-    return sims.select(both.alias("e"), "sim").select("e.item_a", "e.item_b", "sim")
+    return pairs.select(both.alias("e"), "sim").select("e.item_a", "e.item_b", "sim")
 
 
-def recommend(m: DataFrame, sims: DataFrame, top_n: int = 10, exclude_seen: bool = True, popularity: DataFrame | None = None) -> DataFrame:
-    """user_id, article_id, score, rank. Users without any scored candidate get unseen items by popularity at score 0.01."""
+def similarity(m: DataFrame, p: Params = Params(), block: int = 2000, report: dict | None = None) -> DataFrame:
+    """item_a, item_b, sim, both directions, sim above the minimum. Items without a common reader have no similarity.
+
+    Weights are divided by their item's norm, so a similarity is a sum of products. Readers of up to `block` items yield their
+    pairs, one direction only. A hotter reader's items don't: for pairs that share hot readers, an exact threshold join
+    follows (`_hot_pairs`), which pairs only items whose weights allow a similarity above the minimum. report gets the numbers
+    of pairs of either kind.
+    """
+    norms = m.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = m.join(norms, "article_id").select("user_id", "article_id", F.try_divide("w", "norm").alias("w")).where("w <> 0")
+    sizes = m.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    if sizes.isEmpty():
+        dots = _pairs(unit, unit)
+        if report is not None:
+            report["ordinary"], report["hot"] = dots.count(), 0
+        sims = dots.groupBy("item_a", "item_b").agg(F.sum("dot").alias("sim"))
+        return _both_ways(sims.where(F.col("sim") > p.min_sim))
+    return _both_ways(_with_hot_readers(cut(unit), sizes, p.min_sim, report))
+
+
+def _with_hot_readers(unit: DataFrame, sizes: DataFrame, least: float, report: dict | None) -> DataFrame:
+    """item_a < item_b, sim: pairs above `least`, where `sizes` are the hot readers.
+
+    1. A pair that shares an ordinary reader has its sum over ordinary readers; its hot part is at most the product of both items'
+       hot norms, so only pairs which that could lift above the minimum are completed.
+    2. A pair that shares hot readers only needs a hot sum above the minimum: those come from the threshold join.
+    """
+    hot_ids = sizes.select("user_id", "n")
+    marked = unit.join(hot_ids, "user_id", "left")
+    warm, hot = cut(marked.where("n is null").drop("n")), cut(marked.where("n is not null"))
+    dots = cut(_pairs(warm, warm).groupBy("item_a", "item_b").agg(F.sum("dot").alias("warm"), F.count("*").alias("n")))
+    rest = hot.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rest"))
+    bounded = dots.join(rest.select(F.col("article_id").alias("item_a"), F.col("rest").alias("ra")), "item_a", "left").join(rest.select(F.col("article_id").alias("item_b"), F.col("rest").alias("rb")), "item_b", "left")
+    hopeful = bounded.where(F.col("warm") + F.coalesce(F.col("ra") * F.col("rb"), F.lit(0.0)) > least * (1 - 1e-9)).select("item_a", "item_b")
+    candidates = cut(_hot_candidates(hot, least))
+    wanted = cut(hopeful.unionByName(candidates).distinct())
+    x, y = hot.select(F.col("article_id").alias("item_a"), "user_id", F.col("w").alias("wa")), hot.select(F.col("article_id").alias("item_b"), "user_id", F.col("w").alias("wb"))
+    shared = wanted.join(x, "item_a").join(y, ["item_b", "user_id"]).groupBy("item_a", "item_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("hot"))
+    if report is not None:
+        report["ordinary"], report["hot"] = dots.agg(F.sum("n")).first()[0] or 0, candidates.count()
+    both = wanted.join(dots.drop("n"), ["item_a", "item_b"], "left").join(shared, ["item_a", "item_b"], "left")
+    sim = F.coalesce("warm", F.lit(0.0)) + F.coalesce("hot", F.lit(0.0))
+    return both.select("item_a", "item_b", sim.alias("sim")).where(F.col("sim") > least)
+
+
+def _hot_candidates(hot: DataFrame, least: float, part: int = 2000) -> DataFrame:
+    """Pairs of items whose sum over hot readers may exceed `least`; none that does is missing.
+
+    Hot readers have one order, the hottest last. An item's tail is the longest run of last readers that can't make `least` alone: its
+    norm there, or the sum of its weights times the greatest weight that any item has for the reader, is below. If two items share
+    readers only where one's tail is, their sum is within that tail's bound; so pairs need a shared reader that lies before both tails,
+    and only those entries are paired. A reader that still holds many has its pairs made in parts.
+    """
+    most = hot.groupBy("user_id").agg(F.max("w").alias("most"))
+    from_last = Window.partitionBy("article_id").orderBy(F.col("n").desc(), F.col("user_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tailed = hot.join(most, "user_id").withColumn("_norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(from_last))).withColumn("_sum", F.sum(F.col("w") * F.col("most")).over(from_last))
+    front = cut(tailed.where(F.least("_norm", "_sum") > least * (1 - 1e-9)).select("user_id", "article_id", "w"))
+    parts = front.groupBy("user_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    sized = front.join(parts, "user_id")
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int")).alias("a")
+    repeated = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.article_id") < F.col("b.article_id"))
+    return dealt.join(repeated, same).select(F.col("a.article_id").alias("item_a"), F.col("b.article_id").alias("item_b")).distinct()
+
+
+def scores(m: DataFrame, sims: DataFrame, block: int = 100_000) -> DataFrame:
+    """user_id, cand, score: the sum of similarity times weight over what a reader has read.
+
+    An item of over `block` readers has them dealt to parts, and its list of similar items repeated for each, so no task holds a whole
+    item: the product is made by blocks of readers and items, and sums are merged before they are shuffled.
+    """
+    sizes = m.groupBy("article_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    left = m.select("user_id", "article_id", "w")
+    if sizes.isEmpty():
+        joined = left.join(sims, left.article_id == sims.item_a)
+    else:
+        part = F.pmod(F.xxhash64("user_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+        left = left.join(sizes, "article_id", "left").select("user_id", "article_id", "w", part)
+        right = sims.join(sizes.withColumnRenamed("article_id", "item_a"), "item_a", "left")
+        right = right.select("item_a", "item_b", "sim", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("_part"))
+        joined = left.join(right, (F.col("article_id") == F.col("item_a")) & (F.col("part") == F.col("_part")))
+    return joined.groupBy("user_id", F.col("item_b").alias("cand")).agg(F.sum(F.col("sim") * F.col("w")).alias("score"))
+
+
+def recommend(m: DataFrame, sims: DataFrame, top_n: int = 10, exclude_seen: bool = True, popularity: DataFrame | None = None, block: int = 100_000) -> DataFrame:
+    """user_id, article_id, score, rank. Users without any scored candidate get unseen items by popularity at score 0.01.
+
+    Ranks are limited on either side of the shuffle (a task passes on top_n rows a reader).
+    """
     seen = m.select("user_id", F.col("article_id").alias("cand"))
-    scored = m.join(sims, m.article_id == sims.item_a).groupBy("user_id", F.col("item_b").alias("cand")).agg(F.sum(F.col("sim") * F.col("w")).alias("score"))
+    scored = scores(m, sims, block)
     if exclude_seen:
         scored = scored.join(seen, ["user_id", "cand"], "left_anti")
     best = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "cand")
