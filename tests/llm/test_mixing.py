@@ -75,3 +75,15 @@ def test_nulls_do_not_share_a_cell(make):
     rows = [(None, f"word{i} " * (1 + i % 9), "s") for i in range(400)]
     got = M.mix(make(rows), cell_rows=20, fan_in=2).collect()
     assert len(got) == 400 and abs(sum(r.taken for r in got) - got[0].target) <= 9
+
+
+def test_equal_rows_are_one_row_of_a_cell(make, monkeypatch):
+    rows = [(1, "same text of five words", "s")] * 3000 + [(i, "w " * (1 + i % 9), "s") for i in range(2, 900)] + [(None, "", "s")] * 500
+    monkeypatch.setattr(M, "EQUAL", 700)
+    sizes = M.mix(make(rows, 6), cell_rows=100, fan_in=4)
+    got = sizes.collect()
+    assert len(got) == len(rows) and sum(r.doc_id == 1 for r in got) == 3000 and sum(r.doc_id is None for r in got) == 500
+    copies = {r.copies for r in got if r.doc_id == 1}
+    assert max(copies) - min(copies) <= 1 and abs(sum(r.taken for r in got) - got[0].target) <= 9
+    again = M.mix(make(rows, 3), cell_rows=100, fan_in=4).collect()
+    assert sorted((str(r.doc_id), r.copies) for r in again) == sorted((str(r.doc_id), r.copies) for r in got)

@@ -5,13 +5,15 @@ number of copies, target / source size; its fraction is rounded by pairing: two
 a direction drawn so that neither's expectation changes, until one is integral. An exchange keeps the pair's expected
 words, so a source's taken words differ from its target by less than one document. Pairing runs first within cells of
 about cell_rows (1000) documents (hashed by doc_id and text, so a hot source is spread and reruns agree), then the one residual
-of each cell is paired with others in rounds of fan_in cells: a reduction tree over one row per cell.
+of each cell is paired with others in rounds of fan_in cells: a reduction tree over one row per cell. Rows that are equal in
+doc_id, source and text are paired with each other first, which needs no drawing: they go on as one row with a count, of which as
+many as their common fraction fills take a copy more, and one is left fractional.
 
 Defined cases: null text has size 0, as have empty ones; documents of size 0 take 0 words; a very long text is one document,
 counted by the scan, and may leave its source off by up to its own size; null source is a source of its own, last in
 order; a source of size 0 has target 0; a null doc_id keeps its row and comes after all ids; ids of any size stay exact;
-documents of one size are paired in order of doc_id (ties: of a hash of the text); rows that repeat a doc_id are rounded
-each on their own (they may take different copies); other columns are not read; an empty table gives an empty result.
+documents of one size are paired in order of doc_id (ties: of a hash of the text); rows that repeat a doc_id with
+another text are rounded on their own, equal ones share their copies (they differ by one at most); other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from . import common
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
+EQUAL = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -34,12 +37,12 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
-    """source, source_size, source_docs, target. The windows run over one row per source, never over documents.
+    """source, source_size, source_docs (rows of sizes, which stand for _n documents each), target. The windows run over one row per source, never over documents.
 
     With sources in order of most * size / weight, the level shared by all but the first k is (budget - what the first k
     take at most) / remaining weight; it rises while the k-th source is capped and falls after, so the level is the maximum.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
+    by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"), F.count("*").alias("source_docs"))
     ordered = by_source.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weighted = ordered.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int")))
     up_to = Window.orderBy(F.lit(most) * F.col("source_size") / F.col("_w"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +73,7 @@ def settle(sizes: list, probs: list, draws: np.ndarray) -> tuple[list, int]:
     return p, carry
 
 
-_CELL = "doc_id long, source string, _docs long, _cell long, _salt long, size long, source_size long, target double, _whole long, _p double, _left boolean"
+_CELL = "doc_id long, source string, _n long, _ones long, _docs long, _cell long, _salt long, size long, source_size long, target double, _whole long, _p double, _left boolean"
 
 
 def _settle_cell(level: int, seed: int, last: bool):
@@ -98,17 +101,18 @@ def mix(docs: DataFrame, cell_rows: int = 1000, fan_in: int = 16, seed: int = 7,
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken."""
     salt = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), salt.alias("_salt"))
-    sizes = common.written(sizes, "sizes")
+    sizes = common.written(sizes.groupBy("doc_id", "source", "size", "_salt").agg(F.count("*").alias("_n")), "sizes")
     targets = common.written(source_targets(sizes, weights, budget, most), "targets")
     total = sizes.count()
     named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
     placed = common.join_groups(sizes.withColumn("_s", named), targets.withColumn("_s", named).drop("source"), "_s", "source_docs", total).drop("_s")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     cells = F.ceil(F.col("source_docs") / cell_rows)
+    share = F.when(F.col("size") > 0, expected - F.floor(expected)).otherwise(F.lit(0.0)) * F.col("_n")
+    share = F.when(F.abs(share - F.rint(share)) < 1e-9, F.rint(share)).otherwise(share)
     rows = placed.select(
-        "doc_id", "source", F.col("source_docs").alias("_docs"), F.pmod("_salt", cells).alias("_cell"), "_salt", "size", "source_size", "target",
-        F.floor(expected).alias("_whole"), F.when(F.col("size") > 0, expected - F.floor(expected)).otherwise(F.lit(0.0)).alias("_p"),
-        F.lit(False).alias("_left"),
+        "doc_id", "source", "_n", F.floor(share).alias("_ones"), F.col("source_docs").alias("_docs"), F.pmod("_salt", cells).alias("_cell"), "_salt", "size", "source_size", "target",
+        F.floor(expected).alias("_whole"), (share - F.floor(share)).alias("_p"), F.lit(False).alias("_left"),
     )
     most_cells = int(targets.agg(F.max(F.ceil(F.col("source_docs") / cell_rows))).first()[0] or 1)
     done, level = [], 0
@@ -122,8 +126,16 @@ def mix(docs: DataFrame, cell_rows: int = 1000, fan_in: int = 16, seed: int = 7,
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    copies = (F.col("_whole") + F.col("_p").cast("long")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    ones = (F.col("_ones") + F.col("_p").cast("long")).alias("_ones")
+    out = out.select("doc_id", "source", "size", "source_size", "target", "_whole", "_n", ones)
+    kinds = F.array(F.struct(F.col("_ones").alias("n"), (F.col("_whole") + 1).alias("copies")), F.struct((F.col("_n") - F.col("_ones")).alias("n"), F.col("_whole").alias("copies")))
+    parts = out.select("doc_id", "source", "size", "source_size", "target", F.explode(F.filter(kinds, lambda k: k["n"] > 0)).alias("k"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) > EQUAL:  # many equal rows are written out by several tasks
+        starts = F.sequence(F.lit(0).cast("long"), F.col("k.n") - 1, F.lit(EQUAL).cast("long"))
+        parts = parts.select("*", F.explode(starts).alias("_at")).hint("rebalance")
+        parts = parts.withColumn("k", F.struct(F.least(F.col("k.n") - F.col("_at"), F.lit(EQUAL)).alias("n"), F.col("k.copies").alias("copies")))
+    each = parts.select("doc_id", "source", "size", "source_size", "target", F.col("k.copies").alias("copies"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("k.n"))))
+    return each.drop("col").withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
