@@ -4,9 +4,12 @@ Texts are hashed to byte-trigram frequencies; one weight vector serves all grade
 into P(grade <= k) = sigmoid(threshold_k - score). The fit takes at most max_labels rated texts (whole, by order of a hash of
 doc_id); scoring covers all rows, holds one Arrow batch in memory and needs no shuffle.
 
-Defined cases: null text counts as empty; a text of under three bytes has no trigram and scores by the thresholds alone;
-null ratings are ignored, several ratings of one doc_id count as their lowest; ratings of fewer than two grades: every
-document gets the only grade (or `grades - 1` without ratings) and is selected; an empty table gives an empty result.
+Defined cases: null text counts as empty; a text of under three bytes has no trigram and scores by the thresholds alone; a very
+long text is hashed whole, a piece at a time; null ratings are ignored, several ratings of one doc_id count as their lowest;
+ratings of fewer than two grades: every document gets the only grade (or `grades - 1` without ratings) with certainty, and the
+same rule selects by it; a null doc_id is scored and can't be rated; rows that repeat a doc_id are scored each, and all
+train with its rating; a probability of exactly `tail` (a tie) selects; extra columns, whatever their names, are not read by quality()
+and kept by select(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,11 +70,9 @@ def fit(rows: list[tuple[bytes, bytes]], grades: np.ndarray, n_grades: int, step
         lower = np.column_stack([np.zeros(len(s)), upper[:, :-1]])
         p = np.maximum((upper - lower)[hot], 1e-9)
         du, dl = upper * (1 - upper), lower * (1 - lower)
-        ds = (dl[hot] - du[hot]) / p  # derivative of log p by theta_k at both ends; by score it is the negative
         gs = -(-(du[hot] - dl[hot]) / p) / len(s)
         g_theta = np.array([-(du[:, k] * hot[:, k] / p - dl[:, k + 1] * hot[:, k + 1] / p).sum() for k in range(n_grades - 1)]) / len(s)
         g_cut = np.array([g_theta.sum()] + [g_theta[k:].sum() * np.exp(par[1][k]) for k in range(1, n_grades - 1)])
-        del ds
         for j, g in enumerate((np.bincount(col, val * gs[row], DIMS) + ridge * par[0], g_cut)):
             m, v = mom[j]
             m += 0.1 * (g - m)
@@ -115,7 +116,7 @@ def quality(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, at_least: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if isinstance(model, int):
         out = rows.select("doc_id", F.lit(float(model)).alias("expected_grade"), *[F.lit(float(model >= k)).alias(n) for k, n in enumerate(names, 1)])
-        return out.withColumn("selected", F.lit(True))
+        return out.withColumn("selected", F.col(f"p_ge{at_least}") >= tail)
     schema = ", ".join(f"{n} double" for n in ["expected_grade", *names])
     out = rows.mapInArrow(_score(model, n_grades), f"doc_id long, {schema}")
     return out.withColumn("selected", F.col(f"p_ge{at_least}") >= tail)
@@ -136,7 +137,9 @@ def _keep(model: dict, at_least: int, tail: float):
 def select(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, at_least: int = 1, tail: float = 0.5, max_labels: int = 3000) -> DataFrame:
     """The rows of docs that quality() selects, with all their columns."""
     model = fitted(docs, ratings, n_grades, max_labels)
-    return docs if isinstance(model, int) else docs.mapInArrow(_keep(model, at_least, tail), docs.schema)
+    if isinstance(model, int):
+        return docs if float(model >= at_least) >= tail else docs.where("false")
+    return docs.mapInArrow(_keep(model, at_least, tail), docs.schema)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
