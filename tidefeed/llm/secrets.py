@@ -1,8 +1,9 @@
 """Operator 5: secret scan with a random forest that removes false positives [native].
 
-Candidates are all runs of the secret alphabet inside words: those of at least min_length characters with a digit, and
-values of at least keyed_length characters, digits or not, that are assigned to a key word (in the same word, as in JSON, or
-by the words before). Each gets numeric features by SQL functions: length, shares of character classes, transitions between
+Candidates are all runs of the secret alphabet inside words: those of at least min_length characters with a digit, those
+of a known shape (access keys, tokens with their makers' prefixes) and those of at least MIXED letters that change between cases
+three times, digits or not, and values of at least keyed_length characters that are assigned to a key word (in the same word,
+as in JSON, or by the words before). Each gets numeric features by SQL functions: length, shares of character classes, transitions between
 classes, distinct characters, share of it that dictionary words cover, its path (the document's source) and the text before
 and after. The dictionary is a few technical words and the most frequent words of all documents. A random forest is fitted
 on labelled findings and compiled to CASE expressions, so that scoring stays inside the query: no shuffle, no Python.
@@ -34,6 +35,10 @@ DICTIONARY = (
 KEYWORDS = r"(?i)(pass(word|wd)?|pwd|secret|token|api|key|auth|bearer|credential)"
 SHAPE = r"[A-Za-z0-9_+/=.@:\-]"
 KEYED = rf"{KEYWORDS}[A-Za-z0-9_\-]*[\"']?\s*[=:]\s*[\"']?"
+#: Runs that are candidates without a digit: prefixes of common tokens, and letters that change case often.
+SHAPES = r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp|gho|ghs|glpat|xox[abp]|sk|pk|rk)[_\-][A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{16,}"
+MIXED = 20
+CASES = rf"(?=[A-Za-z]{{{MIXED}}})[A-Za-z]*?(?:[a-z]+[A-Z]+){{3}}"
 FEATURES = (
     "f_length", "f_digits", "f_upper", "f_lower", "f_marks", "f_transitions", "f_distinct", "f_hex", "f_covered", "f_path_test", "f_path_depth",
     "f_key_before", "f_key_inside", "f_equals", "f_quoted", "f_key_after",
@@ -49,7 +54,7 @@ def frequent_words(docs: DataFrame, most: int = 300, least_length: int = 4) -> l
 def candidates(docs: DataFrame, min_length: int = 12, keyed_length: int = 8) -> DataFrame:
     """doc_id, position (of the word), part (the candidate's place among the word's runs), core (without trailing marks), word, before, after, path."""
     long, value = rf"{SHAPE}{{{min_length},}}", rf"{SHAPE}{{{keyed_length},}}"
-    some = docs.where((F.col("text").rlike(r"[0-9]") & F.col("text").rlike(long)) | F.col("text").rlike(KEYED))
+    some = docs.where((F.col("text").rlike(r"[0-9]") & F.col("text").rlike(long)) | F.col("text").rlike(KEYED) | F.col("text").rlike(rf"[A-Za-z]{{{MIXED}}}") | F.col("text").rlike(SHAPES))
     split = some.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split(F.col("text"), r"[\x20\x09-\x0D]+").alias("_w"))
 
     def word(i: Column | int) -> Column:
@@ -57,7 +62,7 @@ def candidates(docs: DataFrame, min_length: int = 12, keyed_length: int = 8) ->
 
     def worth(i: Column) -> Column:
         w, before = word(i - 1), F.concat(word(i - 4), F.lit(" "), word(i - 3), F.lit(" "), word(i - 2))
-        return (w.rlike(r"[0-9]") & w.rlike(long)) | (w.rlike(value) & (w.rlike(KEYED) | before.rlike(KEYED + "$")))
+        return w.rlike(value) & ((w.rlike(long) & (w.rlike(r"[0-9]") | (w.rlike(rf"[A-Za-z]{{{MIXED}}}") & w.rlike(CASES)) | w.rlike(SHAPES))) | w.rlike(KEYED) | before.rlike(KEYED + "$"))
 
     at = F.filter(F.sequence(F.lit(1), F.size("_w")), worth)
     found = split.select("doc_id", "path", "_w", F.explode(at).alias("_i"))
@@ -72,7 +77,7 @@ def candidates(docs: DataFrame, min_length: int = 12, keyed_length: int = 8) ->
     )
     core = F.col("core")
     keyed = core.rlike(KEYED + value) | (core.rlike("^" + value) & (F.col("before").rlike(KEYED + "$")))
-    return each.where((core.rlike(r"[0-9]") & core.rlike(long)) | keyed)
+    return each.where((core.rlike(long) & (core.rlike(r"[0-9]") | core.rlike(CASES) | core.rlike(SHAPES))) | keyed)
 
 
 def featured(found: DataFrame, words: list[str] | None = None) -> DataFrame:
@@ -107,7 +112,7 @@ def settled() -> Column:
     core = F.col("core")
     keyed = core.rlike(rf"{KEYWORDS}[=:][^=]{{8,}}$") | (F.col("before").rlike(KEYED + "$") & core.rlike(r"^[A-Za-z0-9_+/=\-]{8,}$"))
     return (
-        F.when(core.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$") | keyed, 1)
+        F.when(core.rlike(rf"^(?:{SHAPES})$") | keyed, 1)
         .when(core.rlike(r"@[A-Za-z0-9\-]+\.") | core.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}") | core.rlike(r"^[0-9.:/\-]+$") | core.rlike(r"(?i)^https?:"), 0)
     )
 
