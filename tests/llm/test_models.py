@@ -260,3 +260,46 @@ def test_words_of_long_and_odd_texts(monkeypatch):
     assert np.diff(at).tolist() == [len((t or "").encode().split()) for t in texts]
     low, _ = WordHasher().words(["A b C"])
     assert (low == whole[:3]).all()
+
+
+def test_one_grade_is_selected_by_the_same_rule(make, spark):
+    docs = make(["some text", None, "more of it"])
+    for grade, kept in ((0, 0), (1, 3), (2, 3)):
+        ratings = spark.createDataFrame([(0, grade), (2, grade)], "doc_id long, grade int")
+        got = Q.quality(docs, ratings).collect()
+        assert {r.selected for r in got} == {kept > 0} and {r.p_ge1 for r in got} == {float(grade >= 1)}
+        assert Q.select(docs, ratings).count() == kept
+    assert Q.select(docs, spark.createDataFrame([], "doc_id long, grade int")).count() == 3
+
+
+def test_secret_recall_by_kind(make):
+    """Secrets of every kind planted in prose, by the rules' labels: each is a candidate, and most are found."""
+    rnd = random.Random(12)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def some(alphabet, n):
+        return "".join(rnd.choice(alphabet) for _ in range(n))
+
+    kinds = {
+        "access key of letters": lambda: ("key AKIA" + some(up, 16), 1),
+        "access key": lambda: ("found AKIA" + some(up + digits, 16) + " here", 1),
+        "prefixed token": lambda: ("use ghp_" + some(low + up, 36), 1),
+        "web token": lambda: ("sent eyJ" + some(low + up + digits, 40), 1),
+        "assigned": lambda: ("password=" + some(low + up + digits, 14), 1),
+        "assigned by the word before": lambda: ("api_key = " + some(low + digits, 20), 1),
+        "letters of both cases": lambda: ("value " + some(low + up, 40), None),
+    }
+    rows, want = [], {}
+    for k, (kind, make_one) in enumerate(kinds.items()):
+        for i in range(40):
+            text, _ = make_one()
+            rows.append((1000 * k + i, " ".join(some(low, rnd.randint(2, 8)) for _ in range(20)) + " " + text + " " + " ".join(some(low, 5) for _ in range(9)), "src/main.py"))
+            want[1000 * k + i] = kind
+    rows += [(9000 + i, f"see https://example.com/page{i}/name2 or mail user{i}@example.org, version 10.0.{i}.1 on 2024-01-{i % 28 + 1:02d}T10:00:00", "doc/x") for i in range(150)]
+    scanned = K.scan(make(rows, 4)).collect()
+    candidates = {r.doc_id for r in scanned}
+    assert set(want) <= candidates
+    found = {r.doc_id for r in scanned if r.is_secret}
+    recall = {kind: np.mean([i in found for i, x in want.items() if x == kind]) for kind in kinds}
+    assert min(recall.values()) >= 0.9, recall
+    assert not [r for r in scanned if r.doc_id >= 9000 and r.is_secret]
