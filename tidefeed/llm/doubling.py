@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .suffix_dedup import LEAST_ID, _get, _of_batches, _put, _runs
-from .textkit import WordHasher, grams, mix64, slices
+from .textkit import PIECE, WordHasher, grams, mix64, slices
 
 LENGTH, SEED = 13, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -132,28 +132,29 @@ class Level:
     def widen(self, texts: list[bytes], hasher: WordHasher, seed: int) -> None:
         self.b = grams(hasher.encoded(texts)[0], seed)[self.pos]
 
-    def owners(self) -> np.ndarray:
-        return self.doc[np.searchsorted(self.ends, self.pos, "right")]
+    def of(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Which documents candidates i lie in."""
+        return np.searchsorted(self.ends, self.pos[i], "right")
 
     def messages(self, shards: int, last: bool):
-        """Per distinct name, in order of shard: names, the smallest doc_id and whether there are others; each candidate's index in
-        that order; and where shards begin."""
-        shard = (self.a % np.uint64(shards)).astype(np.int64)
-        keys = (self.a, shard) if not last else (self.b, self.a, shard)
-        order = np.lexsort(keys)  # stable: places, and with them doc_ids, ascend within a name
-        new = np.zeros(len(order), bool)
-        for k in keys[:-1]:
-            new[1:] |= k[order][1:] != k[order][:-1]
-        new[:1] = True
+        """Per distinct name, in order: names, the smallest doc_id and whether there are others; each candidate's index in that
+        order; and shards (ranges of a) and where they begin."""
+        order = np.argsort(self.a, kind="stable") if not last else np.lexsort((self.b, self.a))  # places, and with them doc_ids, ascend within a name
+        a = self.a[order]
+        new = np.ones(len(order), bool)
+        new[1:] = a[1:] != a[:-1]
+        if last:
+            b = self.b[order]
+            new[1:] |= b[1:] != b[:-1]
         head = np.flatnonzero(new)
-        index = np.empty(len(order), np.int64)
-        index[order] = np.cumsum(new) - 1
-        owner = self.owners()[order]
-        tail = np.append(head[1:], len(order)) - 1
-        s = shard[order][head]
+        index = np.empty(len(order), np.int32)
+        index[order] = np.cumsum(new, dtype=np.int32) - 1
+        names = a[head], b[head] if last else None
+        tail = np.append(head[1:], len(order))[: len(head)] - 1
+        least, most = self.doc[self.of(order[head])], self.doc[self.of(order[tail])]
+        s = ((names[0] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
-        names = self.a[order][head], self.b[order][head] if last else None
-        return names, owner[head] if len(head) else owner, owner[head] != owner[tail] if len(head) else new, index, s[edge[:-1]], edge
+        return names, least, least != most, index, s[edge[:-1]].astype(np.int64), edge
 
     def answered(self, answers: list[dict], shards: int, last: bool) -> np.ndarray:
         """Each candidate's answer: whether another document has it (at the last level: one of smaller doc_id)."""
@@ -163,7 +164,7 @@ class Level:
         for x in answers:
             i, j = begin[x["shard"]]
             yes[i:j] |= np.unpackbits(np.frombuffer(x["own"], np.uint8), count=j - i).astype(bool)
-        return yes[index] | (self.owners() > least[index]) if last else yes[index]
+        return yes[index] | (self.doc[self.of()] > least[index]) if last else yes[index]
 
     def extended(self, good: np.ndarray, size: int, to: int) -> "Level":
         """Candidates of `to` words: survivors of `size` words whose neighbour to - size words on survives in the same document."""
@@ -183,7 +184,12 @@ class Level:
 
 
 def _hashers() -> list[WordHasher]:
-    return [WordHasher(seed, lower=False) for seed in (11, 12)]
+    """Two hashers of words as they are, which share their tables."""
+    one = WordHasher(11, lower=False)
+    one.up, one.down = one.up[: PIECE + 4096].copy(), one.down[: PIECE + 4096].copy()
+    two = WordHasher(12, lower=False)
+    two.up, two.down = one.up, one.down
+    return [one, two]
 
 
 def _asking(size: int, from_text: bool, last: bool, shards: int):
@@ -199,7 +205,7 @@ def _asking(size: int, from_text: bool, last: bool, shards: int):
                 if last:
                     own, with_it = np.concatenate([a[i:j], b[i:j]]).tobytes(), least[i:j].tobytes()
                 else:
-                    own, with_it = (a[i:j] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits(more[i:j]).tobytes()
+                    own, with_it = a[i:j].astype(np.uint32).tobytes(), np.packbits(more[i:j]).tobytes()
                 rows.append((1, s, row["part"], row["seq"], own, with_it))
             yield _record(_TALK, rows)
 
@@ -334,7 +340,7 @@ def _cutting(with_text: bool):
     return run, schema
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False, shard_bytes: int = 1 << 24, batch_bytes: int = 1 << 22, least_shards: int = 64, fan_in: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False, shard_bytes: int = 1 << 24, batch_bytes: int = 3 << 20, least_shards: int = 64, fan_in: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = common.bucketed(rows.mapInArrow(_batches(batch_bytes), _BATCH), "passages", "part")
