@@ -125,8 +125,16 @@ def test_near_pairs_against_all_pairs(spark):
     fps = [rnd.getrandbits(64) for _ in range(30)]
     fps += [f ^ sum(1 << b for b in rnd.sample(range(64), k)) for f in fps for k in (1, 4, 5, 6)]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {(r.a, r.b, r.distance) for r in dedup.near_pairs(spark.createDataFrame(list(enumerate(signed)), "id long, fp long")).collect()}
-    assert got == {(i, j, (fps[i] ^ fps[j]).bit_count()) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 5}
+    want = {(i, j, (fps[i] ^ fps[j]).bit_count()) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 5}
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
+    for blocks in (None, 6, 8):
+        got = [(r.a, r.b, r.distance) for r in dedup.near_pairs(df, blocks=blocks).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert dedup.best_blocks(1000) == 6 < dedup.best_blocks(10**6) <= dedup.best_blocks(10**9)
+    twice = signed + signed[:40]
+    classes = {r.id: (r.class_id, r.n_links) for r in dedup.near_classes(spark.createDataFrame(list(enumerate(twice)), "id long, fp long")).collect()}
+    near = [sum(((x ^ y) & (1 << 64) - 1).bit_count() <= 5 for y in twice) - 1 for x in twice]
+    assert classes == {i: (twice.index(x), near[i]) for i, x in enumerate(twice)}
 
 
 def events(spark, rows):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,20 +37,61 @@ def exact_duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.join(first, key).withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
 
 
-def near_pairs(prints: DataFrame, bits: int = THRESHOLD) -> DataFrame:
-    """All pairs a < b of ids whose fingerprints differ in at most `bits` bits. They agree in one of bits + 1 blocks, so blocks are joined, never all rows; each pair is kept at its first agreeing block."""
-    width = -(-64 // (bits + 1))
-    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("v")) for i in range(bits + 1)])
-    banded = prints.select("id", "fp", F.explode(blocks).alias("b")).select("id", "fp", F.col("b.i").alias("i"), F.col("b.v").alias("v"))
-    l, r = banded.alias("l"), banded.alias("r")
-    near = l.join(r, (F.col("l.i") == F.col("r.i")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.id") < F.col("r.id"))).where(X.hamming(F.col("l.fp"), F.col("r.fp")) <= bits)
+def _block_masks(blocks: int) -> list[int]:
+    """64 bits as masks of `blocks` neighbouring runs, as even as they come."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << j) - 1) ^ ((1 << i) - 1) for i, j in zip(edges, edges[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def best_blocks(n: int, bits: int = THRESHOLD) -> int:
+    """The number of blocks at which n random fingerprints make the fewest rows and pairs: more blocks are more keys, but longer ones."""
+
+    def cost(blocks: int) -> float:
+        keys = comb(blocks, blocks - bits)
+        return keys * n + keys * n * n / 2 / 2.0 ** (64 * (blocks - bits) / blocks)
+
+    return min(range(bits + 1, bits + 6), key=cost)
+
+
+def near_pairs(prints: DataFrame, bits: int = THRESHOLD, blocks: int | None = None) -> DataFrame:
+    """All pairs a < b of ids whose fingerprints differ in at most `bits` bits.
+
+    Of `blocks` blocks of bits such a pair agrees in all but `bits` at least, so rows are joined on every choice of that many blocks,
+    never all rows; a pair is kept at the choice of its first agreeing blocks. More blocks make longer keys: 6 give 11 bits, 8 give
+    24. Unset, the number is chosen by the number of rows.
+    """
+    blocks = blocks or best_blocks(prints.count(), bits)
+    masks, size = _block_masks(blocks), blocks - bits
+    choices = list(combinations(range(blocks), size))
+
+    def part(choice: tuple) -> Column:
+        mask = 0
+        for i in choice:
+            mask |= masks[i]
+        return F.col("fp").bitwiseAND(F.lit(mask))
+
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(c).alias("v")) for k, c in enumerate(choices)])).alias("b")
+    keyed = prints.select("id", "fp", keys).select("id", "fp", F.col("b.k").alias("k"), F.col("b.v").alias("v"))
+    l, r = keyed.alias("l"), keyed.alias("r")
+    same = (F.col("l.k") == F.col("r.k")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.id") < F.col("r.id"))
+    near = l.join(r, same).where(X.hamming(F.col("l.fp"), F.col("r.fp")) <= bits)
     diff = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    earlier = F.lit(False)
-    for i in range(bits):
-        mask = ((1 << min(width, 64 - i * width)) - 1) << (i * width)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        earlier = earlier | ((F.col("l.i") > i) & (diff.bitwiseAND(F.lit(mask)) == 0))
-    return near.where(~earlier).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), X.hamming(F.col("l.fp"), F.col("r.fp")).cast("long").alias("distance"))
+    agree = F.filter(F.array(*[F.when(diff.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(masks)]), lambda x: x.isNotNull())
+    own = F.element_at(F.array(*[F.array(*[F.lit(i) for i in c]) for c in choices]), F.col("l.k") + 1)
+    first = F.slice(agree, 1, size) == own
+    return near.where(first).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), X.hamming(F.col("l.fp"), F.col("r.fp")).cast("long").alias("distance"))
+
+
+def near_classes(prints: DataFrame, bits: int = THRESHOLD) -> DataFrame:
+    """id, class_id (the smallest id with the same fingerprint), n_links (how many other rows lie within `bits` bits): near_pairs told
+    by rows. Rows of equal fingerprints are one class with a count, so copies don't yield their pairs."""
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.count("*").alias("n")))
+    pairs = near_pairs(classes.select(F.col("class_id").alias("id"), "fp"), bits)
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+    links = both.join(classes.select(F.col("class_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("_near"))
+    counted = classes.join(links, "class_id", "left").select("fp", "class_id", (F.col("n") - 1 + F.coalesce("_near", F.lit(0))).alias("n_links"))
+    return prints.select("id", "fp").join(counted, "fp").select("id", "class_id", "n_links")
 
 
 def validity(title: Column, url: Column) -> Column:

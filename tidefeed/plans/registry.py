@@ -543,6 +543,11 @@ def j13(s, d):
     return dedup.near_pairs(_prints(s, d))
 
 
+@query("j13_near_classes", PRINTS + """SELECT x.id, min(y.id) FILTER (y.fp = x.fp) AS class_id, count(*) - 1 AS n_links FROM fps x JOIN fps y ON bit_count(xor(x.fp, y.fp)::HUGEINT) <= 5 GROUP BY x.id""")
+def j13_classes(s, d):
+    return dedup.near_classes(_prints(s, d))
+
+
 TIDY = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 STATUS = (
     PRINTS.replace("WITH ix", "WITH RECURSIVE ix").replace(", tk AS", RAW + r", tk AS")

@@ -34,7 +34,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), X.strip(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), F.substring("text", 1, 250).alias("excerpt"), F.col("text").alias("body"), "source",
+        F.col("doc_id").alias("id"), X.strip(F.substring_index("text", "\n", 1)).alias("title"), F.substring("text", 1, 250).alias("excerpt"), F.col("text").alias("body"), "source",
         F.col("lang").alias("category"), F.lit("").alias("image_url"), F.concat(F.lit("https://www.example.com/"), F.col("doc_id").cast("string")).alias("url"),
         F.timestamp_micros((F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("doc_id") * 60_000_000)).alias("parsed_at"),
     )
