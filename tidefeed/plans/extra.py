@@ -13,6 +13,7 @@ from tidefeed.sources import feeds, html, sinks
 from tidefeed.streaming import jobs
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 TIDY = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
 
@@ -178,6 +179,48 @@ SELECT source, seq, status FROM walk WHERE n > 0"""
         a = html.articles(B.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html")))
         return a.select("page_id", "title", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"), "ok")
 
+    # containers: one too short before the next, advertisements inside, an attribute first, none that counts
+    other = "Another text altogether, which is long enough to be taken where the first one is too short for it. " * 3
+    ad, caption = "An advertisement that is longer than forty characters, again and again. " * 3, "A caption that is longer than forty characters, too"
+    content_shapes = [
+        around('<div class="article-content">Too short</div><div class="post-content">', "p", f"</div><article><p>{other}</p></article>"),
+        around("<article>", "p", f'<div class="ads-box"><p>{ad}</p></div><figure><figcaption>{caption}</figcaption></figure></article>'),
+        around('<div itemprop="articleBody">', "p", f"</div><article><p>{other}</p></article>"),
+        around('<div class="text">', "p", "</div>"),
+    ]
+    content_sql = rf"""WITH l AS (SELECT doc_id, i, {TRIM.format('raw')} AS t FROM (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+      n AS (SELECT doc_id, sum(length(t)) AS size FROM l GROUP BY 1),
+      c AS (SELECT doc_id, i, t FROM l JOIN n USING (doc_id) WHERE doc_id % 4 = 1 OR (doc_id % 4 IN (0, 2) AND size > 200)
+        UNION ALL SELECT doc_id, 0, '{other.strip()}' FROM n WHERE doc_id % 4 IN (0, 2) AND size <= 200),
+      k AS (SELECT * FROM c WHERE length(t) >= 40 AND NOT regexp_matches(t, '(?i)^\d{{1,2}}\s+(jam|menit|detik|hari)\s+yang\s+lalu') AND NOT regexp_matches(t, '(?i)^(baca juga|lihat juga|artikel terkait)')
+        QUALIFY row_number() OVER (PARTITION BY doc_id, left(t, 60) ORDER BY i) = 1)
+      SELECT doc_id AS page_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY i)) AS body_sha, concat(left(first(t ORDER BY i), 250), CASE WHEN length(first(t ORDER BY i)) > 250 THEN '...' ELSE '' END) AS summary FROM k GROUP BY 1"""
+
+    @query("s5_page_content_shapes", content_sql)
+    def s5s(s, d):
+        n = F.pmod("doc_id", F.lit(len(content_shapes)))
+        page = F.coalesce(*[F.when(n == i, F.expr(shape)) for i, shape in enumerate(content_shapes)])
+        b = R.bodies(R.paragraphs_kept(html.paragraphs(B.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html")))))
+        return b.select("page_id", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"), "summary")
+
+    # listings: other items where a portal's own are missing, short titles and missing links, sections of pages left open
+    listing_shapes = [
+        """concat('<div class="news-item big"><h3>Headline of page ', doc_id, '</h3><a href="rel/', doc_id, '?x=1">go</a><span class="cat-label"> Olahraga </span></div><div class="news"><h3>No item at all</h3></div>')""",
+        """concat('<article><h2>Tiny</h2><a href="/t">a</a></article><article><h2>A title without a link ', doc_id, '</h2></article><article><h2>Good headline ', doc_id, '</h2><a href="//cdn.example.org/', doc_id, '">b</a><time> 1 Mei </time></article>')""",
+        """concat('<ul><li><article><h3>First &amp; foremost ', doc_id, '</h3><a name="x">no</a><a href="https://h.example.com/p#', doc_id, '">c</a><li><article><h2>ftp is no address</h2><a href="ftp://h.example.com/f">d</a></article></ul>')""",
+    ]
+    listing_sql = """SELECT doc_id AS page_id, 0::BIGINT AS seq, concat('Headline of page ', doc_id) AS title, concat('http://h.example.com/x/rel/', doc_id, '?x=1') AS url, '' AS date, 'Olahraga' AS category FROM documents WHERE doc_id % 3 = 0
+      UNION ALL SELECT doc_id, 0, concat('A title without a link ', doc_id), 'http://h.example.com/x/y', '', 'Umum' FROM documents WHERE doc_id % 3 = 1
+      UNION ALL SELECT doc_id, 1, concat('Good headline ', doc_id), concat('http://cdn.example.org/', doc_id), '1 Mei', 'Umum' FROM documents WHERE doc_id % 3 = 1
+      UNION ALL SELECT doc_id, 0, concat('First & foremost ', doc_id), concat('https://h.example.com/p#', doc_id), '', 'Umum' FROM documents WHERE doc_id % 3 = 2"""
+
+    @query("s3_listing_shapes", listing_sql)
+    def s3s(s, d):
+        n = F.pmod("doc_id", F.lit(3))
+        page = F.coalesce(*[F.when(n == i, F.expr(shape)) for i, shape in enumerate(listing_shapes)])
+        pages = B.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.lit("http://h.example.com/x/y").alias("url"), page.alias("html"))
+        return html.listings(pages).select("page_id", "seq", "title", "url", "date", X.category(F.col("raw_category")).alias("category"))
+
     @query("s9_discovery_made", """SELECT doc_id AS page_id, concat('Site ', doc_id) AS site, 'article' AS item, 'h2' AS title, 'time' AS date, 'span[class*=''label'']' AS category, 'a[href]' AS link, 'p' AS summary,
       concat('http://h.example.com/x http://h.example.com/s', doc_id) AS urls, 2::BIGINT AS preview FROM documents""")
     def s9m(s, d):
