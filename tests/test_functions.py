@@ -108,3 +108,15 @@ def test_rounding_equals_the_exact_binary_value(spark):
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[rounded(F.col("x"), d).alias(f"r{d}") for d in (0, 2, 4, 6)]).collect()
     for r in rows:
         assert [r.r0, r.r2, r.r4, r.r6] == [round(r.x, d) for d in (0, 2, 4, 6)], r.x
+
+
+def test_links_resolve_as_urljoin_does(spark):
+    from itertools import product
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org", "http://h.org/", "https://h.org/a", "http://h.org/a/b/", "http://h.org/a/b/c.html?x=1#f", "HTTP://H.org/a//b", "ftp://h.org/d/e", "", "mailto:me@h.org"]
+    links = ["", "x", "/y", "./z", "../w", "../../..", "../../../u/v", "a/./b/../c", "..", ".", "?q=1", "#top", "p?q#r", "//other.org/x/../y", "http:rel", "https://z.org", "ftp://f.org/x", "mailto:a@b", "javascript:void(0)", " /lead", "a b", "x/", "//", "?", "/a//b", "HTTPS://Up.org/P", "c;d", "a:b"]
+    rows = [(b, l) for b, l in product(bases, links)]
+    got = spark.createDataFrame(rows, "b string, l string").select("b", "l", X.resolved(F.col("b"), F.col("l")).alias("u")).collect()
+    wrong = [(r.b, r.l, r.u, urljoin(r.b, r.l)) for r in got if r.u != urljoin(r.b, r.l)]
+    assert not wrong, wrong[:20]

@@ -1,9 +1,8 @@
-"""Text, URL and hash functions as Column expressions; only Unicode normal forms and URL resolution need a Python worker."""
+"""Text, URL and hash functions as Column expressions; only Unicode normal forms need a Python worker."""
 
 from __future__ import annotations
 
 import unicodedata
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -146,9 +145,37 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf(StringType())
-def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b or "", x or "") for b, x in zip(base, link)])
+URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+# Schemes whose links may be relative.
+RELATIVE = ("", "file", "ftp", "gopher", "http", "https", "imap", "mms", "nntp", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "shttp", "svn", "svn+ssh", "wais", "ws", "wss")
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The address that a link on a page at `base` means: its own host, or the base's with the paths joined and dot segments taken
+    out; links of other schemes stay as they are."""
+    b, raw = F.coalesce(base, F.lit("")), F.coalesce(link, F.lit(""))
+    l = F.regexp_replace(raw, r"^[\x00-\x20]+|[\t\r\n]", "")
+
+    def part(u: Column, i: int) -> Column:
+        return F.regexp_extract(u, URL, i)
+
+    def mark(u: Column, i: int) -> Column:
+        return F.when(F.char_length(part(u, i)) > 1, part(u, i)).otherwise("")
+
+    scheme = F.lower(F.when(part(l, 1) != "", part(l, 1)).otherwise(part(b, 1)))
+    foreign = (scheme != F.lower(part(b, 1))) | ~scheme.isin(*RELATIVE)
+    own_host, path, above = F.char_length(part(l, 2)) > 2, part(l, 3), F.regexp_replace(part(b, 3), r"[^/]*$", "")
+    joined = F.split(F.when(path.startswith("/"), path).when(above == "", F.concat(F.lit("/"), path)).otherwise(F.concat(above, path)), "/")
+    n = F.size(joined)
+    steps = F.concat(F.slice(joined, 1, 1), F.filter(F.slice(joined, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda x: (x != "") | path.startswith("/")), F.slice(joined, n, F.lit(1)))
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(steps, none, lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    whole = F.concat(F.array_join(walked, "/"), F.when(F.element_at(joined, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise(""))
+    rooted = F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole))
+    head = F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise("")
+    below = F.when(path == "", F.concat(part(b, 3), F.when(mark(l, 4) != "", mark(l, 4)).otherwise(mark(b, 4)))).otherwise(F.concat(rooted, mark(l, 4)))
+    there = F.concat(head, part(l, 2), path, mark(l, 4), mark(l, 5))
+    return F.when(raw == "", b).when((b == "") | foreign, raw).when(own_host, there).otherwise(F.concat(head, part(b, 2), below, mark(l, 5)))
 
 
 def normal_form(c: Column) -> Column:

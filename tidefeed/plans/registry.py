@@ -373,6 +373,16 @@ def m15(s, d):
     return s.createDataFrame(list(enumerate([X.ALL_CATEGORIES, *X.CATEGORIES])), "pos long, category string")
 
 
+@query("m15_category_counts", BASE + ", c AS (SELECT unnest(range(15)) AS pos, unnest(['Semua', " + ", ".join(f"'{c}'" for c in X.CATEGORIES) + ", 'Umum']) AS category), k AS (SELECT CASE lang WHEN 'en' THEN 'Internasional' WHEN 'de' THEN 'Teknologi' WHEN 'fr' THEN 'Olahraga' ELSE 'Umum' END AS category FROM documents) SELECT pos, category, CASE WHEN pos = 0 THEN (SELECT count(*) FROM k) ELSE (SELECT count(*) FROM k WHERE k.category = c.category) END AS n FROM c")
+def m15_counts(s, d):
+    """The categories that a reader may choose from, in order, with the articles of each; the first is all of them."""
+    raw = F.when(F.col("lang") == "en", "world").when(F.col("lang") == "de", "gadget").when(F.col("lang") == "fr", "sepak bola")
+    found = B.table(s, d, "documents").select(X.category(raw).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    every = found.groupBy(F.lit(X.ALL_CATEGORIES).alias("category")).agg(F.sum("n").alias("n"))
+    listed = s.createDataFrame(list(enumerate([X.ALL_CATEGORIES, *X.CATEGORIES, X.NO_CATEGORY])), "pos long, category string")
+    return listed.join(found.unionByName(every), "category", "left").select("pos", "category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # --- scalar functions ------------------------------------------------------------------------------------------------
 TRACK = ", ".join(f"'{k}'" for k in X.TRACKING_KEYS)
 CANON = rf"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
