@@ -203,13 +203,15 @@ def _score(model: dict):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_toxic: int, max_ordinary: int, max_bytes: int = 1 << 26) -> tuple[list[str], list[str]]:
     """Texts of at most so many labelled documents of either class, in order of a hash of doc_id, as long as they have at most
-    max_bytes together: the bound on what the driver gets, half for each class. A longer text is left out whole."""
+    max_bytes together: the bound on what the driver gets, half for each class. A text of over a sixteenth of its class's half is left
+    out whole, so it can't end the sample for those after it."""
     marked = labels.where("doc_id is not null and toxic is not null").where(train).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     order = F.xxhash64("doc_id")
     few = marked.where("_toxic = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(marked.where("_toxic = 0").orderBy(order, "doc_id").limit(max_ordinary))
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("_toxic").orderBy(order, "doc_id"))
-    rows = rows.withColumn("_size", size).where(F.col("_size") <= max_bytes // 2).orderBy(order, "doc_id").collect()
+    own = F.coalesce(F.octet_length("text"), F.lit(0))
+    size = F.sum(own).over(Window.partitionBy("_toxic").orderBy(order, "doc_id"))
+    rows = rows.where(own <= max_bytes // 32).withColumn("_size", size).where(F.col("_size") <= max_bytes // 2).orderBy(order, "doc_id").collect()
     return [r.text for r in rows if r._toxic == 1], [r.text for r in rows if r._toxic == 0]
 
 
