@@ -303,3 +303,12 @@ def test_secret_recall_by_kind(make):
     recall = {kind: np.mean([i in found for i, x in want.items() if x == kind]) for kind in kinds}
     assert min(recall.values()) >= 0.9, recall
     assert not [r for r in scanned if r.doc_id >= 9000 and r.is_secret]
+
+
+def test_a_text_over_the_budget_does_not_end_the_sample(make, spark):
+    docs = make([(i, "x" * (5000 if i % 7 == 0 else 40), "s") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxic, ordinary = T.labelled_sample(docs, labels, F.lit(True), 100, 100, max_bytes=4000)
+    assert len(toxic) == sum(1 for i in range(40) if i % 2 and i % 7) and len(ordinary) == sum(1 for i in range(40) if not i % 2 and i % 7)
+    few, _ = T.labelled_sample(docs, labels, F.lit(True), 100, 100, max_bytes=1300)
+    assert 0 < len(few) <= 1300 // 2 // 40

@@ -102,3 +102,9 @@ def test_session_is_left_alone(make, spark, texts):
 
 def test_empty(make):
     assert S.remove_repeats(make(["a"]).where("false")).count() == 0
+
+
+def test_shards_answer_in_rounds(make, texts):
+    rows = [(i, t, "s") for i, t in enumerate(texts * 2)]
+    one, many = (dict(results(S.remove_repeats(make(rows, 9), batch_bytes=600, least_shards=3, fan_in=f))) for f in (4096, 4))
+    assert one == many == brute([(i, t) for i, t, _ in rows])

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .asking import TALK, answers, record
 from .suffix_dedup import LEAST_ID, _get, _of_batches, _put, _runs
 from .textkit import PIECE, WordHasher, grams, mix64, slices
 
@@ -42,7 +43,6 @@ LENGTH, SEED = 13, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = "part long, seq int, n_bytes long, doc binary, size binary, data binary"
 _STATE = "part long, seq int, doc binary, ends binary, pos binary, a binary, b binary"
-_TALK = "kind int, shard int, part long, seq int, own binary, least binary"
 _MARKS = "shard int, part long, seq int, runs binary"
 
 
@@ -54,13 +54,6 @@ def levels(length: int = LENGTH, seed: int = SEED) -> list[int]:
     return out
 
 
-def _record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = zip(*rows) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
-
-
 def _batches(size: int):
     """Rows (doc_id, text) to batches of about `size` bytes, documents in order of id."""
 
@@ -82,10 +75,10 @@ def _batches(size: int):
                 kept.append((LEAST_ID if i is None else i, i is None, data))
                 held += len(data)
                 if held >= size or len(kept) >= 100_000:
-                    yield _record(_BATCH, [packed()])
+                    yield record(_BATCH, [packed()])
                     kept, held, made = [], 0, made + 1
         if kept:
-            yield _record(_BATCH, [packed()])
+            yield record(_BATCH, [packed()])
 
     return run
 
@@ -156,12 +149,12 @@ class Level:
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
         return names, least, least != most, index, s[edge[:-1]].astype(np.int64), edge
 
-    def answered(self, answers: list[dict], shards: int, last: bool) -> np.ndarray:
+    def answered(self, heard: list[dict], shards: int, last: bool) -> np.ndarray:
         """Each candidate's answer: whether another document has it (at the last level: one of smaller doc_id)."""
         _, least, more, index, shard, edge = self.messages(shards, last)
         yes = np.zeros(len(least), bool) if last else more.copy()
         begin = dict(zip(shard.tolist(), zip(edge[:-1].tolist(), edge[1:].tolist())))
-        for x in answers:
+        for x in heard:
             i, j = begin[x["shard"]]
             yes[i:j] |= np.unpackbits(np.frombuffer(x["own"], np.uint8), count=j - i).astype(bool)
         return yes[index] | (self.doc[self.of()] > least[index]) if last else yes[index]
@@ -207,75 +200,11 @@ def _asking(size: int, from_text: bool, last: bool, shards: int):
                 else:
                     own, with_it = a[i:j].astype(np.uint32).tobytes(), np.packbits(more[i:j]).tobytes()
                 rows.append((1, s, row["part"], row["seq"], own, with_it))
-            yield _record(_TALK, rows)
-
-    return run
-
-
-def _told(row: dict, last: bool) -> tuple:
-    """A message's names a, b, doc_ids, `more`, places among what its batch asked, and how many that were."""
-    if row["kind"] == 2:  # passed on by an earlier round
-        total = int(np.frombuffer(row["least"], np.int64)[0])
-        v = np.frombuffer(row["own"], np.int64).reshape(5, -1)
-        return v[0].view(np.uint64), v[1].view(np.uint64), v[2], v[3], v[4], total
-    if last:
-        a, b = np.frombuffer(row["own"], np.uint64).reshape(2, -1)
-        least, more = np.frombuffer(row["least"], np.int64), np.zeros(len(a), np.int64)
-    else:
-        a = np.frombuffer(row["own"], np.uint32).astype(np.uint64)
-        b, least = np.zeros(len(a), np.uint64), np.zeros(len(a), np.int64)
-        more = np.unpackbits(np.frombuffer(row["least"], np.uint8), count=len(a)).astype(np.int64)
-    return a, b, least, more, np.arange(len(a)), len(a)
-
-
-def _judged(last: bool, last_round: bool):
-    """A shard's messages (kinds 1 and 2) to answers (kind 0: one bit for each name asked) and, before the last round, to what
-    goes on for the whole group (kind 2)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["kind", "shard", "part", "seq", "own", "least"]).to_pylist()
-        out = [tuple(r.values()) for r in rows if r["kind"] == 0]
-        asked = [r for r in rows if r["kind"] > 0]
-        if not asked:
-            return pa.Table.from_batches([_record(_TALK, out)])
-        told = [_told(r, last) for r in asked]
-        a, b, least, more, place = (np.concatenate(c) for c in list(zip(*told))[:5])
-        order = np.lexsort((least, b, a))
-        sa, sb, sl = a[order], b[order], least[order]
-        new = np.concatenate([[True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])])
-        head, group = np.flatnonzero(new), np.cumsum(new) - 1
-        if last:
-            yes, on = sl > sl[head][group], sl == sl[head][group]  # ties all go on: each must hear of a smaller one
-        else:
-            yes, on = ((np.diff(np.append(head, len(new))) > 1) | (np.add.reduceat(more[order], head) > 0))[group], new
-        said, goes = np.zeros(len(order), bool), np.zeros(len(order), bool)
-        said[order], goes[order] = yes, on
-        at = 0
-        for r, t in zip(asked, told):
-            i, at, total = at, at + len(t[0]), t[5]
-            bits = np.zeros(total, bool)
-            bits[place[i:at][said[i:at]]] = True
-            where = r["shard"], r["part"], r["seq"]
-            if bits.any():
-                out.append((0, *where, np.packbits(bits).tobytes(), None))
-            g = np.flatnonzero(goes[i:at]) + i
-            if len(g) and not last_round:
-                passed = np.stack([a[g].view(np.int64), b[g].view(np.int64), least[g], said[g].astype(np.int64), place[g]])
-                out.append((2, *where, passed.tobytes(), np.array([total]).tobytes()))
-        return pa.Table.from_batches([_record(_TALK, out)])
+            yield record(TALK, rows)
 
     return run
 
 
-def _answers(asked: DataFrame, n: int, fan_in: int, last: bool) -> DataFrame:
-    """shard, part, seq, own: answers to messages of n batches, in rounds of groups of fan_in batches."""
-    while n > fan_in:
-        n = -(-n // fan_in)
-        group = F.pmod(F.xxhash64("part", "seq", F.lit(n)), F.lit(n)).alias("_group")
-        asked = asked.select("*", group).groupBy("shard", "_group").applyInArrow(_judged(last, False), _TALK)
-    return asked.groupBy("shard").applyInArrow(_judged(last, True), _TALK).where("kind = 0").select("shard", "part", "seq", "own")
-
-
 def _extending(size: int, to: int, from_text: bool, shards: int):
     """Batches or states with their answers to the states of the next level; batches without candidates end here."""
 
@@ -292,7 +221,7 @@ def _extending(size: int, to: int, from_text: bool, shards: int):
                 good = np.ones(len(lev.pos), bool)
             lev = lev.extended(good, size, to)
             if len(lev.pos):
-                yield _record(_STATE, [lev.row(row["part"], row["seq"])])
+                yield record(_STATE, [lev.row(row["part"], row["seq"])])
 
     return run
 
@@ -308,7 +237,7 @@ def _marking(size: int, from_text: bool, shards: int):
             if len(start):
                 runs = _runs(start)
                 runs[:, 1] += size - 1
-                yield _record(_MARKS, [(0, row["part"], row["seq"], runs.astype(np.int64).tobytes())])
+                yield record(_MARKS, [(0, row["part"], row["seq"], runs.astype(np.int64).tobytes())])
 
     return run
 
@@ -335,7 +264,7 @@ def _cutting(with_text: bool):
                     words = [*compress(words, (~own).tolist()), *words[len(own) :]]
                 kept = b" ".join(words)
                 out.append((None if null[i] else int(doc[i]), len(words) + n, n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "surrogatepass")] * with_text))
-            yield _record(schema, out)
+            yield record(schema, out)
 
     return run, schema
 
@@ -350,8 +279,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with
     state, sizes, marks = texts, levels(length, seed), None
     for k, size in enumerate(sizes):
         from_text, last = k == 0, k == len(sizes) - 1
-        asked = state.mapInArrow(_asking(size, from_text, last, shards), _TALK)
-        told = _of_batches(state, _answers(asked, n, fan_in, last), "answers", "own")
+        asked = state.mapInArrow(_asking(size, from_text, last, shards), TALK)
+        told = _of_batches(state, answers(asked, n, fan_in, last), "answers", "own")
         if last:
             marks = common.written(told.mapInArrow(_marking(size, from_text, shards), _MARKS), "marks")
         else:

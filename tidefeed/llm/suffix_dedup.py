@@ -6,7 +6,8 @@ Equal strings have equal minimisers: the least hash of the `gram`-byte grams ins
 1. texts are packed into batches of some megabytes, written once to the shared folder, bucketed by the task that made them:
    later joins deal out what belongs to a batch, never the texts;
 2. each batch sends its distinct minimisers (about one in 32 bytes, four bytes each) to shards of hashes, which answer one bit
-   for each: whether it occurs anywhere else. A minimiser of a third of all texts counts once a batch;
+   for each: whether it occurs anywhere else. A minimiser of a third of all texts counts once a batch, and above fan_in batches once
+   a group of them, since shards answer in rounds;
 3. each batch sorts the suffixes around repeated minimisers. Those that repeat inside the batch are settled there; only the
    first of each goes on to its shard, so a hot string crosses the shuffle once a batch;
 4. shards order their suffixes by most-significant-digit passes of eight bytes, only as deep as `length`, and within groups
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .asking import TALK, answers, record
 from .textkit import _tables, mix64, slices
 
 LENGTH, GRAM = 100, 36
@@ -199,35 +201,13 @@ def _hashes(shards: int):
             for part, seq, ids, data in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "ids", "data"))):
                 h, shard, edge, twice = Batch(ids, data, finder).messages(shards)
                 low, n = (h >> np.uint64(32)).astype(np.uint32), len(shard)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(shard, pa.int32()), pa.array([part] * n, pa.int64()), pa.array([seq] * n, pa.int32()),
-                        pa.array([low[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary()),
-                        pa.array([np.packbits(twice[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary()),
-                    ],
-                    names=["shard", "part", "seq", "low", "twice"],
-                )
+                names = [low[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])]
+                known = [np.packbits(twice[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:])]
+                yield record(TALK, list(zip([1] * n, shard.tolist(), [part] * n, [seq] * n, names, known)))
 
     return run
 
 
-def _known(table: pa.Table) -> pa.Table:
-    """A shard's messages to answers: one bit a minimiser, set where it occurs more than once."""
-    low = [np.frombuffer(b, np.uint32) for b in table.column("low").to_pylist()]
-    sizes = np.array([len(b) for b in low])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(table.column("twice").to_pylist(), sizes)])
-    order = np.argsort(np.concatenate(low), kind="stable")
-    v = np.concatenate(low)[order]
-    head = np.concatenate([[True], v[1:] != v[:-1]])
-    group = np.cumsum(head) - 1
-    many = (np.bincount(group) > 1) | (np.bincount(group, twice[order]) > 0)
-    answer = np.zeros(len(v), bool)
-    answer[order] = many[group]
-    ends = np.cumsum(sizes)
-    bits = [np.packbits(answer[e - n : e]).tobytes() for e, n in zip(ends, sizes)]
-    return pa.table({"shard": table.column("shard"), "part": table.column("part"), "seq": table.column("seq"), "bits": pa.array(bits, pa.binary())})
-
-
 def _encoded(doc, rid, h, index, rel, start, n, off, text: bytes) -> bytes:
     """Segments (suffix starts in a row that share a minimiser) of documents doc, rid: each one's document, start there and in its batch, number, distance to the minimiser, and bytes."""
     parts = ((doc, "i8"), (rid, "i8"), (h.view(np.int64), "i8"), (index, "u4"), (rel, "u4"), (start, "u4"), (n, "u1"), (off, "u1"))
@@ -268,9 +248,11 @@ def _suffixes(shards: int):
     """Batches with their answers to marks (kind 0: settled here) and suffixes (kind 1: the first of each here)."""
 
     def settled(part: int, seq: int, b: Batch, answers: list[dict]) -> list[tuple]:
-        h, _, edge, _ = b.messages(shards)
-        bits = [np.frombuffer(a["bits"], np.uint8) for a in sorted(answers, key=lambda a: a["shard"])]
-        again = np.concatenate([np.unpackbits(x, count=j - i) for x, i, j in zip(bits, edge[:-1], edge[1:])]).astype(bool)
+        h, shard, edge, again = b.messages(shards)
+        begin, again = {s: k for k, s in enumerate(shard.tolist())}, again.copy()
+        for a in answers or []:
+            i, j = edge[begin[a["shard"]]], edge[begin[a["shard"]] + 1]
+            again[i:j] |= np.unpackbits(np.frombuffer(a["own"], np.uint8), count=j - i).astype(bool)
         wanted = np.sort(h[again])
         if not len(wanted):
             return []
@@ -417,10 +399,9 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = 1 << 24, with_text: bool
     batches = common.bucketed(rows.mapInArrow(_batches(batch_bytes), _BATCH), "texts", "part")
     total, n = batches.agg(F.sum("n_bytes"), F.count("*")).first()
     shards = int(max(least_shards, -(-(total or 0) // shard_bytes)))
-    messages = batches.select("part", "seq", "ids", "data").mapInArrow(_hashes(shards), "shard int, part long, seq int, low binary, twice binary")
-    answers = messages.groupBy("shard").applyInArrow(_known, "shard int, part long, seq int, bits binary")
-    asked = _of_batches(batches.drop("n_bytes"), answers, "answers", "bits").where(F.size("answers") > 0)
-    found = asked.mapInArrow(_suffixes(shards), _MARKS_SQL)
+    asked = batches.select("part", "seq", "ids", "data").mapInArrow(_hashes(shards), TALK)
+    told = _of_batches(batches.drop("n_bytes"), answers(asked, n, fan_in, False), "answers", "own")
+    found = told.mapInArrow(_suffixes(shards), _MARKS_SQL)
     while n > fan_in:
         n = -(-n // fan_in)
         found = found.withColumn("_group", F.pmod(F.xxhash64("part", "seq", F.lit(n)), F.lit(n))).groupBy("shard", "_group").applyInArrow(_round(shards), _MARKS_SQL)
