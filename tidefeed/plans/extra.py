@@ -169,7 +169,7 @@ SELECT source, seq, status FROM walk WHERE n > 0"""
     ]
     article_sql = f"""WITH l AS (SELECT doc_id, i, {TIDY.format('raw')} AS t FROM (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
       g AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '') AS body, coalesce(sum(CASE WHEN length(t) >= 25 THEN 1 + length(regexp_replace(t, '[^,]', '', 'g')) + least(length(t) / 100, 3) END), 0) AS score FROM l GROUP BY 1),
-      b AS (SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 3 AND score < 3 + length('{second}') / 100 THEN '{second}' WHEN score > 0 THEN body ELSE '' END AS body, CASE doc_id % 5 WHEN 0 THEN 'T' ELSE '' END AS title FROM g)
+      b AS (SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 3 AND score < 4 + length('{second}') / 100 THEN '{second}' WHEN score > 0 THEN body ELSE '' END AS body, CASE doc_id % 5 WHEN 0 THEN 'T' ELSE '' END AS title FROM g)
       SELECT page_id, title, sha256(body) AS body_sha, length(body) >= 100 AS ok FROM b"""
 
     @query("s4_article_made", article_sql)
