@@ -171,7 +171,7 @@ def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 40, 300) * P.CLASSES + rng.integers(0, 6, 300))
     words = np.unique(keys // P.CLASSES)
-    message = P.pack(words=words.astype(np.uint64), n=np.bincount(np.searchsorted(words, keys // P.CLASSES)), context=keys % P.CLASSES, count=rng.integers(0, 30, len(keys)))
+    message = P.pack(words=words.astype(np.uint64), n=np.bincount(np.searchsorted(words, keys // P.CLASSES)), **P._halves(keys % P.CLASSES), count=rng.integers(0, 30, len(keys)))
     r = P.Restaurants(0, message)
     g = {"strength": 1.0, "discount": 0.7, "root_discount": 0.6, "vocabulary": int((r.word_count > 0).sum()), "seed": 1}
     r.sweep(0, g, r.totals())

@@ -1,6 +1,6 @@
 """Operator 1: language-model scoring with a hierarchical Pitman-Yor model.
 
-Words are customers of the restaurant of their context, the preceding word's hash class (2**16 classes, so that what one
+Words are customers of the restaurant of their context, the preceding word's hash class (2**20 classes, so that what one
 sweep shares has a fixed size); a table opened there is a customer of the parent that all contexts share; its tables
 come from the uniform distribution over the training vocabulary and one unknown word. Seating is sampled by Gibbs: customers are
 taken out and seated again at a table in proportion to its size less the discount, or at a new one in proportion to
@@ -10,7 +10,7 @@ sweeps, and a text's score is the sum of their log10.
 How it runs: texts become batches of word hashes, written once to the shared folder. Each batch sends its distinct (word,
 context) pairs with their training counts to shards of words, merging fan_in (128) batches at a time in a tree, so a word that is a
 third of all tokens meets a bounded number of rows. A shard holds all of its words' restaurants' counts, so a sweep is one pass
-over the shards; between sweeps only the contexts' table totals (2 * 2**16 numbers, whatever the corpus) are summed and sent
+over the shards; between sweeps only the contexts' table totals (2 * 2**20 numbers, whatever the corpus) are summed and sent
 out again (shards sample in parallel given the last totals). Sampling is seeded by shard and sweep, so a lost task repeats exactly
 what it did. Answers go down the same tree to the batches, which score all their texts.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 from .textkit import WordHasher, mix64, slices
 
-CLASSES = 1 << 16
+CLASSES = 1 << 20
 END, BEGIN = np.uint64(0x5E0F7E57), np.uint64(0xBE61)  # not hashes of words but as good
 EXACT = 2048
 BLOCKS = 64
@@ -72,6 +72,15 @@ def context_class(h: np.ndarray) -> np.ndarray:
     return (mix64(h) & np.uint64(CLASSES - 1)).astype(np.int64)
 
 
+def _halves(context: np.ndarray) -> dict[str, np.ndarray]:
+    """Context classes as their low 16 bits and the rest, which pack() keeps in two bytes and one."""
+    return {"low": context & 0xFFFF, "high": context >> 16}
+
+
+def _whole(m: dict) -> np.ndarray:
+    return m["low"].astype(np.int64) + (m["high"].astype(np.int64) << 16)
+
+
 def _batches(batch_tokens: int):
     """Documents to batches: ids, whether held out, lengths, the sorted distinct hashes and every token's place among them."""
 
@@ -129,7 +138,7 @@ def _messages(shards: int):
                 counts = np.bincount(place, train, len(keys)).astype(np.int64)
                 at = _slices(vocab, shards)
                 cut = np.searchsorted(keys, at * CLASSES)
-                rows = [(k, pack(words=vocab[at[k] : at[k + 1]], n=np.bincount(keys[cut[k] : cut[k + 1]] // CLASSES - at[k], minlength=at[k + 1] - at[k]), context=keys[cut[k] : cut[k + 1]] % CLASSES, count=counts[cut[k] : cut[k + 1]])) for k in range(shards) if at[k] < at[k + 1]]
+                rows = [(k, pack(words=vocab[at[k] : at[k + 1]], n=np.bincount(keys[cut[k] : cut[k + 1]] // CLASSES - at[k], minlength=at[k + 1] - at[k]), **_halves(keys[cut[k] : cut[k + 1]] % CLASSES), count=counts[cut[k] : cut[k + 1]])) for k in range(shards) if at[k] < at[k + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([src] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "src", "message"])
 
     return run
@@ -145,12 +154,12 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     for p in parts:
         at = np.searchsorted(words, p["words"])
         own.append(at)
-        keys.append(np.repeat(at, p["n"].astype(np.int64)) * CLASSES + p["context"].astype(np.int64))
+        keys.append(np.repeat(at, p["n"].astype(np.int64)) * CLASSES + _whole(p))
     union, place = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(place, np.concatenate([p["count"] for p in parts]), len(union)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
     members = [pack(src=np.array([srcs[i]], np.uint64), words=np.diff(own[i], prepend=0), pairs=np.diff(place[ends[i] - len(keys[i]) : ends[i]], prepend=0)) for i in order]
-    message = pack(words=words, n=np.bincount(union // CLASSES, minlength=len(words)), context=union % CLASSES, count=count)
+    message = pack(words=words, n=np.bincount(union // CLASSES, minlength=len(words)), **_halves(union % CLASSES), count=count)
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "src": pa.array([key[1].as_py()], pa.int64()), "message": pa.array([message], pa.binary()), "members": pa.array([members], pa.list_(pa.binary()))})
 
 
@@ -270,7 +279,7 @@ class Restaurants:
     def __init__(self, shard: int, message: bytes):
         m = unpack(message)
         self.shard, self.words, self.n = shard, m["words"], m["n"].astype(np.int64)
-        self.context, self.count = m["context"].astype(np.int64), m["count"].astype(np.int64)
+        self.context, self.count = _whole(m), m["count"].astype(np.int64)
         self.of = np.repeat(np.arange(len(self.words)), self.n)
         self.word_count = np.bincount(self.of, self.count, len(self.words)).astype(np.int64)
         self.tables = (self.count > 0).astype(np.int64)
@@ -299,18 +308,18 @@ class Restaurants:
 
 def _sum_rows(values: np.ndarray) -> pa.RecordBatch:
     parts = np.array_split(values, BLOCKS)
-    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pack(v=p.astype(np.float64)) for p in parts], pa.binary())], names=["block", "values"])
+    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pack(v=p.astype(np.int64)) for p in parts], pa.binary())], names=["block", "values"])
 
 
 def _sum(key: tuple, table: pa.Table) -> pa.Table:
-    total = sum(unpack(v)["v"] for v in table.column("values").to_pylist())
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([pack(v=np.asarray(total, np.float64))], pa.binary())})
+    total = sum(unpack(v)["v"].astype(np.int64) for v in table.column("values").to_pylist())
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([pack(v=total)], pa.binary())})
 
 
 def _summed(df: DataFrame) -> np.ndarray | None:
     """The element-wise sum of all shards' arrays, added up by blocks on the executors; the driver gets one array."""
     rows = df.groupBy("block").applyInArrow(_sum, "block int, values binary").collect()
-    return np.concatenate([unpack(r["values"])["v"] for r in sorted(rows, key=lambda r: r.block)]) if rows else None
+    return np.concatenate([unpack(r["values"])["v"].astype(np.float64) for r in sorted(rows, key=lambda r: r.block)]) if rows else None
 
 
 def _shard_sums(g: dict | None, history: list[np.ndarray]):
