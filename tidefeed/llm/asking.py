@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds: 0 answers (own: a bit for each name asked), 1 what a batch asks (own: names, least: what it knows of each), 2 what goes on
-#: for a group of batches. own holds names of 32 bits with a bit of `least` for each that the batch has twice; at a last level, whole
-#: names (a, then b) with the smallest doc_id that has each.
+#: for a group of batches. own holds names of 32 bits with a bit of `least` for each that the batch has twice; at a last level, names of
+#: 96 bits (all a, then all b) with the smallest doc_id that has each.
 TALK = "kind int, shard int, part long, seq int, own binary, least binary"
 
 
@@ -21,19 +21,47 @@ def record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _told(row: dict, last: bool) -> tuple:
-    """A message's names a, b, doc_ids, `more`, places among what its batch asked, and how many that were."""
+    """A message's names a (and b), doc_ids, `more`, places among what its batch asked, and how many that were. Before the last level
+    names have 32 bits and no doc_ids."""
     if row["kind"] == 2:  # passed on by an earlier round
         total = int(np.frombuffer(row["least"], np.int64)[0])
         v = np.frombuffer(row["own"], np.int64).reshape(5, -1)
-        return v[0].view(np.uint64), v[1].view(np.uint64), v[2], v[3], v[4], total
+        place = v[4].astype(np.int32)
+        return (v[0].view(np.uint64), v[1].astype(np.uint32), v[2], None, place, total) if last else (v[0].astype(np.uint32), None, None, v[3] > 0, place, total)
     if last:
-        a, b = np.frombuffer(row["own"], np.uint64).reshape(2, -1)
-        least, more = np.frombuffer(row["least"], np.int64), np.zeros(len(a), np.int64)
+        n = len(row["own"]) // 12
+        a, b, least = np.frombuffer(row["own"], np.uint64, n), np.frombuffer(row["own"], np.uint32, n, 8 * n), np.frombuffer(row["least"], np.int64)
+        return a, b, least, None, np.arange(n, dtype=np.int32), n
+    a = np.frombuffer(row["own"], np.uint32)
+    return a, None, None, np.unpackbits(np.frombuffer(row["least"], np.uint8), count=len(a)).astype(bool), np.arange(len(a), dtype=np.int32), len(a)
+
+
+def _verdicts(told: list[tuple], last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of all names of a shard's messages, in order: whether others have it too (at the last level, whether another's doc_id is
+    smaller), and whether it goes on for the group."""
+    a = np.concatenate([t[0] for t in told])
+    if last:
+        b, least = (np.concatenate([t[k] for t in told]) for k in (1, 2))
+        order = np.lexsort((least, b, a))
     else:
-        a = np.frombuffer(row["own"], np.uint32).astype(np.uint64)
-        b, least = np.zeros(len(a), np.uint64), np.zeros(len(a), np.int64)
-        more = np.unpackbits(np.frombuffer(row["least"], np.uint8), count=len(a)).astype(np.int64)
-    return a, b, least, more, np.arange(len(a)), len(a)
+        order = np.argsort(a, kind="stable")
+    a = a[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    if last:
+        b, least = b[order], least[order]
+        new[1:] |= b[1:] != b[:-1]
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(new)))
+    if last:
+        first = np.repeat(least[head], size)
+        yes, on = least > first, least == first  # ties all go on: each must hear of a smaller one
+    else:
+        more = np.concatenate([t[3] for t in told])[order]
+        yes, on = np.repeat((size > 1) | np.logical_or.reduceat(more, head), size), new
+    said, goes = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    said[order], goes[order] = yes, on
+    return said, goes
 
 
 def _judged(last: bool, last_round: bool):
@@ -43,32 +71,24 @@ def _judged(last: bool, last_round: bool):
     def run(table: pa.Table) -> pa.Table:
         rows = table.select(["kind", "shard", "part", "seq", "own", "least"]).to_pylist()
         out = [tuple(r.values()) for r in rows if r["kind"] == 0]
-        asked = [r for r in rows if r["kind"] > 0]
+        asked = [r for r in rows if r["kind"] > 0 and r["own"]]
         if not asked:
             return pa.Table.from_batches([record(TALK, out)])
         told = [_told(r, last) for r in asked]
-        a, b, least, more, place = (np.concatenate(c) for c in list(zip(*told))[:5])
-        order = np.lexsort((least, b, a))
-        sa, sb, sl = a[order], b[order], least[order]
-        new = np.concatenate([[True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])])
-        head, group = np.flatnonzero(new), np.cumsum(new) - 1
-        if last:
-            yes, on = sl > sl[head][group], sl == sl[head][group]  # ties all go on: each must hear of a smaller one
-        else:
-            yes, on = ((np.diff(np.append(head, len(new))) > 1) | (np.add.reduceat(more[order], head) > 0))[group], new
-        said, goes = np.zeros(len(order), bool), np.zeros(len(order), bool)
-        said[order], goes[order] = yes, on
+        said, goes = _verdicts(told, last)
         at = 0
-        for r, t in zip(asked, told):
-            i, at, total = at, at + len(t[0]), t[5]
-            bits = np.zeros(total, bool)
-            bits[place[i:at][said[i:at]]] = True
+        for r, (a, b, least, _, place, total) in zip(asked, told):
+            yes, on = said[at : at + len(a)], goes[at : at + len(a)]
+            at += len(a)
             where = r["shard"], r["part"], r["seq"]
-            if bits.any():
+            if yes.any():
+                bits = np.zeros(total, bool)
+                bits[place[yes]] = True
                 out.append((0, *where, np.packbits(bits).tobytes(), None))
-            g = np.flatnonzero(goes[i:at]) + i
-            if len(g) and not last_round:
-                passed = np.stack([a[g].view(np.int64), b[g].view(np.int64), least[g], said[g].astype(np.int64), place[g]])
+            if not last_round and on.any():
+                none = np.zeros(int(on.sum()), np.int64)
+                whole = a[on].view(np.int64) if last else a[on].astype(np.int64)
+                passed = np.stack([whole, b[on].astype(np.int64) if last else none, least[on] if last else none, yes[on].astype(np.int64), place[on].astype(np.int64)])
                 out.append((2, *where, passed.tobytes(), np.array([total]).tobytes()))
         return pa.Table.from_batches([record(TALK, out)])
 

@@ -9,8 +9,8 @@ window of 13 is one of 8 here and one of 8 five words on), until `length` is rea
 2. at each level a batch sends its distinct candidates to shards of hashes, 32 bits each and whether two documents of the batch
    have it; a window of a third of all documents counts once a batch. Shards answer one bit: found in two documents;
 3. survivors whose neighbour one step on survives too become the next level's candidates, named by their halves. From the
-   second level on, candidates alone are carried, without texts; their names have 128 bits there (two independent hashes of
-   the bytes), so at 10^13 windows two different ones share a name with a probability of some 10^-13;
+   second level on, candidates alone are carried, without texts; their names have 96 bits there (two independent hashes of
+   the bytes), so among 10^12 candidates any two different ones share a name with a probability of some 10^-5;
 4. at the last level candidates go with the smallest doc_id that has them, and the answer is whether another is smaller;
 5. marks meet their batches, whose texts lose the words covered.
 
@@ -30,6 +30,7 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def _batches(size: int):
             null = np.array([r[1] for r in kept])
             data = b"".join(r[2] for r in kept)
             sizes = np.where(null, -1 - sizes, sizes)  # negative: the doc_id is null
-            return ((task << 20) + made // 8, made, len(data), _put(doc.tobytes()), _put(sizes.tobytes()), _put(data))
+            return ((task << 20) + made // 8, made, len(data), _put(doc.tobytes()), _put(sizes.tobytes()), zstandard.ZstdCompressor(level=3).compress(data))
 
         for batch in slices(batches):
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -119,11 +120,12 @@ class Level:
 
     @classmethod
     def read(cls, row: dict):
-        doc, ends, pos = (np.frombuffer(row[c], np.int64) for c in ("doc", "ends", "pos"))
-        return cls(doc, ends, pos, *(np.frombuffer(row[c], np.uint64) for c in ("a", "b")))
+        kinds = {"doc": np.int64, "ends": np.int64, "pos": np.int32, "a": np.uint64, "b": np.uint32}
+        doc, ends, steps, a, b = (np.frombuffer(row[c], k) for c, k in kinds.items())
+        return cls(doc, ends, np.cumsum(steps, dtype=np.int64), a, b)
 
     def widen(self, texts: list[bytes], hasher: WordHasher, seed: int) -> None:
-        self.b = grams(hasher.encoded(texts)[0], seed)[self.pos]
+        self.b = (grams(hasher.encoded(texts)[0], seed)[self.pos] >> np.uint64(32)).astype(np.uint32)
 
     def of(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Which documents candidates i lie in."""
@@ -169,11 +171,12 @@ class Level:
         ok[ok] = p[ok] + to <= self.ends[np.searchsorted(self.ends, p[ok], "right")]
         x, y = where[ok], where[i[ok]]
         with np.errstate(over="ignore"):
-            a, b = (None if h is None else mix64(h[x] + mix64(h[y] * _ODD + np.uint64(to))) for h in (self.a, self.b))
-        return Level(self.doc, self.ends, self.pos[x], a, b)
+            a, b = (mix64(h[x].astype(np.uint64) + mix64(h[y].astype(np.uint64) * _ODD + np.uint64(to))) for h in (self.a, self.b))
+        return Level(self.doc, self.ends, self.pos[x], a, (b >> np.uint64(32)).astype(np.uint32))
 
     def row(self, part: int, seq: int) -> tuple:
-        return part, seq, *(np.ascontiguousarray(v).tobytes() for v in (self.doc, self.ends, self.pos.astype(np.int64), self.a, self.b))
+        steps = np.diff(self.pos, prepend=0).astype(np.int32)
+        return part, seq, *(np.ascontiguousarray(v).tobytes() for v in (self.doc, self.ends, steps, self.a, self.b))
 
 
 def _hashers() -> list[WordHasher]:
@@ -196,7 +199,7 @@ def _asking(size: int, from_text: bool, last: bool, shards: int):
             rows = []
             for s, i, j in zip(shard.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
                 if last:
-                    own, with_it = np.concatenate([a[i:j], b[i:j]]).tobytes(), least[i:j].tobytes()
+                    own, with_it = a[i:j].tobytes() + b[i:j].tobytes(), least[i:j].tobytes()
                 else:
                     own, with_it = a[i:j].astype(np.uint32).tobytes(), np.packbits(more[i:j]).tobytes()
                 rows.append((1, s, row["part"], row["seq"], own, with_it))
