@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _place(spark: SparkSession, name: str, table: str | None = None) -> str:
     if not _written:
+        atexit.unregister(_remove)
         atexit.register(_remove)
     path = f"{checkpoint_root(spark)}/tidefeed-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path, table))
@@ -51,8 +54,25 @@ def bucketed(df: DataFrame, name: str, key: str, compression: str = "uncompresse
     return spark.table(table)
 
 
-def _remove() -> None:
-    while _written:
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Intermediate tables that are written inside go when it ends, not with the process, but for those given to what it yields
+    (which takes what written() has just returned). Results are to be written or collected inside."""
+    mark, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_written.pop())
+        return df
+
+    try:
+        yield keep
+    finally:
+        _remove(mark)
+        _written.extend(kept)
+
+
+def _remove(mark: int = 0) -> None:
+    while len(_written) > mark:
         spark, path, table = _written.pop()
         try:
             if table:
