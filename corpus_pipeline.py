@@ -55,9 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; what a stage writes on its way goes as soon as its result is written."""
     docs = common.documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.written(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with common.scope() as keep:
+            docs = keep(common.written(stage(spark, docs, sf_dir), f"stage{i}"))
+    return STAGES[-1][1](spark, docs, sf_dir)

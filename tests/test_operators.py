@@ -359,3 +359,16 @@ def test_robots_rules_and_start_times(spark):
         host = r.url.split("/")[2]
         assert at[r.page_id] == sums.get(host, 0)
         sums[host] = sums.get(host, 0) + r.cost
+
+
+def test_intermediates_go_with_their_scope(spark):
+    import os
+
+    from tidefeed import session
+
+    first = session.cut(spark.range(3))
+    with session.scope():
+        inner = session.cut(first.selectExpr("id + 1 AS id"))
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and inner.count() == 3
+    assert not os.path.exists(path) and first.count() == 3

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,8 +63,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _remove() -> None:
-    while _scratch:
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables that are written inside go when it ends, not with the process: results are to be written or collected inside."""
+    mark = len(_scratch)
+    try:
+        yield
+    finally:
+        _remove(mark)
+
+
+def _remove(mark: int = 0) -> None:
+    while len(_scratch) > mark:
         spark, path = _scratch.pop()
         try:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
