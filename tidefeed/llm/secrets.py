@@ -47,24 +47,24 @@ FEATURES = (
 
 def frequent_words(docs: DataFrame, most: int = 300, least_length: int = 4) -> list[str]:
     """The most frequent words of letters in all texts; at most `most` reach the driver."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(rf"(?<![a-z0-9])[a-z]{{{least_length},12}}(?![a-z0-9])"), F.lit(0))).alias("w"))
+    runs = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+")
+    words = docs.select(F.explode(F.filter(runs, lambda w: F.length(w).between(least_length, 12) & ~w.rlike("[0-9]"))).alias("w"))
     return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()]
 
 
 def candidates(docs: DataFrame, min_length: int = 12, keyed_length: int = 8) -> DataFrame:
     """doc_id, position (of the word), part (the candidate's place among the word's runs), core (without trailing marks), word, before, after, path."""
     long, value = rf"{SHAPE}{{{min_length},}}", rf"{SHAPE}{{{keyed_length},}}"
-    some = docs.where((F.col("text").rlike(r"[0-9]") & F.col("text").rlike(long)) | F.col("text").rlike(KEYED) | F.col("text").rlike(rf"[A-Za-z]{{{MIXED}}}") | F.col("text").rlike(SHAPES))
-    split = some.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split(F.col("text"), r"[\x20\x09-\x0D]+").alias("_w"))
+    split = docs.where("text is not null").select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split(F.col("text"), r"[\x20\x09-\x0D]+").alias("_w"))
 
     def word(i: Column | int) -> Column:
         return F.coalesce(F.get(F.col("_w"), F.lit(i) if isinstance(i, int) else i), F.lit(""))
 
-    def worth(i: Column) -> Column:
-        w, before = word(i - 1), F.concat(word(i - 4), F.lit(" "), word(i - 3), F.lit(" "), word(i - 2))
+    def worth(w: Column, i: Column) -> Column:
+        before = F.concat(word(i - 4), F.lit(" "), word(i - 3), F.lit(" "), word(i - 2))
         return w.rlike(value) & ((w.rlike(long) & (w.rlike(r"[0-9]") | (w.rlike(rf"[A-Za-z]{{{MIXED}}}") & w.rlike(CASES)) | w.rlike(SHAPES))) | w.rlike(KEYED) | before.rlike(KEYED + "$"))
 
-    at = F.filter(F.sequence(F.lit(1), F.size("_w")), worth)
+    at = F.filter(F.transform("_w", lambda w, i: F.when(F.length(w) >= keyed_length, F.when(worth(w, i + 1), i + 1))), lambda i: i.isNotNull())
     found = split.select("doc_id", "path", "_w", F.explode(at).alias("_i"))
     around = F.concat_ws(" ", *[word(F.col("_i") - 1 - k) for k in (3, 2, 1)])
     runs = found.select("doc_id", "path", F.col("_i").cast("long").alias("position"), word(F.col("_i") - 1).alias("word"), around.alias("_around"), word(F.col("_i")).alias("after"))
