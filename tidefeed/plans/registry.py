@@ -233,7 +233,7 @@ def t7(s, d):
     return B.articles(s, d).withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("id"))).where("_r <= 20").select("source", "id")
 
 
-@query("t8_shuffled_sidebar")
+@query("t8_shuffled_sidebar", BASE + "SELECT id, title FROM art ORDER BY parsed_at DESC, id LIMIT 10")  # in any order
 def t8(s, d):
     return B.articles(s, d).orderBy(*R.newest("parsed_at", "id")).limit(10).orderBy(F.rand(7)).select("id", "title")
 
