@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefeed.functions import text as X
+from tidefeed.operators.numbering import numbered
 
 
 def simulate(articles: DataFrame, n_users: int = 200, asof: str = "2024-01-31 00:00:00", days: int = 30, seed: int = 1) -> DataFrame:
@@ -31,10 +32,11 @@ def simulate(articles: DataFrame, n_users: int = 200, asof: str = "2024-01-31 00
         articles.join(cats, "category").select("id", F.concat(F.lit("c"), F.col("_c").cast("string")).alias("pool"))
         .unionByName(articles.where(u(F.col("id"), "popular") < 0.2).select("id", F.lit("popular").alias("pool"))).unionByName(articles.select("id", F.lit("all").alias("pool")))
     )
-    numbered = pools.withColumn("place", F.row_number().over(Window.partitionBy("pool").orderBy("id")))
-    sizes = numbered.groupBy("pool").agg(F.max("place").alias("size"))
+    placed = numbered(pools, [F.col("pool"), F.col("id")], "_n")  # counts of ranges, so no task numbers a whole pool
+    sizes = placed.groupBy("pool").agg(F.min("_n").alias("_first"), F.count("*").alias("size"))
+    placed = placed.join(F.broadcast(sizes.select("pool", "_first")), "pool").select("pool", "id", (F.col("_n") - F.col("_first") + 1).cast("int").alias("place"))
     chosen = drawn.withColumn("pool", F.when(F.col("pool").startswith("c"), F.concat(F.lit("c"), (F.substring("pool", 2, 9).cast("long") % max(1, n_cats)).cast("string"))).otherwise(F.col("pool")))
-    picked = chosen.join(F.broadcast(sizes), "pool").withColumn("place", (F.floor(F.col("r") * F.col("size")) + 1).cast("int")).join(numbered, ["pool", "place"])
+    picked = chosen.join(F.broadcast(sizes.select("pool", "size")), "pool").withColumn("place", (F.floor(F.col("r") * F.col("size")) + 1).cast("int")).join(placed, ["pool", "place"])
     once = picked.groupBy("user", "pseudonym", F.col("id").alias("article_id")).agg(F.min("click").alias("click"))
     at = F.unix_micros(F.lit(asof).cast("timestamp")) - F.floor(u(user, F.col("click"), "ts") * days * 86_400_000_000)
     read = at + F.floor((30 + u(user, F.col("click"), "rd") * 270) * 1_000_000)
