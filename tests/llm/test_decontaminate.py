@@ -97,3 +97,33 @@ def test_empty(make, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not D.contamination(make(["a b c d e f"]), none).first().contaminated
     assert D.clean(make(["a"]).where("false"), none).count() == 0
+
+
+def test_verdicts_against_every_document_and_item(make, spark):
+    """The whole operator by naive tiling of all pairs, in one block of items and in many."""
+    rnd = random.Random(21)
+    vocab = [f"w{i}" for i in range(30)]
+
+    def prose(n):
+        return [rnd.choice(vocab) for _ in range(n)]
+
+    items = [(i, prose(rnd.choice((3, 6, 12, 20)))) for i in range(12)]
+    texts = []
+    for _ in range(30):
+        words = prose(rnd.randint(0, 15))
+        for _, item in rnd.sample(items, 2):
+            a = rnd.randrange(len(item))
+            words += item[a:] + prose(rnd.randint(0, 6)) + item[:a] if rnd.random() < 0.4 else item[: len(item) // 3]
+        texts.append(" ".join(words).upper() if rnd.random() < 0.2 else " ".join(words))
+    want = []
+    for t in texts:
+        shares = {i: sum(n for n, _, _ in naive_tiles(item, t.lower().split(), 5)) / len(item) for i, item in items}
+        hit = {i: s for i, s in shares.items() if s >= 0.5}
+        best = min(hit, key=lambda i: (-hit[i], i)) if hit else None
+        want.append((best, round(hit[best], 9) if hit else 0.0, len(hit)))
+    docs, table = make(texts, 4), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for block in (2_000_000, 20):
+        got = {r.doc_id: (r.item_id, round(r.coverage, 9), r.n_items) for r in D.contamination(docs, table, block_tokens=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        assert {r.doc_id for r in D.clean(docs, table, block_tokens=block).collect()} == {i for i, w in enumerate(want) if w[0] is None}
+    assert 5 < sum(w[0] is not None for w in want) < 28

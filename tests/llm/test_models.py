@@ -312,3 +312,17 @@ def test_a_text_over_the_budget_does_not_end_the_sample(make, spark):
     assert len(toxic) == sum(1 for i in range(40) if i % 2 and i % 7) and len(ordinary) == sum(1 for i in range(40) if not i % 2 and i % 7)
     few, _ = T.labelled_sample(docs, labels, F.lit(True), 100, 100, max_bytes=1300)
     assert 0 < len(few) <= 1300 // 2 // 40
+
+
+def test_grades_against_scoring_one_text_at_a_time(make, spark, labelled):
+    docs = make([(i, t, "s") for i, t, _, _ in labelled] + [(1000, "", "s"), (1001, None, "s"), (1002, "ab", "s")])
+    ratings = spark.createDataFrame([(i, (0, 2, 1)[g + x if g else 0]) for i, _, g, x in labelled if i % 2], "doc_id long, grade int")
+    model = Q.fitted(docs, ratings, 3, 3000)
+    got = {r.doc_id: r for r in Q.quality(docs, ratings).collect()}
+    for i, t in [(i, t) for i, t, _, _ in labelled][:60] + [(1000, ""), (1001, ""), (1002, "ab")]:
+        data = t.encode()
+        hashed = [int((data[k] | data[k + 1] << 8 | data[k + 2] << 16) * 2654435761 % 2**32 >> 18) % Q.DIMS for k in range(len(data) - 2)]
+        s = sum(model["weights"][h] for h in hashed) / max(1, len(hashed))
+        tails = [1 / (1 + np.exp(-(s - t))) for t in model["theta"]]
+        assert abs(got[i].p_ge1 - tails[0]) < 1e-9 and abs(got[i].p_ge2 - tails[1]) < 1e-9
+        assert got[i].selected == (got[i].p_ge1 >= 0.5) and abs(got[i].expected_grade - sum(tails)) < 1e-9
