@@ -8,11 +8,13 @@ probes all values within t_i, and each candidate is verified on all 64 bits, so
 
 Only distinct fingerprints are compared, and only a spanning forest of a bucket's links is kept: the links of one
 bucket never grow with the square of its size. A bucket of over hot_rows rows is first split by the plain pigeonhole
-principle on all bits (bits + 1 interleaved blocks), which keeps every link. Components come from alternating stars.
+principle on all bits (bits + 1 interleaved blocks), which keeps every link. Components come from links that tasks contract, then
+from alternating stars.
 
-Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other; equal
-fingerprints are linked; null doc_ids take part and lose to any other id (a component of only such rows has a null
-component_id); rows that repeat a doc_id are marked each; an empty table gives an empty result.
+Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other; a very long text
+votes with all its shingles, 65,536 at a time; a bit that is set in exactly half of them (a tie) is 0; equal fingerprints are
+linked; null doc_ids take part and lose to any other id (a component of only such rows has a null component_id); rows that
+repeat a doc_id are marked each; extra columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
