@@ -1,6 +1,6 @@
 """Operator 1: language-model scoring with a hierarchical Pitman-Yor model.
 
-Words are customers of the restaurant of their context, the preceding word's hash class (2**19 classes, so that what one
+Words are customers of the restaurant of their context, the preceding word's hash class (2**18 classes, so that what one
 sweep shares has a fixed size); a table opened there is a customer of the parent that all contexts share; its tables
 come from the uniform distribution over the training vocabulary and one unknown word. Seating is sampled by Gibbs: customers are
 taken out and seated again at a table in proportion to its size less the discount, or at a new one in proportion to
@@ -10,7 +10,7 @@ sweeps, and a text's score is the sum of their log10.
 How it runs: texts become batches of word hashes, written once to the shared folder. Each batch sends its distinct (word,
 context) pairs with their training counts to shards of words, merging fan_in (128) batches at a time in a tree, so a word that is a
 third of all tokens meets a bounded number of rows. A shard holds all of its words' restaurants' counts, so a sweep is one pass
-over the shards; between sweeps only the contexts' table totals (2 * 2**19 numbers, whatever the corpus) are summed and sent
+over the shards; between sweeps only the contexts' table totals (2 * 2**18 numbers, whatever the corpus) are summed and sent
 out again (shards sample in parallel given the last totals). Sampling is seeded by shard and sweep, so a lost task repeats exactly
 what it did. Answers go down the same tree to the batches, which score all their texts.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 from .textkit import WordHasher, mix64, slices
 
-CLASSES = 1 << 19
+CLASSES = 1 << 18
 END, BEGIN = np.uint64(0x5E0F7E57), np.uint64(0xBE61)  # not hashes of words but as good
 EXACT = 2048
 BLOCKS = 64
@@ -398,7 +398,7 @@ def _scores(g: dict, contexts: np.ndarray, tables: list[np.ndarray]):
     return run
 
 
-def score(docs: DataFrame, held_out: F.Column, sweeps: int = 3, samples: int = 2, strength: float = 1.0, seed: int = 5, batch_tokens: int = 1_000_000, shard_bytes: int = 1 << 24, fan_in: int = 128) -> DataFrame:
+def score(docs: DataFrame, held_out: F.Column, sweeps: int = 3, samples: int = 2, strength: float = 1.0, seed: int = 5, batch_tokens: int = 1_500_000, shard_bytes: int = 1 << 24, fan_in: int = 128) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows that aren't held out train."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), "text")
