@@ -137,6 +137,12 @@ def test_near_pairs_against_all_pairs(spark):
     assert classes == {i: (twice.index(x), near[i]) for i, x in enumerate(twice)}
 
 
+def test_keys_of_near_pairs_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, i << 40) for i in range(50)], "id long, fp long")
+    for found in (dedup.near_pairs(df), dedup.near_classes(df)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def events(spark, rows):
     return spark.createDataFrame([(i, u, a, k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i, (u, a, k) in enumerate(rows)], "id long, user_id long, article_id long, event_type string, created_at timestamp")
 
