@@ -213,6 +213,40 @@ def test_recommendations_by_blocks(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_recommendations_by_chunks_of_similarities_and_with_busy_readers(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(u, i, rnd.random()) for u in range(25) for i in rnd.sample(range(20), 2 + u % 7)]
+    m = spark.createDataFrame(rows, "user_id long, article_id long, w double")
+    sims = recommend.similarity(m).cache()
+    similar = {}
+    for r in sims.collect():
+        similar.setdefault(r.item_a, []).append((r.item_b, r.sim))
+    for exclude in (True, False):
+        want = set()
+        for u in range(25):
+            mine = {i: w for v, i, w in rows if v == u}
+            sums = {}
+            for i, w in mine.items():
+                for j, s in similar.get(i, []):
+                    sums[j] = sums.get(j, 0) + s * w
+            best = sorted(((-x, j) for j, x in sums.items() if not (exclude and j in mine)))[:5]
+            want |= {(u, j, float(f"{-x:.4f}"), k) for k, (x, j) in enumerate(best, 1)}
+        for chunk, reader in ((1_000_000, 100_000), (60, 100_000), (60, 6), (1, 100_000)):
+            got = recommend.recommend(m, sims, 5, exclude, chunk=chunk, reader=reader).where("score <> 0.01").collect()
+            assert {(r.user_id, r.article_id, r.score, r.rank) for r in got} == want, (exclude, chunk, reader)
+
+
+def test_products_of_recommendations_are_not_shuffled(spark):
+    m = spark.range(400).select((F.col("id") % 40).alias("user_id"), (F.col("id") * 7 % 31).alias("article_id"), F.lit(1.0).alias("w")).distinct().cache()
+    sims = recommend.similarity(m).cache()
+    products = m.join(sims, F.col("article_id") == F.col("item_a")).count()
+    plan = recommend._best(m, sims, 5, True, 100_000, 1_000_000, 100_000)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert products > m.count() and "Exchange" not in above and "Exchange hashpartitioning(user_id" in plan
+
+
 def test_similarity_at_the_minimum_is_out_and_zero_weights_are_safe(spark):
     ix = events(spark, [(1, 1, "click"), (1, 2, "click")])
     m = recommend.matrix(ix, "2024-01-31 00:00:00")
