@@ -74,3 +74,35 @@ def test_feeds(spark):
     got = feeds.scan(spark.createDataFrame([("a", rss), ("b", atom), ("c", "<broken"), ("d", None)], "portal string, xml string")).collect()
     assert [r.portal for r in got].count("a") == 20 and [(r.title, r.url, r.date) for r in got if r.portal == "b"] == [("E", "http://y/1", "u")]
     assert got[0].category == "Olahraga" and got[0].summary == "s x" and len(got) == 21
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([(1, "http://h/x", PAGE)], "page_id long, url string, html string").repartition(1)
+    for found in (html.listings(pages), html.paragraphs(pages), html.articles(pages)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert "MapInArrow" not in html.discovery(pages)._jdf.queryExecution().executedPlan().toString()  # it reads what one pass has left
+
+
+def test_workers_pass_on_pages_in_pieces_and_leave_no_trees(spark, monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    passed = {}
+
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_pydict({"page_id": list(range(1200)), "html": ["<article><p>A paragraph</p></article>"] * 1200})
+            gc.collect()
+            gc.disable()
+            try:
+                passed["rows"] = [b.num_rows for b in run(iter([batch]))]
+                passed["trees"] = sum(isinstance(o, html.Node) for o in gc.get_objects())
+            finally:
+                gc.enable()
+
+    html._table(Pages(), "text string", lambda root: [(root.first("p").text(),)])
+    assert passed["rows"] == [500, 500, 200] and passed["trees"] < 20
