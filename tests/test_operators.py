@@ -262,6 +262,12 @@ def test_cold_start(spark):
     assert [(r.article_id, r.score) for r in recs] == [(2, 0.01), (1, 0.01)]
 
 
+def test_evaluation_reads_events_from_its_cuts(spark):
+    ix = events(spark, [(u, (u + j * j) % 9, "click") for u in range(4) for j in range(8)]).withColumn("id", F.abs("id"))
+    plan = recommend.evaluate(ix, "2024-01-31 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "abs(" not in plan and "FileScan" in plan
+
+
 def test_evaluation_skips_short_histories(spark):
     ix = events(spark, [(1, a, "click") for a in (1, 2, 3, 4)])
     row = recommend.evaluate(ix, "2024-01-31 00:00:00").first()
