@@ -26,6 +26,12 @@ def test_listing_and_discovery(spark):
     assert (found.title, found.date, found.category, found.link, found.summary, found.preview) == ("h2", "time", "span[class*='label']", "a[href]", "p", 2)
 
 
+def test_site_name_without_white_space(spark):
+    titles = ["Site\n| News", "Site\t- News | x", " The \n Site\n\n-x", "Site\u00a0| x", "Site"]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, url string, html string")
+    assert [r.site for r in html.discovery(pages).orderBy("page_id").collect()] == ["Site", "Site", "The \n Site", "Site", "Site"]
+
+
 def test_content(spark):
     from tidefeed.operators import relational as R
 
